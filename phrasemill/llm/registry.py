@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phrasemill.session import ship
 
-MODULES = ("quality", "chat", "sharding")
+MODULES = ("quality", "simhash", "chat", "sharding")
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
