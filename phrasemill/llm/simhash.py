@@ -1,10 +1,12 @@
 """SimHash near-duplicates, linked through vantage-point trees.
 
-Distinct fingerprints are dealt to shards by a shallow tree that is fitted on a bounded sample: a node
-holds a vantage point and a distance; what lies within goes left, the rest right. A fingerprint lives
-in one leaf and also visits the lower-numbered leaves that its ball overlaps (triangle bounds prune the
-others), so every pair within the radius meets in exactly one shard. A shard searches its residents with
-a tree of its own and returns a spanning forest of the links, never all pairs.
+Distinct fingerprints are dealt to shards by shallow trees that are fitted on a bounded sample, one tree for
+each of three parts of the 64 bits: two fingerprints within 4 bits differ in one bit at most in some part, and
+a ball of radius 1 in 21 bits overlaps far fewer shards than one of radius 4 in 64. A node holds a vantage point
+and a distance; what lies within goes left, the rest right. A fingerprint lives in one leaf of each tree and also
+visits the lower-numbered leaves that its ball overlaps (triangle bounds prune the others), so every pair meets.
+A shard searches its residents, by all 64 bits, with a tree of its own and returns a spanning forest of the
+links, never all pairs.
 
 Defined results: a null text has no words; a text without words has fingerprint zero; repeated rows
 share their fingerprint; a null doc_id takes part but never names a component (all null: null); an
@@ -13,6 +15,7 @@ empty table gives an empty result. Other columns do not matter.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -27,9 +30,10 @@ from phrasemill.llm.components import connected
 from phrasemill.session import saved, table
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
-SAMPLE = 4096  # fingerprints that the shards' tree is fitted on, at most
-SHARD = 2048  # fingerprints that live in a shard, about
-DEPTH = 12  # of the shards' tree, at most: it has no more than 2 ** DEPTH leaves
+BLOCKS = 3  # 4 differing bits are at most one in one of three parts of the bits
+SAMPLE = 8192  # fingerprints that the shards' trees are fitted on, at most
+SHARD = 2048  # fingerprints that live in a shard of one tree, about
+LEAVES = 1024  # of a shards' tree, at most
 LEAF = 128  # residents of a leaf of a shard's own tree
 
 
@@ -80,29 +84,49 @@ class Node:
     outside: "Node | None" = None
 
 
-def grow(points: np.ndarray, depth: int, leaf: int) -> Node:
-    """A vantage-point tree; leaves are numbered from left (inside) to right. A node takes, of a few
-    spread-out candidates, the vantage point whose distances vary most, and cuts at their median."""
-    count = 0
-
-    def build(own: np.ndarray, left: int) -> Node:
-        nonlocal count
-        if left and len(own) > leaf:
-            tried = own[:: max(1, len(own) // 7)][:8]
-            spread = distances(own[None, :], tried[:, None])
-            best = int(np.argmax(spread.var(axis=1)))
-            far = spread[best]
-            cut = int(np.median(far))
-            if (far <= cut).all():
-                cut -= 1
-            if (far <= cut).any():
-                node = Node(point=int(tried[best]), cut=cut)
-                node.inside, node.outside = build(own[far <= cut], left - 1), build(own[far > cut], left - 1)
-                return node
+def _choose(points: np.ndarray) -> tuple[int, int] | None:
+    """Of a few candidates the vantage point and the cut at (or next to) the median that part the points
+    most evenly; of equals the one whose distances vary most. None if all points are one."""
+    tried = np.unique(points)
+    tried = tried[:: max(1, len(tried) // 7)][:8]
+    far = distances(points[None, :], tried[:, None])
+    middle = np.median(far, axis=1).astype(int)
+    best = None
+    for row, point, cut in [(row, p, m - less) for row, p, m in zip(far, tried, middle, strict=True) for less in (0, 1)]:
+        share = float((row <= cut).mean())
+        if 0 < share < 1 and (best is None or (abs(share - 0.5), -row.std()) < best[0]):
+            best = ((abs(share - 0.5), -row.std()), int(point), int(cut))
+    return best and best[1:]
+
+
+def grow(points: np.ndarray, leaf: int, leaves: int | None = None) -> Node:
+    """A vantage-point tree: the largest leaf is split until all hold ``leaf`` points at most or there are
+    as many leaves as wanted. Leaves are numbered from left (inside) to right."""
+    root, count = Node(), 1
+    heap = [(-len(points), 0, root, points)]
+    made = 1
+    while heap and (leaves is None or count < leaves):
+        size, _, node, own = heapq.heappop(heap)
+        if -size <= leaf:
+            break
+        found = _choose(own)
+        if found is None:
+            continue
+        node.point, node.cut = found
+        near = distances(own, np.uint64(node.point)) <= node.cut
+        node.inside, node.outside = Node(), Node()
+        for child, part in ((node.inside, own[near]), (node.outside, own[~near])):
+            heapq.heappush(heap, (-len(part), made, child, part))
+            made += 1
         count += 1
-        return Node(leaf=count - 1)
-
-    return build(points, depth)
+    stack, number = [root], 0
+    while stack:
+        node = stack.pop()
+        if node.inside is None:
+            node.leaf, number = number, number + 1
+        else:
+            stack += [node.outside, node.inside]
+    return root
 
 
 def route(root: Node, marks: np.ndarray, visiting: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -165,7 +189,7 @@ def shard_links(homes: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -
     marks = np.concatenate([homes, visitors])
     visiting = np.arange(len(marks)) >= len(homes)
     forest = Forest(len(marks))
-    tree = grow(homes, 40, LEAF)
+    tree = grow(homes, LEAF)
     for _, home, visit in route(tree, marks, visiting, radius):
         if not len(home):
             continue
@@ -180,20 +204,29 @@ def shard_links(homes: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -
     return marks[np.array(forest.kept, np.int64).reshape(-1, 2)]
 
 
+def blocks(marks: np.ndarray, count: int = BLOCKS) -> list[np.ndarray]:
+    """The marks' bits in ``count`` parts of one width or nearly so."""
+    edges = [64 * i // count for i in range(count + 1)]
+    return [(marks >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def link_classes(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links u, v between the distinct fingerprints in column fp: as many as keep every component whole."""
     total = classes.count()
-    depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(total, 1) / SHARD)))))
+    wanted = min(LEAVES, max(1, -(-total // SHARD)))
     rows = classes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()
-    tree = grow(np.array([r.fp for r in rows], np.int64).view(np.uint64), depth, 4)
+    trees = [grow(part, 2, wanted) for part in blocks(np.array([r.fp for r in rows], np.int64).view(np.uint64))]
+    near = radius // BLOCKS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for leaf, home, visit in route(tree, marks, np.zeros(len(marks), bool), radius):
-                own = np.concatenate([home, visit])
-                lives = np.arange(len(own)) < len(home)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), leaf, np.int32)), pa.array(marks[own].view(np.int64)), pa.array(lives)], ["leaf", "fp", "home"])
+            for number, (tree, part) in enumerate(zip(trees, blocks(marks), strict=True)):
+                for leaf, home, visit in route(tree, part, np.zeros(len(marks), bool), near):
+                    own = np.concatenate([home, visit])
+                    lives = np.arange(len(own)) < len(home)
+                    shard = np.full(len(own), number * LEAVES + leaf, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(marks[own].view(np.int64)), pa.array(lives)], ["leaf", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         marks = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
