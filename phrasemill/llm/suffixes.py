@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from phrasemill.session import stored, table
 
 LENGTH, TOKEN = 50, 20
-BATCH_BYTES = 32 << 20  # text that a task takes into memory at a time
-PIECE = 1 << 21  # bytes hashed at a time
+BATCH_BYTES = 8 << 20  # text that a task takes into memory at a time
+PIECE = 1 << 20  # bytes hashed at a time
 BUCKET_BYTES = 8 << 20  # text whose records make a bucket, about
-SAMPLE_DOCS = 2000  # documents that the splitters are sampled from, at most
+SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 32  # the splitters' sample: about so many documents, so many leading tokens of each at most
 HOT = 4096  # continuations of a leading token beyond which its strings are dealt out by their own hashes
 _BASE = 0x9E3779B97F4A7C15
 _LEAD = np.uint64(24)  # a leading token keeps 40 bits: a false tie costs time, never a wrong result
@@ -171,7 +171,10 @@ def _deal_by_token(splitters: np.ndarray):
         ends = np.cumsum([len(t) for t in texts])
         start, end, lead = spans(np.frombuffer(buffer, np.uint8), ends)
         view = memoryview(buffer)
-        whole = np.fromiter(map(xxhash.xxh3_64_intdigest, map(view.__getitem__, map(slice, start.tolist(), end.tolist()))), np.uint64, len(start))
+        whole = np.empty(len(start), np.uint64)
+        for i in range(0, len(start), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            whole[part] = np.fromiter(map(xxhash.xxh3_64_intdigest, map(view.__getitem__, map(slice, start[part].tolist(), end[part].tolist()))), np.uint64)
         at = np.searchsorted(ends, start, side="right")
         doc = np.array(ids, np.int64)[at] if len(ids) else np.zeros(0, np.int64)
         span = _cut(start - np.concatenate([[0], ends[:-1]])[at], end - np.concatenate([[0], ends[:-1]])[at])
@@ -292,8 +295,8 @@ def _deal_open(splitters: np.ndarray):
                 for e in found:
                     start, n = e["span"] >> 8, e["span"] & 255
                     entries.append((e["kind"], doc, e["span"], e["lead"], text[start : start + n]))
-                size += len(found) * (LENGTH + 100)
-                if size >= BATCH_BYTES:
+                size += sum(600 if e["kind"] == OPEN else 600 * (e["span"] & 255) for e in found)
+                if size >= 8 * BATCH_BYTES:
                     yield flush(entries, number)
                     entries, size, number = [], 0, number + 1
         if entries:
@@ -344,14 +347,21 @@ def _sort_strings(group: pa.Table) -> pa.Table:
     return _rows(zero, doc, span, zero)
 
 
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0):
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            lead = spans(data, np.array([len(data)], np.int64))[2]
+            yield pa.RecordBatch.from_arrays([pa.array(lead[:: -(-len(lead) // SAMPLE_TOKENS)].astype(np.int64))], ["lead"])
+
+
 def _splitters(texts: DataFrame) -> np.ndarray:
-    """Sampled splitters: quantiles of the leading tokens of a bounded sample of documents (ordered by a
-    hash of doc_id; of each at most 64 KB, as the sample only steers the dealing)."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
-    picked = texts.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, 1 << 16)).limit(SAMPLE_DOCS)
-    sample = [bytes(r[0]) for r in picked.collect()] if total else []
-    lead = np.sort(spans(np.frombuffer(b"".join(sample), np.uint8), np.cumsum([len(t) for t in sample], dtype=np.int64))[2])
+    """Sampled splitters: quantiles of leading tokens of a bounded sample of documents."""
+    total, count = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // BUCKET_BYTES))
+    picked = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // SAMPLE_DOCS))) == 0).select("text")
+    rows = picked.mapInArrow(_sample, "lead long").limit(4 * SAMPLE_DOCS * SAMPLE_TOKENS).collect()
+    lead = np.sort(np.array([r.lead for r in rows], np.int64).view(np.uint64))
     if not len(lead):
         return lead
     return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets])
