@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phrasemill.session import ship
 
-MODULES = ("quality", "simhash", "html", "chat", "sharding", "suffixes")
+MODULES = ("quality", "simhash", "html", "packing", "chat", "sharding", "suffixes")
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
