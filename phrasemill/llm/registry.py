@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phrasemill.session import ship
 
-MODULES = ("quality", "simhash", "html", "topk", "packing", "chat", "sharding", "pieces", "suffixes")
+MODULES = ("quality", "simhash", "html", "topk", "lines", "packing", "chat", "sharding", "pieces", "suffixes")
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
