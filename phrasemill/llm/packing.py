@@ -17,6 +17,7 @@ empty table gives an empty result. Other columns do not matter.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,34 +34,51 @@ from phrasemill.session import stored, table
 
 CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 SEARCH_BINS, SEARCH_ROUNDS = 256, 2000
 
 
 class WordEncoder:
     """Token ids (little-endian 32-bit) of whole texts. The tokenizer drops white space and never joins
-    words across it, so a text's ids are its words' ids; those are cached. Texts that may hold one of the
-    tokenizer's special tokens go through it whole."""
+    words across it, so a text's ids are its words' ids; those are cached. New words go through the
+    tokenizer together, parted by a word that is one token and stands in no other. Texts that may hold one
+    of the tokenizer's special tokens, or the parting character, go through it whole."""
+
+    PART = "\x01"
+    # The tokenizer lowers case and never joins a letter with what is neither letter, digit nor apostrophe.
+    APART = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t else t.encode().split() for t in texts]
+        self.part = self._ids(self.PART)
+        if len(self.part) != 1:
+            raise ValueError("the parting word must be one token")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        ids = self._ids(f" {self.PART} ".join([w.decode() for w in words] + [""]))
+        ends = np.flatnonzero(ids == self.part[0])
+        if len(ends) != len(words):
+            raise ValueError("a word holds the parting token")
+        data = ids.tobytes()
+        starts = (np.concatenate([[0], ends[:-1] + 1]) * 4).tolist()
+        self.words.update(zip(words, map(data.__getitem__, map(slice, starts, (ends * 4).tolist())), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        whole = [b"<|" in t or b"\x01" in t for t in texts]
+        split = [[] if odd else self.APART.sub(rb"\1 \2", t.lower()).split() for t, odd in zip(texts, whole, strict=True)]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = list(set().union(*(s for s in split if s)) - self.words.keys())
+        new = list(set().union(*split) - self.words.keys())
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.words.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
+            self._learn(new[at : at + 4096])
         get = self.words.__getitem__
-        return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        return [self._ids(t.decode()).tobytes() if odd else b"".join(map(get, s)) for t, odd, s in zip(texts, whole, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -80,7 +98,7 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 out: list[tuple] = []
-                for doc, ids in zip(rows.column(0).to_pylist(), encoder(path).encode([x or "" for x in rows.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(rows.column(0).to_pylist(), encoder(path).encode(rows.column(1).to_pylist()), strict=True):
                     ids += tail
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
@@ -225,7 +243,7 @@ def _place(where: dict[str, np.ndarray], extra: int):
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids: little-endian 32-bit,) sequence_id and offset of every piece."""
     schema = _PIECES + ", ids binary" * keep_ids
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, capacity, end, keep_ids), schema)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_cut(tokenizer, capacity, end, keep_ids), schema)
     pieces = stored(cut)
     tasks = stored(pieces.groupBy("part", "length").count())
     counts = {r.length: r.n for r in tasks.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
