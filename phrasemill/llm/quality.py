@@ -118,9 +118,13 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' own columns, by one narrow projection (no join, no shuffle)."""
+    """The rows of docs that the rules keep, with docs' own columns, by one narrow projection (no join, no shuffle).
+
+    The filter also tests a non-deterministic column: else the optimizer would push it below the
+    projections and write every count out again for each rule that uses it."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("body"))
-    return quality_rules(packed, rules, "body", "row").filter("kept").select("row.*")
+    judged = quality_rules(packed, rules, "body", "row").select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.filter("kept AND at >= 0").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
