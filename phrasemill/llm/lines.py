@@ -143,7 +143,7 @@ def _deal_keys(buckets: int):
     def flush(lines: set[str]) -> pa.RecordBatch:
         key, who = [], []
         for line in lines:
-            own = _halves(line)[0]
+            own = _halves(line)[0] >> 16
             found = _keys(line)
             key += [k << 1 | mine for k, mine, _, _ in found]
             who += [own] * len(found)
@@ -185,7 +185,7 @@ def _shared_keys(group: pa.Table) -> pa.Table:
         owned = np.maximum.reduceat(key[order] & np.uint64(1), firsts)
         kept = new[1] & ((lines > 1) & (owned > 0))[at]
         out_key, out_who, out_many = plain[order][kept], who[order][kept], lines[at][kept]
-    return pa.table({"key": _signed(out_key), "high": _signed(out_who), "many": pa.array(out_many)})
+    return pa.table({"key": _signed(out_key), "short": _signed(out_who), "many": pa.array(out_many)})
 
 
 def _fetch(hot: int):
@@ -251,22 +251,23 @@ _PLACE = "struct<doc_id:bigint,line:int>"
 
 def line_classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, line, first (the place of the first line of its class) and near (whether that line differs)
-    of every line with a word."""
+    of every line that has another in its class."""
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = stored(texts.mapInArrow(_list_lines, "doc_id long, line int, high long, low long"))
-    firsts = stored(lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+    firsts = stored(lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies")))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
     dealt = texts.select("text").mapInArrow(_deal_keys(buckets), "bucket int, blob binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared_keys, "key long, high long, many long")
-    wanted = shared.join(firsts, "high").select("first.doc_id", F.struct(F.col("first.line").alias("line"), "key", "many").alias("w"))
+    shared = dealt.groupBy("bucket").applyInArrow(_shared_keys, "key long, short long, many long")
+    wanted = shared.join(firsts.withColumn("short", F.shiftrightunsigned("high", 16)), "short").select("first.doc_id", F.struct(F.col("first.line").alias("line"), "key", "many").alias("w"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     packed = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_squeeze, "doc_id long, packed binary")
     fetched = packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_fetch(hot), "key long, doc_id long, line int, text string")
     links = fetched.withColumn("bucket", F.pmod("key", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_verify, f"u {_PLACE}, v {_PLACE}")
     roots = connected(links).withColumnRenamed("node", "first")
-    classes = firsts.join(roots, "first", "left").select("high", "low", F.coalesce("root", "first").alias("first"), F.coalesce(F.col("root") != F.col("first"), F.lit(False)).alias("near"))
-    return lines.join(classes, ["high", "low"]).select("doc_id", "line", "first", "near")
+    classes = firsts.join(roots, "first", "left").select("high", "low", "copies", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "first").alias("first"), F.coalesce(F.col("root") != F.col("first"), F.lit(False)).alias("near"))
+    shared_classes = classes.filter("copies > 1 OR linked").select("high", "low", "first", "near")
+    return lines.join(shared_classes, ["high", "low"]).select("doc_id", "line", "first", "near")
 
 
 def _by_document(classes: DataFrame) -> DataFrame:
