@@ -34,7 +34,7 @@ from phrasemill.session import stored, table
 
 CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 SEARCH_BINS, SEARCH_ROUNDS = 256, 2000
 
 
