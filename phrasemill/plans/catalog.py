@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("byte_queries", "summary_queries")
+MODULES: tuple[str, ...] = ("byte_queries", "summary_queries", "phrase_queries", "stream_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
