@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, bit_width, blocks, byte_rows, fingerprint, mod61, mulmod61, printable, slices
-from phrasemill.session import table
+from phrasemill.session import spread, table
 
 PREFIX = 120  # characters of the benchmark items that per-position queries look at
 BLOCK = 4096
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", as_bytes("text").alias("b"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select("doc_id", as_bytes("text").alias("b"))
 
 
 def short_texts(spark: SparkSession, folder: str) -> DataFrame:

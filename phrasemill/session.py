@@ -66,3 +66,11 @@ def stored(frame: DataFrame) -> DataFrame:
     path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small input over all cores. A small file is one task however many cores there are; input
+    that already gives every core a full task is left as it is, so nothing large is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(2 * cores, key) if (1 << 20) < size < cores * (64 << 20) else rows

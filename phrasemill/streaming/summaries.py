@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -77,5 +77,5 @@ def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
 def last_of(found: DataFrame, key: str) -> DataFrame:
     """The rows of each stream's last batch."""
-    last = found.groupBy(key).agg(F.max("batch").alias("batch"))
-    return found.join(last, [key, "batch"]).drop("batch")
+    newest = F.max("batch").over(Window.partitionBy(key))
+    return found.withColumn("newest", newest).filter("batch = newest").drop("batch", "newest")
