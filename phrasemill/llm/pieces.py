@@ -22,8 +22,10 @@ import math
 import re
 import zlib
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,9 @@ class Lattices:
         values = np.array([s for p, s in states.items() if p], np.int64)
         self.mask = (1 << (2 * len(states)).bit_length()) - 1
         self.keys, self.next = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int64)
+        self.first = np.full(0x110000, -1, np.int64)  # the state after one character
+        one = keys < 1 << 21
+        self.first[keys[one]] = values[one]
         slot = self._slot(keys)
         left = np.arange(len(keys))
         while len(left):
@@ -134,7 +139,7 @@ class Lattices:
         active, out = np.arange(len(chars)), []
         for n in range(self.longest):
             active = active[room[active] > n]
-            nxt = self._step(state[active], chars[active + n])
+            nxt = self._step(state[active], chars[active + n]) if n else self.first[chars]
             active, nxt = active[nxt >= 0], nxt[nxt >= 0]
             state[active] = nxt
             piece = self.ends[nxt]
@@ -202,30 +207,36 @@ class Lattices:
         for i in np.flatnonzero(lens > LONG).tolist():
             edges = np.flatnonzero(own == i)
             share[edges] = self._shares_by_logs(start[edges] - begin[i], end[edges] - begin[i], self._log(piece[edges]), int(lens[i]))
-        # Each node's shares add up to one, so one cumulated array serves all.
+        # Sums of shares within each node; the last edge of a node always stops the search.
         number = np.full(len(alpha), -1)
-        number[to_node[firsts]] = np.arange(len(firsts))
+        number[to_node[firsts]] = firsts
         upto = np.cumsum(share)
-        upto += np.repeat(np.arange(len(firsts)) - np.concatenate([[0.0], upto[last[:-1]]]), last - firsts + 1)
-        return self._walk(np.array(parts, np.int64), ends, begin, from_node, piece, upto, number, firsts, last, seeds)
+        upto -= np.repeat(np.concatenate([[0.0], upto[last[:-1]]]), last - firsts + 1)
+        upto[last] = 2.0
+        return self._walk(np.array(parts, np.int64), ends, begin, from_node, piece, upto, number, seeds)
 
     @staticmethod
-    def _walk(parts, ends, begin, from_node, piece, upto, number, firsts, last, seeds):
+    def _walk(parts, ends, begin, from_node, piece, upto, first_edge, seeds):
+        """From each part's end to its start: an edge by its share, at every step."""
         at, stop = ends[parts] + parts, begin[parts] + parts
         active = np.arange(len(parts))
-        steps, count = [], np.zeros(len(parts), np.int64)
+        steps, each = [], np.zeros(len(parts), np.int64)
         while len(active):
-            n = number[at[active]]
-            edge = np.clip(np.searchsorted(upto, n + uniforms(seeds[active], len(steps)), side="right"), firsts[n], last[n])
+            edge = first_edge[at[active]]
+            u = uniforms(seeds[active], len(steps))
+            later = np.flatnonzero(u >= upto[edge])
+            while len(later):
+                edge[later] += 1
+                later = later[u[later] >= upto[edge[later]]]
             steps.append((active, piece[edge]))
-            count[active] += 1
+            each[active] += 1
             at[active] = from_node[edge]
             active = active[at[active] != stop[active]]
-        out = np.empty(int(count.sum()), np.int64)
-        end = np.cumsum(count)
+        out = np.empty(int(each.sum()), np.int64)
+        end = np.cumsum(each)
         for i, (who, what) in enumerate(steps):
             out[end[who] - 1 - i] = what
-        return out, count
+        return out, each
 
     @staticmethod
     def _shares_by_logs(start: np.ndarray, end: np.ndarray, log_w: np.ndarray, size: int) -> np.ndarray:
@@ -273,10 +284,10 @@ def encode_rows(keys: list[int | None], texts: list[str], path: str = MODEL, see
     def flush() -> None:
         if not words:
             return
-        numbers: dict[str, int] = {}
-        parts = [numbers.setdefault(w, len(numbers)) for w in words]
-        pieces, count = model.sample(parts, list(numbers), np.concatenate(draws))
-        at = np.concatenate([[0], np.cumsum(count)])
+        numbers: dict[str, int] = defaultdict(count().__next__)
+        parts = list(map(numbers.__getitem__, words))
+        pieces, each = model.sample(parts, list(numbers), np.concatenate(draws))
+        at = np.concatenate([[0], np.cumsum(each)])
         done = 0
         for row, n in rows:
             out[row].append(model.spell(pieces[at[done] : at[done + n]]))
