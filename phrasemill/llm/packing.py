@@ -46,7 +46,7 @@ class WordEncoder:
 
     PART = "\x01"
     # The tokenizer lowers case and never joins a letter with what is neither letter, digit nor apostrophe.
-    APART = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
+    APART = re.compile(rb"[a-z]+(?![a-z0-9'\x80-\xff])|\S+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,7 +71,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         whole = [b"<|" in t or b"\x01" in t for t in texts]
-        split = [[] if odd else self.APART.sub(rb"\1 \2", t.lower()).split() for t, odd in zip(texts, whole, strict=True)]
+        split = [[] if odd else self.APART.findall(t.lower()) for t, odd in zip(texts, whole, strict=True)]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         new = list(set().union(*split) - self.words.keys())
