@@ -30,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phrasemill.session import stored, table
+from phrasemill.session import arrow_rows, stored, table
 
 CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
+ROWS = 1024  # documents that a task takes at a time
 SEARCH_BINS, SEARCH_ROUNDS = 256, 2000
 
 
@@ -244,7 +245,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     """doc_id, piece, start, length, ids_crc32, (ids: little-endian 32-bit,) sequence_id and offset of every piece."""
     schema = _PIECES + ", ids binary" * keep_ids
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_cut(tokenizer, capacity, end, keep_ids), schema)
-    pieces = stored(cut)
+    with arrow_rows(docs.sparkSession, ROWS):
+        pieces = stored(cut)
     tasks = stored(pieces.groupBy("part", "length").count())
     counts = {r.length: r.n for r in tasks.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
     where = slots(local_search(best_fit(counts, capacity), capacity))
