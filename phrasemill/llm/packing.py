@@ -34,7 +34,7 @@ from phrasemill.session import arrow_rows, stored, table
 
 CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 900_000
 ROWS = 1024  # documents that a task takes at a time
 SEARCH_BINS, SEARCH_ROUNDS = 256, 2000
 
@@ -75,10 +75,11 @@ class WordEncoder:
         split = [[] if odd else self.APART.findall(t.lower()) for t, odd in zip(texts, whole, strict=True)]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = list(set().union(*split) - self.words.keys())
+        own = set().union(*split)
+        new = [w for w in own if w not in self.words]
         for at in range(0, len(new), 4096):
             self._learn(new[at : at + 4096])
-        get = self.words.__getitem__
+        get = dict(zip(own, map(self.words.__getitem__, own), strict=True)).__getitem__  # small, so that it stays in the processor's caches
         return [self._ids(t.decode()).tobytes() if odd else b"".join(map(get, s)) for t, odd, s in zip(texts, whole, split, strict=True)]
 
 
@@ -96,8 +97,8 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
         seen = np.zeros(capacity + 1, np.int64)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
                 out: list[tuple] = []
                 for doc, ids in zip(rows.column(0).to_pylist(), encoder(path).encode(rows.column(1).to_pylist()), strict=True):
                     ids += tail
