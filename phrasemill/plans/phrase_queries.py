@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, blocks
+from phrasemill.functions.sql import register
 from phrasemill.operators import codec
 from phrasemill.operators.phrases import decode, decode_with, join_blocks, map_column, parse, parse_with, phrase_rows, statistics
 from phrasemill.operators.suffix_index import count_occurrences, runs, smaller_neighbours, suffix_array
@@ -199,6 +200,20 @@ def pattern_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+def sql_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The LZ78 parsing as a table function in SQL."""
+    ship(spark)
+    register(spark)
+    short_texts(spark, folder).select("item_id", "b").createOrReplaceTempView("phrasemill_short_texts")
+    return spark.sql("SELECT item_id, sum(p.len) AS covered, max(p.pos) < sum(p.len) AS ordered FROM phrasemill_short_texts, LATERAL phrases(b, 'lz78') p GROUP BY item_id")
+
+
+def run_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of the items united with runs found again in their second halves, without repeats."""
+    found = maximal_runs(spark, folder)
+    return found.unionByName(found.filter("start >= 60")).distinct()
+
+
 def encoded_payload(spark: SparkSession, folder: str) -> DataFrame:
     """A payload with its header: algorithm, little-endian size, and whether it reads back."""
     ship(spark)
@@ -219,7 +234,7 @@ QUERIES |= {"lz77_counts": _counts("lz77", threshold=2), "lz78_counts": _counts(
 QUERIES |= {
     f.__name__: f
     for f in (
-        blockwise_roundtrip, shared_dictionary_roundtrip, phrase_statistics, phrase_at_position, phrase_of_position, token_bits, huffman_totals, maximal_runs, nearest_smaller, pattern_counts, encoded_payload,
+        blockwise_roundtrip, shared_dictionary_roundtrip, phrase_statistics, phrase_at_position, phrase_of_position, token_bits, huffman_totals, maximal_runs, run_union, sql_phrases, nearest_smaller, pattern_counts, encoded_payload,
     )
 }
 
@@ -244,6 +259,7 @@ e AS (SELECT item_id, n, p, unnest(range(0, n - p)) i, h FROM b), m AS (SELECT i
 g AS (SELECT item_id, p, i, i - row_number() OVER (PARTITION BY item_id, p ORDER BY i) k FROM m),
 r AS (SELECT item_id, p, min(i) AS start, count(*) + p AS length FROM g GROUP BY item_id, p, k HAVING count(*) >= p)
 SELECT item_id, start, min(p) AS period, length FROM r GROUP BY item_id, start, length""",
+    "sql_phrases": "SELECT item_id, octet_length(encode(substr(text, 1, 120)))::BIGINT AS covered, true AS ordered FROM benchmark",
     "nearest_smaller": f"""WITH {_HEX}, u AS (SELECT item_id, unnest(range(0, length(h) // 2)) AS pos, h FROM h),
 w AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY substr(h, 2 * pos + 1)) r FROM u)
 SELECT a.item_id, a.pos, coalesce(max_by(b.pos, b.r) FILTER (b.r < a.r), -1) AS before, coalesce(min_by(b.pos, b.r) FILTER (b.r > a.r), -1) AS after
@@ -252,3 +268,4 @@ FROM w a LEFT JOIN w b ON a.item_id = b.item_id AND b.pos < a.pos GROUP BY 1, 2"
     "encoded_payload": """WITH n AS (SELECT item_id, octet_length(encode(text)) n FROM benchmark) SELECT item_id, 'raw' AS algo,
  lpad(upper(to_hex(n & 255)), 2, '0') || lpad(upper(to_hex(n >> 8)), 2, '0') || '000000' AS head, (n + 5)::INTEGER AS size FROM n""",
 }
+ORACLE_SQL["run_union"] = ORACLE_SQL["maximal_runs"]

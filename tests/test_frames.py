@@ -56,6 +56,14 @@ def test_stream_in_batches_equals_batch(spark, tmp_path):
     assert last_of(run_to_end(streaming_prefixes(texts, "k", "b", "event_id", 30), "prefixes", "update"), "k").count() > 5
 
 
+def test_entry(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark).collect()
+    assert len(rows) == 20 and rows[0].c >= rows[-1].c
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
 def test_the_library_stands_without_llm(tmp_path):
     root = Path(__file__).resolve().parents[1]
     code = (

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from phrasemill.functions import numbers
-from phrasemill.operators import codec
+from phrasemill.operators import codec, succinct
 from phrasemill.operators.parsers import PARSERS, StaticTrie, decode_lzend
 from phrasemill.operators.suffix_index import RangeMin, RankIndex, count_occurrences, extension, lcp_array, runs, suffix_array
 from phrasemill.operators.summaries import Attractor, CountMin, Counters, MinBuckets, PrefixSummary, SketchStrings, StringSummary
@@ -187,3 +187,20 @@ def test_prefix_summary_is_closed_under_prefixes():
     place, length = attractor.match(b"abc", 0)
     attractor.update(place, length, ord("a"))
     assert attractor.chars.count(b"a") == 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=1, max_size=300), st.binary(min_size=1, max_size=120), st.lists(st.integers(0, 5000), max_size=60))
+def test_succinct(bits, data, values):
+    plain, classes = succinct.BitRank(bits), succinct.ClassVector(bits)
+    for i in range(len(bits)):
+        assert plain.rank1(i) == classes.rank1(i) == sum(bits[: i + 1]) and plain.rank0(i) == i + 1 - plain.rank1(i)
+        assert plain.access(i) == classes.access(i) == bits[i]
+    assert plain.between(0, len(bits) - 1) == sum(bits)
+    tree = succinct.WaveletTree(data)
+    for c in set(data) | {0, 255}:
+        assert [tree.rank(c, i) for i in range(len(data))] == [data[: i + 1].count(c) for i in range(len(data))]
+    values = sorted(values)
+    packed = succinct.EliasFano(values)
+    assert [packed.access(i) for i in range(len(values))] == values
+    assert packed.predecessor(2500) == sum(v <= 2500 for v in values) - 1
