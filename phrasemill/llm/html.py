@@ -68,11 +68,12 @@ def _kind(tag: str, attributes: str, central: bool) -> int:
 
 
 class Page:
-    """Blocks of text and the elements they stand in. events: (class, block or -1, words)."""
+    """Blocks of text and the elements they stand in. events: (class, element, words, block or -1)."""
 
     def __init__(self, html: str):
-        self.events: list[tuple[str, int, int]] = []
+        self.events: list[tuple[str, int, int, int]] = []
         self.blocks: list[list[str]] = []
+        self.plain: list[int] = []  # of a block: its words outside links
         self.owner: list[int] = []  # of a block: its innermost element
         self.parent, self.tag, self.kind, self.chars, self.central = [-1], [""], [0], [0], [False]
         stack, fresh = [0], True
@@ -90,13 +91,15 @@ class Page:
                 if not words:
                     return
                 self.blocks.append([])
+                self.plain.append(0)
                 self.owner.append(here)
                 fresh = False
             self.blocks[-1].append(text)
             if words:
                 self.chars[here] += len(text)
                 link = any(self.tag[e] == "a" for e in stack[-3:])
-                self.events.append(("word:link" if link else "word", here, words))
+                self.plain[-1] += 0 if link else words
+                self.events.append(("word:link" if link else "word", here, words, len(self.blocks) - 1))
 
         while at < n:
             found = _TOKEN.search(html, at)
@@ -111,7 +114,7 @@ class Page:
             closing, attributes = found[1] or found[4], found[3] or found[6] or ""
             if tag in BLOCK:
                 fresh = True
-            self.events.append((_tag_class(tag), stack[-1], 1))
+            self.events.append((_tag_class(tag), stack[-1], 1, -1))
             if closing:
                 if any(self.tag[e] == tag for e in stack[1:]):
                     while self.tag[stack.pop()] != tag:
@@ -158,7 +161,9 @@ class Page:
         return out
 
     def classes(self) -> list[tuple[str, int]]:
-        return [(("other:word" if c[0] == "w" else "other:tag") if self.other[e] else c, n) for c, e, n in self.events]
+        """Token classes and counts; the words of a block that is nothing but links are a menu's."""
+        menu = lambda c, b: "word:menu" if c == "word:link" and not self.plain[b] else c
+        return [(("other:word" if c[0] == "w" else "other:tag") if self.other[e] else menu(c, b), n) for c, e, n, b in self.events]
 
 
 def _tag_class(tag: str) -> str:
@@ -191,7 +196,7 @@ def weights() -> dict[str, float]:
             (inside if starts and starts[0] <= i and a <= block <= z else outside)[c] += n
     total_in, total_out = sum(inside.values()), sum(outside.values())
     out = {}
-    for c in ("word", "word:link", "tag:p", "tag:list", "tag:heading", "tag:link", "tag:block", "tag:inline", "other:word", "other:tag"):
+    for c in ("word", "word:link", "word:menu", "tag:p", "tag:list", "tag:heading", "tag:link", "tag:block", "tag:inline", "other:word", "other:tag"):
         odds = math.log((inside[c] + 1) / (total_in + 10)) - math.log((outside[c] + 1) / (total_out + 10))
         out[c] = max(0.5, odds) if c == "word" else odds if c == "word:link" else min(-0.1, odds)
     return out
