@@ -33,10 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.session import stored, table
+from phrasemill.session import arrow_rows, stored, table
 
 LENGTH, TOKEN = 50, 20
 BATCH_BYTES = 8 << 20  # text that a task takes into memory at a time
+ROWS = 1024  # documents in an Arrow batch
 PIECE = 1 << 20  # bytes hashed at a time
 BUCKET_BYTES = 8 << 20  # text whose records make a bucket, about
 SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 32  # the splitters' sample: about so many documents, so many leading tokens of each at most
@@ -373,12 +374,14 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     long_texts = texts.filter(F.octet_length("text") >= LENGTH)
     splitters = _splitters(long_texts)
     dealt = long_texts.mapInArrow(_deal_by_token(splitters), _DEALT)
-    found = stored(dealt.groupBy("bucket").applyInArrow(_sort_bucket(hot), _ROWS))
+    with arrow_rows(docs.sparkSession, ROWS):
+        found = stored(dealt.groupBy("bucket").applyInArrow(_sort_bucket(hot), _ROWS))
     still_open = found.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "span", "lead")).alias("found"))
     packed = long_texts.mapInArrow(_squeeze, "doc_id long, packed binary")
     again = packed.join(still_open.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "found").mapInArrow(_deal_open(splitters), _DEALT)
-    more = again.groupBy("bucket").applyInArrow(_sort_strings, _ROWS)
-    return found.filter("kind = 0").select("doc_id", "span").unionByName(more.select("doc_id", "span"))
+    with arrow_rows(docs.sparkSession, ROWS):
+        more = stored(again.groupBy("bucket").applyInArrow(_sort_strings, _ROWS).select("doc_id", "span"))
+    return found.filter("kind = 0").select("doc_id", "span").unionByName(more)
 
 
 def merge(spans_: list[int]) -> list[tuple[int, int]]:
