@@ -12,7 +12,8 @@ Query blocks meet index blocks by an equi-join on the block number: queries are
 and each pair of blocks is one bounded piece of work.
 
 Defined results: rows with a null id or vector, or with a null or non-finite component, take no part; a
-query is not its own candidate, by id; rows that repeat an id are candidates of their own for others;
+query is not its own candidate, by id; rows that repeat an id are candidates of their own for others and one
+query together;
 shorter vectors count as padded with zeros; quantised components are held within +-2**23; fewer candidates
 than k give fewer rows; an empty table gives an empty result. Other columns do not matter.
 """
