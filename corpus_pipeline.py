@@ -48,7 +48,7 @@ STAGES = [
     ("suffix-array dedup", cut_repeated_spans),
     ("best-fit packing", pack),
 ]
-#: SQL cannot express the tokenizer, the fingerprints or the edit join; the tests hold run() against brute force.
+#: SQL cannot express the tokenizer, the fingerprints or the edit join; the tests hold the stages against plain programs.
 ORACLE_SQL = None
 
 
