@@ -15,7 +15,7 @@ from phrasemill.operators import codec
 from phrasemill.operators.phrases import decode, decode_with, join_blocks, map_column, parse, parse_with, phrase_rows, statistics
 from phrasemill.operators.suffix_index import count_occurrences, runs, smaller_neighbours, suffix_array
 from phrasemill.operators.topk import frequent_prefixes
-from phrasemill.plans.byte_queries import documents, short_texts
+from phrasemill.plans.byte_queries import PREFIX, documents, short_texts, whole
 from phrasemill.session import ship, table
 
 WINDOW = 4096
@@ -93,11 +93,11 @@ def _counts(algo: str, **options: int) -> Callable[[SparkSession, str], DataFram
     return run
 
 
-def phrase_statistics(spark: SparkSession, folder: str) -> DataFrame:
+def phrase_statistics(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """Statistics of the LZ77 phrases of every item; what they must satisfy is stated as one column."""
     ship(spark)
-    stats = statistics(parse(short_texts(spark, folder).select("item_id", "b"), "lz77"), "item_id")
-    sizes = short_texts(spark, folder).select("item_id", F.octet_length("b").cast("long").alias("n"))
+    stats = statistics(parse(short_texts(spark, folder, chars).select("item_id", "b"), "lz77"), "item_id")
+    sizes = short_texts(spark, folder, chars).select("item_id", F.octet_length("b").cast("long").alias("n"))
     sound = (F.col("n_phrases") == F.col("n_refs") + F.col("n_literals")) & (F.col("total_len") == F.col("n")) & (F.coalesce("longest", F.lit(0)) <= F.col("n")) & (F.coalesce("furthest", F.lit(0)) < F.col("n"))
     return stats.join(sizes, "item_id").select("item_id", F.col("total_len"), sound.alias("sound"))
 
@@ -165,10 +165,10 @@ def token_bits(spark: SparkSession, folder: str) -> DataFrame:
     return stats.select("doc_id", "block", "type", "n", "lo", "hi", "mean", width.alias("width"), (width * F.col("n")).alias("bits"))
 
 
-def huffman_totals(spark: SparkSession, folder: str) -> DataFrame:
+def huffman_totals(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """Bits of each item's order-0 Huffman code: at least the entropy, less than a bit more for each byte."""
     ship(spark)
-    short = short_texts(spark, folder).select("item_id", "b").filter(F.octet_length("b") > 0)
+    short = short_texts(spark, folder, chars).select("item_id", "b").filter(F.octet_length("b") > 0)
     bits = map_column(short.withColumn("copy", F.col("b")), "copy", "bits", "bigint", lambda c: pa.array([codec.huffman_bits(Counter(x)) for x in c.to_pylist()], pa.int64()))
     ones = short.select("item_id", F.explode(F.split(F.regexp_replace(F.hex("b"), "(..)", "$1 "), " ")).alias("h")).filter("h <> ''").groupBy("item_id", "h").count()
     sums = ones.groupBy("item_id").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log2("count")).alias("s"))
@@ -176,21 +176,21 @@ def huffman_totals(spark: SparkSession, folder: str) -> DataFrame:
     return bits.join(sums, "item_id").select("item_id", ((F.col("bits") >= entropy - 1e-6) & (F.col("bits") <= entropy + F.col("n"))).alias("within"))
 
 
-def maximal_runs(spark: SparkSession, folder: str) -> DataFrame:
+def maximal_runs(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """Maximal repetitions (start, period, length) of every item, sorted and without repeats."""
     ship(spark)
     kind = "array<struct<start:bigint,period:bigint,length:bigint>>"
     arrow = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "period", "length")]))
-    found = map_column(short_texts(spark, folder).select("item_id", "b"), "b", "runs", kind, lambda c: pa.array([[dict(zip(("start", "period", "length"), r, strict=True)) for r in runs(x)] for x in c.to_pylist()], arrow))
+    found = map_column(short_texts(spark, folder, chars).select("item_id", "b"), "b", "runs", kind, lambda c: pa.array([[dict(zip(("start", "period", "length"), r, strict=True)) for r in runs(x)] for x in c.to_pylist()], arrow))
     return found.select("item_id", F.explode("runs").alias("r")).select("item_id", "r.*")
 
 
-def nearest_smaller(spark: SparkSession, folder: str) -> DataFrame:
+def nearest_smaller(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """For each place, the nearest suffixes in order before and after it that start earlier (-1: none)."""
     ship(spark)
     kind, arrow = "array<struct<before:bigint,after:bigint>>", pa.list_(pa.struct([("before", pa.int64()), ("after", pa.int64())]))
     near = lambda x: [{"before": a, "after": b} for a, b in zip(*smaller_neighbours(suffix_array(x)), strict=True)]
-    found = map_column(short_texts(spark, folder).select("item_id", "b"), "b", "near", kind, lambda c: pa.array([near(x) for x in c.to_pylist()], arrow))
+    found = map_column(short_texts(spark, folder, chars).select("item_id", "b"), "b", "near", kind, lambda c: pa.array([near(x) for x in c.to_pylist()], arrow))
     return found.select("item_id", F.posexplode("near").alias("pos", "n")).select("item_id", F.col("pos").cast("long").alias("pos"), "n.*")
 
 
@@ -200,17 +200,17 @@ def pattern_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
-def sql_phrases(spark: SparkSession, folder: str) -> DataFrame:
+def sql_phrases(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """The LZ78 parsing as a table function in SQL."""
     ship(spark)
     register(spark)
-    short_texts(spark, folder).select("item_id", "b").createOrReplaceTempView("phrasemill_short_texts")
+    short_texts(spark, folder, chars).select("item_id", "b").createOrReplaceTempView("phrasemill_short_texts")
     return spark.sql("SELECT item_id, sum(p.len) AS covered, max(p.pos) < sum(p.len) AS ordered FROM phrasemill_short_texts, LATERAL phrases(b, 'lz78') p GROUP BY item_id")
 
 
-def run_union(spark: SparkSession, folder: str) -> DataFrame:
+def run_union(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """Runs of the items united with runs found again in their second halves, without repeats."""
-    found = maximal_runs(spark, folder)
+    found = maximal_runs(spark, folder, chars)
     return found.unionByName(found.filter("start >= 60")).distinct()
 
 
@@ -269,3 +269,4 @@ FROM w a LEFT JOIN w b ON a.item_id = b.item_id AND b.pos < a.pos GROUP BY 1, 2"
  lpad(upper(to_hex(n & 255)), 2, '0') || lpad(upper(to_hex(n >> 8)), 2, '0') || '000000' AS head, (n + 5)::INTEGER AS size FROM n""",
 }
 ORACLE_SQL["run_union"] = ORACLE_SQL["maximal_runs"]
+QUERIES |= whole(phrase_statistics, huffman_totals, maximal_runs, run_union, sql_phrases, nearest_smaller)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, slices
 from phrasemill.operators.topk import sketch_cells, sketch_estimates, topk_exact, topk_mergeable, topk_sequential
-from phrasemill.plans.byte_queries import documents, short_texts
+from phrasemill.plans.byte_queries import PREFIX, documents, short_texts, whole
 from phrasemill.session import ship, table
 
 
@@ -96,16 +96,16 @@ def _dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def dictionary_probe(spark: SparkSession, folder: str) -> DataFrame:
+def dictionary_probe(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """Places of the items' 4-byte strings that stand in the dictionary: a hash probe of a bounded table."""
-    grams = short_texts(spark, folder).select("item_id", F.posexplode(slices(F.col("b"), 4)).alias("pos", "g")).select("item_id", F.col("pos").cast("long").alias("pos"), F.hex("g").alias("s"))
+    grams = short_texts(spark, folder, chars).select("item_id", F.posexplode(slices(F.col("b"), 4)).alias("pos", "g")).select("item_id", F.col("pos").cast("long").alias("pos"), F.hex("g").alias("s"))
     own = _dictionary(spark, folder).filter("depth = 4")
     return grams.join(F.broadcast(own), "s").select("item_id", "pos", "s", "freq")
 
 
-def longest_match(spark: SparkSession, folder: str) -> DataFrame:
+def longest_match(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
     """The dictionary's longest match at every place: one equi-join over all depths, not a prefix join."""
-    texts = short_texts(spark, folder)
+    texts = short_texts(spark, folder, chars)
     out = None
     for size in (1, 2, 3, 4):
         part = texts.select("item_id", F.posexplode(slices(F.col("b"), size)).alias("pos", "g")).select("item_id", F.col("pos").cast("long").alias("pos"), F.hex("g").alias("s"))
@@ -187,3 +187,4 @@ FROM e LEFT JOIN d k ON k.parent = e.s JOIN d q ON q.parent = e.parent""",
 SELECT item_id, (CASE WHEN substr(h, 1, 2) IN (SELECT s FROM e) THEN 1 ELSE 0 END + CASE WHEN h IN (SELECT s FROM e) THEN 1 ELSE 0 END)::BIGINT AS depth FROM h""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+QUERIES |= whole(dictionary_probe, longest_match)
