@@ -84,11 +84,14 @@ def _cover(algo: str, options: dict) -> Callable[[SparkSession, str], DataFrame]
     return run
 
 
-def _counts(algo: str, **options: int) -> Callable[[SparkSession, str], DataFrame]:
+def _counts(algo: str, whole_texts: bool = False, **options: int) -> Callable[[SparkSession, str], DataFrame]:
+    """Phrases of every item's whole bytes; without whole_texts as in the SQL, which counts characters:
+    of the prefixes, and only of those that are ASCII."""
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
-        texts = short_texts(spark, folder).filter(F.octet_length("b") == F.length("s")).select("item_id", "b")
-        return parse(texts, algo, **options).select("item_id", F.size("phrases").cast("long").alias("z"), F.aggregate("phrases", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("n"))
+        texts = short_texts(spark, folder, None) if whole_texts else short_texts(spark, folder).filter(F.octet_length("b") == F.length("s"))
+        return parse(texts.select("item_id", "b"), algo, **options).select("item_id", F.size("phrases").cast("long").alias("z"), F.aggregate("phrases", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("n"))
 
     return run
 
@@ -231,6 +234,7 @@ QUERIES = {name: _round_trip(*spec) for name, spec in ROUND_TRIPS.items()}
 QUERIES |= {name: _cover(*spec) for name, spec in COVERS.items()}
 QUERIES |= {f"{c}_roundtrip": _coded(c) for c in ("huffman", "binary", "rans", "vitter")}
 QUERIES |= {"lz77_counts": _counts("lz77", threshold=2), "lz78_counts": _counts("lz78")}
+QUERIES |= {"whole_lz77_counts": _counts("lz77", whole_texts=True, threshold=2), "whole_lz78_counts": _counts("lz78", whole_texts=True)}
 QUERIES |= {
     f.__name__: f
     for f in (

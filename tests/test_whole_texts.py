@@ -105,6 +105,25 @@ def fold(x):
     return h
 
 
+def lz77(x):
+    """Greedy: the longest string of two bytes or more that starts earlier, or one byte."""
+    i = z = 0
+    while i < len(x):
+        n = max(common(x[j:], x[i:]) for j in range(i)) if i else 0
+        i, z = i + (n if n > 1 else 1), z + 1
+    return [(z, len(x))]
+
+
+def lz78(x):
+    """The longest phrase so far and one byte more."""
+    own, i, z = {b""}, 0, 0
+    while i < len(x):
+        n = max(len(w) for w in own if x.startswith(w, i)) + 1
+        own.add(x[i : i + n])
+        i, z = i + n, z + 1
+    return [(z, len(x))]
+
+
 WANTED = {
     "rank_prefix": ("pos rank_e rank_own", lambda x: [(i, x[: i + 1].count(b"e"), x[: i + 1].count(x[i : i + 1])) for i in range(len(x))]),
     "range_rank": ("pos in_range", lambda x: [(i, x[max(0, i - 15) : i + 1].count(b"e")) for i in range(len(x))]),
@@ -124,6 +143,8 @@ WANTED = {
     "reference_filters": ("kept filtered", references),
     "dictionary_probe": ("pos s freq", lambda x: [(i, x[i : i + 4].hex().upper(), dictionary()[x[i : i + 4]]) for i in range(len(x) - 3) if x[i : i + 4] in dictionary()]),
     "longest_match": ("pos depth", matches),
+    "lz77_counts": ("z n", lz77),
+    "lz78_counts": ("z n", lz78),
     "phrase_statistics": ("total_len sound", lambda x: [(len(x), True)]),
     "huffman_totals": ("within", lambda x: [(True,)]),
     "maximal_runs": ("start period length", repeats),
