@@ -2,11 +2,11 @@
 
 Lengths are at most the capacity, so the whole problem is a histogram of as many numbers, however many
 documents there are. It is packed on the driver in patterns (a bin's contents, and how many bins have
-them): best-fit decreasing first, then a swap-based local search among the underfull bins (moves,
-one-for-one and two-for-one exchanges that increase the sum of squared fills, until a bin is empty).
-Every placement of a length splits at most one pattern, so there are at most two patterns for each length
-before the search, and the search adds at most two for each exchange, whose number is bounded; the
-patterns that are sent to the tasks are a few MB at most. Pieces find their places by their rank among
+them): best-fit decreasing first, then a swap-based local search among all underfull bins (moves,
+one-for-one and two-for-one exchanges that increase the sum of squared fills, until none is left or the
+bins are as few as the tokens allow). Every placement of a length splits at most one pattern, so there are
+at most two patterns for each length before the search; an exchange of two patterns is made as often as
+both have bins, so it uses up one of them and makes at most two. Pieces find their places by their rank among
 pieces of their length: a running number in each task, plus a sum over the tasks before.
 
 Defined results: a null text is empty (one end-of-document token); a document longer than the capacity is
@@ -19,9 +19,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,6 @@ CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CACHED_WORDS = 900_000
 ROWS = 1024  # documents that a task takes at a time
-SEARCH_BINS, SEARCH_ROUNDS = 256, 2000
 
 
 class WordEncoder:
@@ -148,63 +149,109 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [(content, bins) for patterns in by_room.values() for content, bins in patterns]
 
 
-def local_search(patterns: list[tuple[dict[int, int], int]], capacity: int, bins: int = SEARCH_BINS, rounds: int = SEARCH_ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Exchanges between underfull bins (the emptiest ``bins`` of them) that increase the sum of squared
-    fills, until nothing improves or the bins are as few as the tokens allow."""
+def local_search(patterns: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Exchanges between underfull bins that increase the sum of squared fills, until no two bins have one
+    left or the bins are as few as the tokens allow. Bins of one pattern go together: an exchange of two
+    patterns is made as often as both have bins."""
     tokens = sum(x * n * m for content, m in patterns for x, n in content.items())
     least = -(-tokens // capacity)
     total = sum(m for _, m in patterns)
     if total <= least:
         return patterns
-    fill = lambda content: sum(x * n for x, n in content.items())
-    ordered = sorted(patterns, key=lambda p: fill(p[0]))
-    own: list[list[int]] = []
-    rest: list[tuple[dict[int, int], int]] = []
-    for content, m in ordered:
-        taken = min(m, bins - len(own)) if fill(content) < capacity else 0
-        own += [sorted((x for x, n in content.items() for _ in range(n)), reverse=True) for _ in range(taken)]
-        if m > taken:
-            rest.append((content, m - taken))
-    for _ in range(rounds):
-        if total <= least or not _exchange(own, capacity):
-            break
-        before = len(own)
-        own = [b for b in own if b]
-        total -= before - len(own)
-    return rest + [(dict(Counter(b)), 1) for b in own]
-
-
-def _exchange(bins: list[list[int]], capacity: int) -> bool:
-    """One improving exchange: from an emptier bin into a fuller one, the emptiest first."""
-    order = sorted(range(len(bins)), key=lambda i: sum(bins[i]))
-    fills = [sum(b) for b in bins]
-    for low in order:
-        for high in reversed(order):
-            if high == low or fills[high] < fills[low] or not bins[low]:
-                continue
-            room = capacity - fills[high]
-            if not room:
-                continue
-            best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None
-            small, large = sorted(set(bins[low])), sorted(set(bins[high]))
-            pairs = {(x, y): x + y for i, x in enumerate(small) for y in small[i:] if x != y or bins[low].count(x) > 1}
-            for x in small:
-                if x <= room and (best is None or x > best[0]):
-                    best = (x, (x,), ())
-            for gives in [*((x,) for x in small), *pairs]:
-                for y in large:
-                    gain = sum(gives) - y
-                    if 0 < gain <= room and (best is None or gain > best[0]):
-                        best = (gain, gives, (y,))
-            if best:
-                for x in best[1]:
-                    bins[low].remove(x)
-                    bins[high].append(x)
-                for y in best[2]:
-                    bins[high].remove(y)
-                    bins[low].append(y)
-                return True
-    return False
+    full = [(content, m) for content, m in patterns if sum(x * n for x, n in content.items()) == capacity]
+    search = _Search(capacity)
+    for content, m in patterns:
+        search.add(tuple(sorted(Counter(content).elements())), m)
+    while total > least and (exchange := search.next()):
+        total -= search.apply(*exchange)
+    return full + search.full + [(dict(Counter(content)), m) for content, m in search.bins.items()]
+
+
+class _Search:
+    """Underfull patterns (sorted lengths) with their numbers of bins. Sums that a pattern can give (one or
+    two of its lengths) and sums that it can take (up to its room more than nothing or than one of its
+    lengths, which it gives back) are bits of numbers, so that two patterns are compared by one "and". A
+    pattern is compared with all others once; after that only new ones can change its case."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.bins: dict[tuple[int, ...], int] = {}
+        self.gives: dict[tuple[int, ...], int] = {}
+        self.takes: dict[tuple[int, ...], int] = {}
+        self.order: list[tuple[int, tuple[int, ...]]] = []  # by fill
+        self.new: list[tuple[int, tuple[int, ...]]] = []  # a heap: not compared yet, the emptiest first
+        self.full: list[tuple[dict[int, int], int]] = []
+
+    def add(self, content: tuple[int, ...], m: int) -> None:
+        fill = sum(content)
+        if fill == self.capacity or not content:
+            return
+        if content not in self.bins:
+            counts = Counter(content)
+            own = 0
+            for x in counts:
+                own |= 1 << x
+            gives = own
+            for x, n in counts.items():
+                gives |= (own if n > 1 else own & ~(1 << x)) << x
+            self.gives[content] = gives
+            room = (1 << self.capacity - fill) - 1 << 1
+            takes = room
+            for y in counts:
+                takes |= room << y
+            self.takes[content] = takes
+            insort(self.order, (fill, content))
+        self.bins[content] = self.bins.get(content, 0) + m
+        heappush(self.new, (fill, content))
+
+    def drop(self, content: tuple[int, ...], m: int) -> None:
+        self.bins[content] -= m
+        if not self.bins[content]:
+            del self.bins[content], self.gives[content], self.takes[content]
+            del self.order[bisect_left(self.order, (sum(content), content))]
+
+    def next(self) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+        """An emptier pattern that gives and a fuller one (perhaps the same) that takes."""
+        while self.new:
+            fill, own = self.new[0]
+            if own in self.bins:
+                gives, takes = self.gives[own], self.takes[own]
+                for other, high in reversed(self.order):
+                    if other < fill:
+                        break
+                    if gives & self.takes[high] and (high != own or self.bins[own] > 1):
+                        return own, high
+                for other, low in self.order:
+                    if other > fill:
+                        break
+                    if takes & self.gives[low] and (low != own or self.bins[own] > 1):
+                        return low, own
+            heappop(self.new)
+        return None
+
+    def apply(self, low: tuple[int, ...], high: tuple[int, ...]) -> int:
+        """Make the exchange that moves most; the number of bins that are empty after it."""
+        room, gives = self.capacity - sum(high), self.gives[low]
+        moved = lambda y: (gives & ((1 << room) - 1 << y + 1)).bit_length() - 1 - y
+        back = max({0, *high}, key=lambda y: (moved(y), -y))
+        given = moved(back) + back
+        counts = Counter(low)
+        out = (given,) if given in counts else next((x, given - x) for x in low if counts[given - x] > (2 * x == given))
+        less, more = list(low), list(high)
+        for x in out:
+            less.remove(x)
+            more.append(x)
+        if back:
+            more.remove(back)
+            less.append(back)
+        times = self.bins[low] // 2 if low == high else min(self.bins[low], self.bins[high])
+        self.drop(low, times)
+        self.drop(high, times)
+        self.add(tuple(sorted(less)), times)
+        self.add(tuple(sorted(more)), times)
+        if sum(more) == self.capacity:
+            self.full.append((dict(Counter(more)), times))
+        return 0 if less else times
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -208,6 +209,32 @@ def test_packing_search():
         assert sum(b for _, b in found) <= sum(b for _, b in first)
 
 
+def _improves(low, high, room):
+    """Whether one or two lengths of low, for one of high or none, make the fuller high fuller still."""
+    gives = {(x,) for x in low} | {(low[i], low[j]) for i in range(len(low)) for j in range(i)}
+    return sum(low) <= sum(high) and any(0 < sum(g) - y <= room - sum(high) for g in gives for y in {0, *high})
+
+
+def test_packing_search_takes_all_underfull_bins():
+    for seed in range(8):
+        draw = random.Random(seed)
+        counts = {draw.randint(15, 60): draw.randint(2000, 9000) for _ in range(12)}
+        first = packing.best_fit(counts, 100)
+        found = packing.local_search(first, 100)
+        least = -(-sum(x * n for x, n in counts.items()) // 100)
+        assert sum(b for _, b in found) <= sum(b for _, b in first)
+        total = Counter()
+        for content, bins in found:
+            assert bins > 0 and sum(x * n for x, n in content.items()) <= 100
+            total.update({x: n * bins for x, n in content.items()})
+        assert total == counts
+        if sum(b for _, b in found) > least:
+            bins = Counter()
+            for content, n in found:
+                bins[tuple(Counter(content).elements())] += n
+            assert not any(_improves(a, z, 100) for a in bins for z in bins if sum(z) < 100 and (a != z or bins[a] > 1))
+
+
 def test_packing_tokens(spark):
     from tokenizers import Tokenizer
 
