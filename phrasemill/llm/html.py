@@ -48,23 +48,30 @@ SCOPE = frozenset("ul ol dl table div section article main body".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _NAME = re.compile(r"[a-z]+")
+# Class names and ids that only ever mean other matter, however much of the page it is; "has-sidebar" or
+# "comments-open" say something of a page's main part and are not among them.
+_SURE = re.compile(
+    r"(?:(?:the|user|reader|post|article|page|entry|blog)[-_]+)?(?:ads?|adverts?|advertisements?|cookies?|comments?|reply|replies|respond|disqus|related|recommended)"
+    r"(?:[-_]+(?:list|section|area|threads?|wrap|wrapper|container|box|block|body|content|items?|posts|articles|stories|links|slot|unit|banner|notice|bar|consent|\d+))*|adbox|sidebar"
+)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
-HARD, SOFT = 2, 1
+HARD, SURE, SOFT = 3, 2, 1
 
 
 def _kind(tag: str, attributes: str, central: bool) -> int:
-    """Whether an element holds other matter: HARD by its tag or role, SOFT by its class or id."""
+    """Whether an element holds other matter: HARD by its tag or role, SURE or SOFT by its class or id."""
     if tag in OTHER or (tag == "header" and not central):
         return HARD
     if not attributes or tag in ("html", "body") or tag in CENTRAL and "comment" not in attributes.lower():
         return 0
+    kind = 0
     for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "role" and value in OTHER_ROLES or name == "style" and "display:none" in value.replace(" ", ""):
             return HARD
         if name in ("class", "id") and not OTHER_NAMES.isdisjoint(_NAME.findall(value)):
-            return SOFT
-    return 0
+            kind = max(kind, SURE if any(map(_SURE.fullmatch, value.split())) else SOFT)
+    return kind
 
 
 class Page:
@@ -146,8 +153,8 @@ class Page:
             self.central[self.parent[e]] |= self.central[e]
         other = [False] * len(self.tag)
         for e in range(1, len(self.tag)):
-            soft = self.kind[e] == SOFT and not self.central[e] and self.chars[e] * 2 <= self.chars[0]
-            other[e] = other[self.parent[e]] or self.kind[e] == HARD or soft
+            soft = self.kind[e] and not self.central[e] and (self.kind[e] == SURE or self.chars[e] * 2 <= self.chars[0])
+            other[e] = other[self.parent[e]] or self.kind[e] == HARD or bool(soft)
         self.other = other
 
     def text(self, block: int) -> str:

@@ -303,6 +303,17 @@ def test_html_regions():
     assert extract(page) == "Title & more\nFirst para bold text.\nSecond\nline\nOne\nTwo\nEnd."
 
 
+def test_html_long_comments():
+    story = " ".join(f"story{i}" for i in range(200))
+    said = "".join(f"<p>{' '.join(f'said{i}' for i in range(60))}</p>" for _ in range(10))
+    for name in ("class='comments'", "id='comment-list'", "class='box reader-comments'", "class='sidebar'", "class='related-posts'"):
+        assert extract(f"<body><article><p>{story}</p></article><div {name}>{said}</div></body>") == story
+        assert extract(f"<body><article><p>{story}</p><div {name}>{said}</div></article></body>") == story
+        assert extract(f"<body><div><p>{story}</p></div><div {name}>{said}</div></body>") == story
+    for name in ("has-sidebar", "comments-open", "notice"):
+        assert extract(f"<body><div class='{name}'><p>{story}</p></div></body>") == story
+
+
 def test_quality_rules_agree_with_labels(spark):
     kept = {r.doc_id: r.kept for r in quality.quality_rules(table(spark, "/root/testdata/sf0.01", "documents")).filter("NOT base_failed").collect()}
     pairs = [(kept[r.doc_id], r.quality) for r in table(spark, "/root/testdata/sf0.01", "labels").collect() if r.doc_id in kept]
