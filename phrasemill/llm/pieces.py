@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations: forward filtering, backward sampling over the piece lattice.
 
 The lattice of a text falls apart where no piece reaches across: before a run of word marks, and around
-line ends. The forward sums of each distinct part are taken once for a batch of rows, for all parts at a
+line ends. The forward sums of each distinct part are taken once for a batch of rows, for all new parts at a
 time; backward sampling then walks all parts of the batch together. Step s of part j of a row takes its
 uniform number from a hash of (seed, row key, j, s), so a row's segmentation depends on nothing but its key
 and text.
@@ -11,8 +11,9 @@ without a piece is spelt in byte pieces. Spaces are written as word marks after
 model does; a word mark that the text itself holds is spelt in bytes, so decoding gives the text back.
 
 Defined results: a null text is empty and has the one leading mark; an empty text likewise; a null key is
-a key of its own; rows that repeat key and text get equal segmentations; an empty table gives an empty
-result. Other columns do not matter.
+a key of its own; rows that repeat key and text get equal segmentations; a very long text is encoded whole,
+CHUNK_WORDS parts at a time, and a very long part (no space) in time linear in its length; an empty table
+gives an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ import math
 import re
 import zlib
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,8 @@ from phrasemill.session import table
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK, OWN_MARK = "▁", "\udc81"  # the second stands for a word mark of the text itself
 SEED, THETA = 1, 1.0
-CHUNK_WORDS = 400_000
-LONG = 200  # characters of a part beyond which the sums are taken in logarithms, one part at a time
+CHUNK_WORDS = 100_000  # parts of a text that are sampled at a time
+KEPT_NODES = 4_000_000  # of the lattices that a task keeps from one batch to the next, about
 FALLBACK = 1 << 24  # plus the character: an edge that is spelt in bytes
 
 
@@ -61,6 +60,23 @@ def uniforms(seeds: np.ndarray, step: int) -> np.ndarray:
     return (mixed(seeds + np.uint64((step * 0xD1342543DE82EF95) % (1 << 64))) >> np.uint64(11)) / float(1 << 53)
 
 
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.empty(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.view(), np.empty(max(need * 3 // 2 - self.size, len(values)), self.data.dtype)])
+        self.data[self.size : need] = values
+        self.size = need
+
+    def view(self) -> np.ndarray:
+        return self.data[: self.size]
+
+
 class Lattices:
     def __init__(self, path: str, theta: float):
         import sentencepiece
@@ -74,8 +90,6 @@ class Lattices:
         self.log_weight = np.full(size, -theta * math.log(size + 10))
         self.log_weight[plain] = [-theta * math.log(rank[i] + 10) for i in plain]
         self.byte_log = float(-theta * math.log(size + 10))
-        self.scale = 4.0 * theta  # about what a character costs, so that sums stay within range
-        self.weight = np.exp(self.log_weight + self.scale * np.array([len(n) for n in names]))
         self.bytes = [n.replace(MARK, " ").encode() for n in names]
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
@@ -87,6 +101,7 @@ class Lattices:
         self.parts = re.compile(rf"{alone}|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else rf"{MARK}*[^{MARK}]+|{MARK}+")
         self.longest = max(map(len, self.pieces))
         self._trie()
+        self.forget()
 
     def _trie(self) -> None:
         """Transitions (state, character) -> state in an open hash table; the piece that ends in a state."""
@@ -133,23 +148,27 @@ class Lattices:
     def split(self, text: str) -> list[str]:
         return self.parts.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK))
 
-    def _edges(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of all edges; room: characters from each place to its part's end."""
-        state = np.zeros(len(chars), np.int64)
-        active, out = np.arange(len(chars)), []
+    def _edges(self, chars: np.ndarray, width: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece) of all edges, by length and then by place. A node's next one in its part lies
+        width further; inner: whether it has one."""
+        active = np.flatnonzero(inner)
+        state, at, out = np.zeros(len(active), np.int64), active, []
         for n in range(self.longest):
-            active = active[room[active] > n]
-            nxt = self._step(state[active], chars[active + n]) if n else self.first[chars]
-            active, nxt = active[nxt >= 0], nxt[nxt >= 0]
-            state[active] = nxt
-            piece = self.ends[nxt]
-            hit = piece >= 0
-            out.append((active[hit], active[hit] + n + 1, piece[hit]))
-            if n == 0:
-                spelt = np.ones(len(chars), bool)
-                spelt[active[hit]] = False
-                i = np.flatnonzero(spelt)
-                out.append((i, i + 1, FALLBACK + chars[i]))
+            state = self._step(state, chars[at]) if n else self.first[chars[at]]
+            known = state >= 0
+            if n == 0 and not known.all():
+                lost = active[~known]
+                out.append((lost, lost + width[lost], FALLBACK + chars[lost]))
+            active, state, at = active[known], state[known], at[known]
+            at = at + width[at]
+            piece = self.ends[state]
+            hit = np.flatnonzero(piece >= 0)
+            out.append((active[hit], at[hit], piece[hit]))
+            if n == 0 and len(hit) < len(active):
+                lost = active[piece < 0]
+                out.append((lost, lost + width[lost], FALLBACK + chars[lost]))
+            more = inner[at]
+            active, state, at = active[more], state[more], at[more]
             if not len(active):
                 break
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -160,69 +179,93 @@ class Lattices:
         size = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
         return np.where(spelt, size * self.byte_log, self.log_weight[np.where(spelt, 0, piece)])
 
-    def _weight(self, piece: np.ndarray) -> np.ndarray:
-        """exp of the logarithm plus scale for each character."""
-        spelt = np.flatnonzero(piece >= FALLBACK)
-        if not len(spelt):
-            return self.weight[piece]
-        plain = piece.copy()
-        plain[spelt] = 0
-        out = self.weight[plain]
-        out[spelt] = np.exp(self._log(piece[spelt]) + self.scale)
-        return out
+    def forget(self) -> None:
+        """An empty store of lattices: parts by number (first and last node), nodes, edges."""
+        self.numbers: dict[str, int] = {}
+        self.part_ends, self.nodes = [Column(np.int64), Column(np.int64)], Column(np.int64)
+        self.edges = [Column(np.int32), Column(np.int32), Column(np.float64)]  # from node, piece, sum of shares so far
+
+    def sample(self, parts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all parts one after the other, and how many each part has. Lattices of parts are kept
+        for the next call (up to KEPT_NODES nodes; what is kept changes the time only)."""
+        if self.nodes.size > KEPT_NODES:
+            self.forget()
+        if new := set(parts).difference(self.numbers):
+            self._learn(list(new))
+        own = np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
+        return self._walk(self.part_ends[1].view()[own], self.part_ends[0].view()[own], *(c.view() for c in (*self.edges, self.nodes)), seeds)
+
+    def _learn(self, distinct: list[str]) -> None:
+        """The lattices of new parts.
+
+        A part's nodes are its characters' places and one more for its end. They are laid out by place, at
+        each place the longest parts first, so what is at one place of all parts is contiguous. Sums are in
+        logarithms and taken within a node only: what else is in the batch changes nothing."""
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        by_size = np.argsort(-size, kind="stable")
+        rank = np.empty(len(size), np.int64)
+        rank[by_size] = np.arange(len(size))
+        lens = size[by_size]
+        count = np.searchsorted(-lens, -np.arange(int(lens[0]) + 1), side="right")  # parts that have a node at each place
+        first_at = np.concatenate([[0], np.cumsum(count)])
+        total = int(first_at[-1])
+        begin = np.cumsum(lens) - lens
+        row = np.repeat(np.arange(len(lens)), lens)
+        nodes = first_at[np.arange(len(row)) - begin[row]] + row
+        chars = np.zeros(total, np.int64)
+        chars[nodes] = np.frombuffer("".join(map(distinct.__getitem__, by_size.tolist())).encode("utf-32-le", "surrogatepass"), "<u4")
+        inner = np.zeros(total, bool)
+        inner[nodes] = True
+        del row, nodes
+        start, end, piece = self._edges(chars, np.repeat(count, count), inner)
+        order = np.argsort(end, kind="stable")
+        start, piece = start[order], piece[order]
+        each = np.bincount(end, minlength=total)  # edges that end in each node: at least one but in the first ones
+        first = np.cumsum(each) - each
+        share = self._shares(start, self._log(piece), each, first, first_at)
+        upto = share
+        more = np.flatnonzero(each > 1)
+        for j in range(1, int(each.max())):
+            at = first[more] + j
+            upto[at] += upto[at - 1]
+            more = more[each[more] > j + 1]
+        upto[first[each > 0] + each[each > 0] - 1] = 2.0  # the last edge of a node always stops the search
+        nodes, edges = self.nodes.size, self.edges[0].size
+        self.numbers.update(zip(distinct, range(self.part_ends[0].size, self.part_ends[0].size + len(distinct)), strict=True))
+        self.part_ends[0].add(nodes + rank)
+        self.part_ends[1].add(nodes + first_at[size] + rank)
+        self.nodes.add(edges + first)
+        for column, values in zip(self.edges, (start + nodes, piece, upto), strict=True):
+            column.add(values)
 
-    def sample(self, parts: list[int], distinct: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of all parts (numbers into distinct) one after the other, and how many each part has."""
-        lens = np.array([len(d) for d in distinct])
-        chars = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        ends = np.cumsum(lens)
-        begin = ends - lens
-        room = np.repeat(ends, lens) - np.arange(len(chars))
-        start, end, piece = self._edges(chars, room)
-        # A part's nodes are its characters' places and one more for its end. Edges go in order of their ends.
-        word = np.repeat(np.arange(len(lens)), lens)
-        own = word[start]
-        order = np.argsort(end + own, kind="stable")
-        start, end, piece, own = start[order], end[order], piece[order], own[order]
-        from_node, to_node = start + own, end + own
-        firsts = np.flatnonzero(np.concatenate([[True], to_node[1:] != to_node[:-1]]))
-        last = np.append(firsts[1:], len(piece)) - 1
-        depth = np.minimum(end - begin[own], LONG + 1).astype(np.int16)
-        by_depth = np.argsort(depth, kind="stable")
-        bounds = np.searchsorted(depth[by_depth], np.arange(1, LONG + 2))
-        weight = self._weight(piece)
-        alpha = np.zeros(len(chars) + len(lens))
-        alpha[begin + np.arange(len(lens))] = 1.0
-        share = np.zeros(len(piece))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a == b:
+    @staticmethod
+    def _shares(start: np.ndarray, log_w: np.ndarray, each: np.ndarray, first: np.ndarray, first_at: np.ndarray) -> np.ndarray:
+        """Each edge's part of the sum over the paths to its end."""
+        alpha, share = np.zeros(len(each)), np.empty(len(start))
+        edge_at = np.append(first, len(start))[first_at].tolist()
+        for place in range(1, len(first_at) - 1):
+            a, b = edge_at[place], edge_at[place + 1]
+            low, high = first_at[place], first_at[place + 1]
+            value = alpha[start[a:b]] + log_w[a:b]
+            if b - a == high - low:  # one edge each
+                alpha[low:high] = value
+                share[a:b] = 1.0
                 continue
-            edges = by_depth[a:b]
-            to = to_node[edges]
-            value = alpha[from_node[edges]] * weight[edges]
-            first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            total = np.add.reduceat(value, first)
-            alpha[to[first]] = total
-            share[edges] = value / np.repeat(total, np.diff(np.append(first, b - a)))
-        for i in np.flatnonzero(lens > LONG).tolist():
-            edges = np.flatnonzero(own == i)
-            share[edges] = self._shares_by_logs(start[edges] - begin[i], end[edges] - begin[i], self._log(piece[edges]), int(lens[i]))
-        # Sums of shares within each node; the last edge of a node always stops the search.
-        number = np.full(len(alpha), -1)
-        number[to_node[firsts]] = firsts
-        upto = np.cumsum(share)
-        upto -= np.repeat(np.concatenate([[0.0], upto[last[:-1]]]), last - firsts + 1)
-        upto[last] = 2.0
-        return self._walk(np.array(parts, np.int64), ends, begin, from_node, piece, upto, number, seeds)
+            at, many = first[low:high] - a, each[low:high]
+            top = np.maximum.reduceat(value, at)
+            value = np.exp(value - np.repeat(top, many))
+            total = np.add.reduceat(value, at)
+            alpha[low:high] = top + np.log(total)
+            share[a:b] = value / np.repeat(total, many)
+        return share
 
     @staticmethod
-    def _walk(parts, ends, begin, from_node, piece, upto, first_edge, seeds):
+    def _walk(at, stop, from_node, piece, upto, first_edge, seeds):
         """From each part's end to its start: an edge by its share, at every step."""
-        at, stop = ends[parts] + parts, begin[parts] + parts
-        active = np.arange(len(parts))
-        steps, each = [], np.zeros(len(parts), np.int64)
+        active = np.arange(len(at))
+        steps, each = [], np.zeros(len(at), np.int64)
         while len(active):
-            edge = first_edge[at[active]]
+            edge = first_edge[at]
             u = uniforms(seeds[active], len(steps))
             later = np.flatnonzero(u >= upto[edge])
             while len(later):
@@ -230,27 +273,15 @@ class Lattices:
                 later = later[u[later] >= upto[edge[later]]]
             steps.append((active, piece[edge]))
             each[active] += 1
-            at[active] = from_node[edge]
-            active = active[at[active] != stop[active]]
+            at = from_node[edge]
+            inside = at != stop[active]
+            active, at = active[inside], at[inside]
         out = np.empty(int(each.sum()), np.int64)
         end = np.cumsum(each)
         for i, (who, what) in enumerate(steps):
             out[end[who] - 1 - i] = what
         return out, each
 
-    @staticmethod
-    def _shares_by_logs(start: np.ndarray, end: np.ndarray, log_w: np.ndarray, size: int) -> np.ndarray:
-        """The same shares for one long part. Edges come in order of their ends."""
-        alpha, share = np.full(size + 1, -np.inf), np.empty(len(start))
-        alpha[0] = 0.0
-        bounds = np.searchsorted(end, np.arange(1, size + 2))
-        for place, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), 1):
-            value = alpha[start[a:b]] + log_w[a:b]
-            top = value.max()
-            alpha[place] = top + math.log(np.exp(value - top).sum())
-            share[a:b] = np.exp(value - alpha[place])
-        return share
-
     def spell(self, pieces: np.ndarray) -> np.ndarray:
         """Piece ids, with characters that have no piece spelt in bytes."""
         spelt = np.flatnonzero(pieces >= FALLBACK)
@@ -284,9 +315,7 @@ def encode_rows(keys: list[int | None], texts: list[str], path: str = MODEL, see
     def flush() -> None:
         if not words:
             return
-        numbers: dict[str, int] = defaultdict(count().__next__)
-        parts = list(map(numbers.__getitem__, words))
-        pieces, each = model.sample(parts, list(numbers), np.concatenate(draws))
+        pieces, each = model.sample(words, np.concatenate(draws))
         at = np.concatenate([[0], np.cumsum(each)])
         done = 0
         for row, n in rows:

@@ -259,6 +259,25 @@ def test_sampled_pieces_equal_the_plain_form(spark):
         assert ids.tolist() == pieces.reference_sample(key, text) and pieces.lattices().decode(ids.tolist()) == text
 
 
+def test_sampled_pieces_do_not_depend_on_the_batch():
+    """Parts whose paths weigh very little, next to ordinary ones, together and alone."""
+    hard = ["".join(map(chr, range(0x9000, 0x90BE))), "\U0001f600" * 60, "\u1780\u17c6" * 100, "\u0e44\u0e17\u0e22" * 118, "\u12a2\u1275\u12ee" * 31, "QUJDREVGRw0x" * 30, "ab1" * 3000]
+    plain = ["the cat sat on the mat, and it was fine again. " * 20, "words of " + "x" * 300 + " another row"]
+    texts = [t for pair in zip(hard, plain * 4, strict=False) for t in pair]
+    keys = list(range(len(texts)))
+    model = pieces.lattices()
+    together = pieces.encode_rows(keys, texts)
+    for key, text, ids in zip(keys, texts, together, strict=True):
+        model.forget()
+        assert ids.tolist() == pieces.reference_sample(key, text) == pieces.encode_rows([key], [text])[0].tolist()
+    old, pieces.KEPT_NODES, pieces.CHUNK_WORDS = (pieces.KEPT_NODES, pieces.CHUNK_WORDS), 50, 7
+    try:
+        again = pieces.encode_rows(keys, texts)
+    finally:
+        pieces.KEPT_NODES, pieces.CHUNK_WORDS = old
+    assert [x.tolist() for x in again] == [x.tolist() for x in together]
+
+
 def test_sampling_follows_the_weights():
     ids = pieces.encode_rows(list(range(3000)), ["the"] * 3000)
     seen = {}
