@@ -8,20 +8,27 @@ the highest coarse scores are selected from the most significant slice downward;
 be off is bounded by Cauchy-Schwarz from the block's largest remainder, and all rows within that bound of
 the selected ones (the boundary rows) get their exact scores. So the result is exact, ties by vec_id.
 
-Query blocks meet index blocks by an equi-join on the block number: queries are stated (every 50th id),
-and each pair of blocks is one bounded piece of work.
+The contract asks for every query against every row. Query blocks meet index blocks by an equi-join on the
+block's number and the query block's share; a share is SHARE query blocks at most, so a pair of numbers is a
+bounded piece of work, and an index block is sent once for each share.
+
+Scores are exact integers of any size: sums that may pass 2**53 are taken in 64-bit integers, those that may
+pass 2**63 in Python's, as are all scores of rows and queries with components beyond the index (REACH). A score
+outside a long is returned as the nearest long, and ranked by its true value.
 
 Defined results: rows with a null id or vector, or with a null or non-finite component, take no part; a
-query is not its own candidate, by id; rows that repeat an id are candidates of their own for others and one
-query together;
-shorter vectors count as padded with zeros; quantised components are held within +-2**23; fewer candidates
-than k give fewer rows; an empty table gives an empty result. Other columns do not matter.
+query is not its own candidate, by id; rows that repeat an id are candidates of their own for others, and as
+queries they all ask: the k highest of all their scores, a candidate once for each; shorter vectors count as
+padded with zeros; very long vectors are taken whole; fewer candidates than k give fewer rows; an empty table
+gives an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +38,46 @@ from pyspark.sql import functions as F
 from phrasemill.session import stored, table
 
 SCALE, K, EVERY = 256, 5, 50
-BLOCK_ROWS, QUERY_ROWS = 16_384, 128
+BLOCK_ROWS, QUERY_ROWS, SHARE = 16_384, 128, 64
 ROW_BITS, WEIGHT_BITS = 7, 5
-HELD = 1 << 23
+REACH = 1 << 61  # quantised components from here on are not indexed: their rows are scored one by one
+
+
+def quantise(vectors: np.ndarray) -> np.ndarray:
+    return np.floor(vectors * SCALE).astype(np.int64)
+
 
+def whole(vector: np.ndarray) -> list[int]:
+    """The quantised components of a vector of any finite doubles."""
+    return [int(x) * SCALE if abs(x) >= 1 << 53 else math.floor(x * SCALE) for x in vector.tolist()]
 
-def quantise(vectors: list[list[float]]) -> np.ndarray:
+
+def padded(vectors: list[list[float]]) -> np.ndarray:
     width = max(map(len, vectors), default=0)
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    return np.clip(np.floor(out * SCALE), -HELD, HELD).astype(np.int64)
+    return out
+
+
+def sortable(score: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    size = -(-abs(score).bit_length() // 8)
+    return (0x8000 + size).to_bytes(2) + score.to_bytes(size) if score >= 0 else (0x7FFF - size).to_bytes(2) + (score + (1 << 8 * size)).to_bytes(size)
 
 
 class Block:
-    """Rows of an index: ids, integers, and slices of their leading bits."""
+    """Rows of an index: ids, integers, and slices of their leading bits; rows beyond REACH apart."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        far = (np.abs(vectors) >= REACH / SCALE).any(axis=1)
+        self.far = [(int(i), whole(v)) for i, v in zip(ids[far], vectors[far], strict=True)]
+        self.ids, self.values = ids[~far], quantise(vectors[~far])
+        self.n, self.width = self.values.shape
+        if self.n:
+            self._slice(self.values)
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        self.n, self.width = values.shape
+    def _slice(self, values: np.ndarray) -> None:
         self.words = -(-self.n // 64)
         self.low = values.min(axis=0)
         reach = int((values.max(axis=0) - self.low).max()) if self.width else 0
@@ -65,6 +93,7 @@ class Block:
         rest = values - self.low - (coarse.astype(np.int64) << self.drop) - ((1 << self.drop) - 1) / 2
         self.rest = float(np.sqrt((rest**2).sum(axis=1)).max())
         self.reach = float(np.sqrt(((values - values.mean(axis=0)) ** 2).sum(axis=1)).max())
+        self.most = int(np.abs(values).max(initial=0))
         self.exact = values.astype(np.float64)
 
     def coarse_scores(self, weight: np.ndarray) -> list[np.ndarray]:
@@ -98,9 +127,18 @@ class Block:
         return out
 
     def search(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows."""
+        """(score, id) of the k best rows for a vector of doubles."""
+        asked = whole(query)
+        found = [(sum(map(mul, v, asked)), i) for i, v in self.far if i != own_id]
+        if self.n:
+            found += self._near(asked, own_id, k)
+        return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
+
+    def _near(self, asked: list[int], own_id: int, k: int) -> list[tuple[int, int]]:
+        if any(abs(x) >= REACH for x in asked):
+            return [(sum(map(mul, v, asked)), i) for i, v in zip(self.ids.tolist(), self.values.tolist(), strict=True) if i != own_id]
         q = np.zeros(self.width, np.int64)
-        q[: min(len(query), self.width)] = query[: self.width]
+        q[: min(len(asked), self.width)] = asked[: self.width]
         drop = max(0, int(np.abs(q).max(initial=0)).bit_length() - WEIGHT_BITS)
         weight = np.sign(q) * ((np.abs(q) + ((1 << drop) >> 1)) >> drop)
         if weight.any():
@@ -112,7 +150,10 @@ class Block:
         else:
             at = np.arange(self.n)
         at = at[self.ids[at] != own_id]
-        exact = self.exact[at] @ q.astype(np.float64)
+        most = self.most * sum(map(abs, asked))
+        if most >= 1 << 63:
+            return [(sum(map(mul, v, asked)), i) for i, v in zip(self.ids[at].tolist(), self.values[at].tolist(), strict=True)]
+        exact = self.exact[at] @ q.astype(np.float64) if most < 1 << 53 else self.values[at] @ q
         if len(at) > k:
             kept = exact >= np.partition(exact, len(at) - k)[len(at) - k]
             at, exact = at[kept], exact[kept]
@@ -144,45 +185,47 @@ class Block:
         return above | tied
 
 
-def _save(ids: np.ndarray, values: np.ndarray) -> bytes:
+def _save(ids: np.ndarray, vectors: np.ndarray) -> bytes:
     out = io.BytesIO()
-    small = np.abs(values).max(initial=0) < 1 << 15
-    np.savez(out, ids=ids, values=values.astype(np.int16) if small else values)
+    single = vectors.astype(np.float32)
+    np.savez(out, ids=ids, vectors=single if (single == vectors).all() else vectors)
     return out.getvalue()
 
 
 def _load(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     with np.load(io.BytesIO(blob)) as found:
-        return found["ids"], found["values"].astype(np.int64)
+        return found["ids"], found["vectors"].astype(np.float64)
 
 
 def _blocks(size: int):
     def build(group: pa.Table) -> pa.Table:
         ids = group.column("vec_id").to_numpy()
-        blobs = [_save(ids[i : i + size], quantise(group.column("v").slice(i, size).to_pylist())) for i in range(0, len(ids), size)]
-        return pa.table({"blob": pa.array(blobs, pa.binary())})
+        blobs = [_save(ids[i : i + size], padded(group.column("v").slice(i, size).to_pylist())) for i in range(0, len(ids), size)]
+        return pa.table({"number": group.column("number").slice(0, len(blobs)), "blob": pa.array(blobs, pa.binary())})
 
     return build
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of about ``size`` rows (dealt by a hash of the id): number, blob."""
+def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Blocks of about ``size`` rows (dealt by a hash of the row): number, blob; and how many numbers there are."""
     count = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("number", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    blocks = dealt.groupBy("number").applyInArrow(_blocks(4 * size), "blob binary")
-    return stored(blocks.withColumn("number", F.monotonically_increasing_id()))
+    dealt = rows.withColumn("number", F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int"))
+    return stored(dealt.groupBy("number").applyInArrow(_blocks(4 * size), "number int, blob binary")), count
 
 
 def _searched(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, Block] | None = None
+        last: tuple[bytes, Block] | None = None
         for batch in batches:
-            for number, index, queries in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if last is None or last[0] != number:
-                    last = (number, Block(*_load(index.as_buffer().to_pybytes())))
+            for index, queries in zip(batch.column(0), batch.column(1), strict=True):
+                blob = index.as_buffer().to_pybytes()
+                if last is None or last[0] != blob:
+                    last = (blob, Block(*_load(blob)))
                 rows = [(int(i), v, s) for i, q in zip(*_load(queries.as_buffer().to_pybytes()), strict=True) for s, v in last[1].search(q, int(i), k)]
-                columns = zip(*rows, strict=True) if rows else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                query, found, score = zip(*rows, strict=True) if rows else ((), (), ())
+                held = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in score]
+                columns = [*(pa.array(c, pa.int64()) for c in (query, found, held)), pa.array(map(sortable, score), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "exact"])
 
     return search
 
@@ -195,13 +238,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
 
-    index = _packed(sound(vectors), BLOCK_ROWS)
-    asked = _packed(sound(queries).dropDuplicates(["vec_id"]), QUERY_ROWS).withColumnRenamed("blob", "queries").drop("number")
-    numbers = [r.number for r in index.select("number").collect()]
-    wide = asked.withColumn("number", F.explode(F.lit(numbers)) if numbers else F.lit(None).cast("long"))
-    pairs = index.join(wide, "number").select("number", "blob", "queries")
-    found = pairs.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    index, numbers = _packed(sound(vectors), BLOCK_ROWS)
+    asked, blocks = _packed(sound(queries), QUERY_ROWS)
+    shares = -(-blocks // SHARE)
+    wide = asked.select(F.col("blob").alias("queries"), F.pmod("number", F.lit(shares)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("number"))
+    dealt = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    pairs = dealt.join(wide, ["number", "share"]).select("blob", "queries")
+    found = pairs.mapInArrow(_searched(k), "query_id long, vec_id long, score long, exact binary")
+    best = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

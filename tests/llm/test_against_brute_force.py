@@ -295,11 +295,42 @@ def test_bit_slices():
         values = draw.integers(-reach, reach + 1, (700, 16))
         values[100:140] = values[7]
         ids = np.arange(700) * 3
-        block = topk.Block(ids, values)
+        block = topk.Block(ids, values / 256)
         for q in range(0, 700, 35):
             scores = values @ values[q]
             wanted = [i for i in np.lexsort((ids, -scores)) if i != q][:5]
-            assert block.search(values[q], int(ids[q]), 5) == [(int(scores[i]), int(ids[i])) for i in wanted]
+            assert block.search(values[q] / 256, int(ids[q]), 5) == [(int(scores[i]), int(ids[i])) for i in wanted]
+
+
+@pytest.mark.parametrize("reach", [1e5, 1e9, 1e15, 1e17, 1e40, 1e300])
+def test_top_k_of_any_finite_components(spark, reach):
+    draw = np.random.default_rng(11)
+    vectors = draw.uniform(-1, 1, (160, 6)) * reach ** draw.uniform(0.5, 1, (160, 1))
+    vectors[40:44] = vectors[7]
+    ids = list(range(150)) + [50, 50, 100, 3, 3, 3, 7, 8, 9, 0]
+    own = [[int(x) * 256 if abs(x) > 2**53 else int(np.floor(x * 256)) for x in v] for v in vectors.tolist()]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    wanted = []
+    for asked in (0, 50, 100):
+        scores = [(-sum(a * b for a, b in zip(own[q], own[c], strict=True)), ids[c]) for q in range(160) if ids[q] == asked for c in range(160) if ids[c] != asked]
+        wanted += [(asked, r, c, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, c) in enumerate(sorted(scores)[:5], 1)]
+    old, topk.SHARE, topk.QUERY_ROWS, topk.BLOCK_ROWS = (topk.SHARE, topk.QUERY_ROWS, topk.BLOCK_ROWS), 1, 2, 40
+    try:
+        found = topk.top_k(rows, rows.filter("vec_id % 50 = 0")).collect()
+    finally:
+        topk.SHARE, topk.QUERY_ROWS, topk.BLOCK_ROWS = old
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == wanted
+
+
+def test_top_k_sql_of_large_components_and_repeated_ids(spark, tmp_path):
+    draw = np.random.default_rng(12)
+    rows = [(int(i), (draw.uniform(-1, 1, 8) * 1e5).tolist()) for i in [*range(120), 50, 50, 3]] + [(100, [float("inf")] * 8), (101, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = topk.op4_exact_top_k(spark, str(tmp_path)).toPandas()
+    wanted = duck.execute(topk.ORACLE_SQL["op4_exact_top_k"]).df()[list(found.columns)]
+    assert sorted(map(tuple, found.values.tolist())) == sorted(map(tuple, wanted.values.tolist()))
 
 
 def test_lookup_table_is_even_and_stable():
