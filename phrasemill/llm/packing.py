@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -42,22 +43,31 @@ ROWS = 1024  # documents that a task takes at a time
 
 class WordEncoder:
     """Token ids (little-endian 32-bit) of whole texts. The tokenizer drops white space and never joins
-    words across it, so a text's ids are its words' ids; those are cached. New words go through the
-    tokenizer together, parted by a word that is one token and stands in no other. Texts that may hold one
-    of the tokenizer's special tokens, or the parting character, go through it whole."""
+    words across it, so a text's ids are its words' ids; those are cached. New words of Latin-1 characters are
+    split as the tokenizer does and go through its merges one by one; others go through the whole tokenizer
+    together, parted by a word that is one token and stands in no other. Texts that may hold one of the
+    tokenizer's special tokens, or the parting character, go through it whole."""
 
     PART = "\x01"
     # The tokenizer lowers case and never joins a letter with what is neither letter, digit nor apostrophe.
-    APART = re.compile(rb"[a-z]+(?![a-z0-9'\x80-\xff])|\S+")
+    APART = re.compile(rb"[a-z]++(?![a-z0-9'\x80-\xff])|\S+")
+    # The tokenizer's own split, for Latin-1 characters (which no normal form changes) in lower case.
+    SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.words = Tokenizer.from_file(path), {}
         self.part = self._ids(self.PART)
         if len(self.part) != 1:
             raise ValueError("the parting word must be one token")
+        # Bytes of the byte-level alphabet: printable ones stand for themselves, the others come after U+00FF.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = [x for x in range(256) if x not in plain]
+        self.letters = {x: 0x100 + i for i, x in enumerate(others)}
+        if {chr(self.letters.get(x, x)) for x in range(256)} != set(pre_tokenizers.ByteLevel.alphabet()):
+            raise ValueError("the tokenizer's byte alphabet is another one")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -71,13 +81,30 @@ class WordEncoder:
         starts = (np.concatenate([[0], ends[:-1] + 1]) * 4).tolist()
         self.words.update(zip(words, map(data.__getitem__, map(slice, starts, (ends * 4).tolist())), strict=True))
 
+    def _learn_latin(self, words: list[bytes]) -> list[bytes]:
+        """Learns words of Latin-1 characters; the other words."""
+        merges, split, letters, known, others = self.tokenizer.model.tokenize, self.SPLIT.findall, self.letters, self.words, []
+        pack = struct.Struct
+        for word in words:
+            text = word.decode()
+            if word.isalpha():
+                parts = (text,)
+            else:
+                if max(text) > "\xff" or "\x85" in text or "\xa0" in text:
+                    others.append(word)
+                    continue
+                parts = [p.encode().decode("latin-1").translate(letters) for p in split(text.lower())]
+            ids = [t.id for p in parts for t in merges(p)]
+            known[word] = pack(f"<{len(ids)}I").pack(*ids)
+        return others
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         whole = [b"<|" in t or b"\x01" in t for t in texts]
         split = [[] if odd else self.APART.findall(t.lower()) for t, odd in zip(texts, whole, strict=True)]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         own = set().union(*split)
-        new = [w for w in own if w not in self.words]
+        new = self._learn_latin(list(own.difference(self.words)))
         for at in range(0, len(new), 4096):
             self._learn(new[at : at + 4096])
         get = dict(zip(own, map(self.words.__getitem__, own), strict=True)).__getitem__  # small, so that it stays in the processor's caches
