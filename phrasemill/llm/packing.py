@@ -1,17 +1,19 @@
 """Packing of documents into sequences of a fixed number of tokens.
 
 Lengths are at most the capacity, so the whole problem is a histogram of as many numbers, however many
-documents there are. It is packed on the driver in patterns (a bin's contents, and how many bins have
-them): best-fit decreasing first, then a swap-based local search among all underfull bins (moves,
-one-for-one and two-for-one exchanges that increase the sum of squared fills, until none is left or the
-bins are as few as the tokens allow). Every placement of a length splits at most one pattern, so there are
-at most two patterns for each length before the search; an exchange of two patterns is made as often as
-both have bins, so it uses up one of them and makes at most two. Pieces find their places by their rank among
-pieces of their length: a running number in each task, plus a sum over the tasks before.
+documents there are. It is packed on the driver in patterns (a bin's contents, and how many bins have them) by
+a local search that begins with every piece in an underfull bin of its own. Moves come first: the fullest
+underfull bin takes the longest lone piece that fits best, which increases the sum of squared fills and
+empties the piece's bin. Then moves, one-for-one and two-for-one exchanges between all underfull bins go on
+increasing it, until none is left or the bins are as few as the tokens allow. Bins of one pattern go together:
+what is done to two patterns is done as often as both have bins, so it uses up one of them and makes at most
+two, and the work grows with the number of lengths, not of documents. Pieces find their places by their rank
+among pieces of their length: a running number in each task, plus a sum over the tasks before (a table of as
+many rows as tasks have lengths; it is broadcast up to BROADCAST rows and dealt out with the pieces beyond).
 
 Defined results: a null text is empty (one end-of-document token); a document longer than the capacity is
-cut; ties (equal lengths) are placed in the order of tasks and rows; repeated rows are packed one by one; an
-empty table gives an empty result. Other columns do not matter.
+cut, however long it is; ties (equal lengths) are placed in the order of tasks and rows; repeated rows are
+packed one by one; an empty table gives an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CACHED_WORDS = 900_000
 ROWS = 1024  # documents that a task takes at a time
+BROADCAST = 500_000  # rows (task, length, sum) that may be broadcast: about 20 MB
 
 
 class WordEncoder:
@@ -144,48 +147,69 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
     return cut
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on a histogram of lengths: patterns (contents by length, number of bins)."""
-    by_room: dict[int, list[list]] = {}
-    mask = 0
+def alone(counts: dict[int, int]) -> list[tuple[dict[int, int], int]]:
+    """Every piece in a bin of its own, as patterns (contents by length, number of bins)."""
+    return [({x: 1}, n) for x, n in counts.items() if n > 0]
 
-    def put(room: int, content: dict[int, int], bins: int) -> None:
+
+def fill(content: dict[int, int]) -> int:
+    return sum(x * n for x, n in content.items())
+
+
+def move_lone(patterns: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The fullest underfull bin takes the longest lone piece that fits (as often as it fits, if there are
+    enough), until no lone piece fits in a bin that is fuller than its own."""
+    lone: Counter[int] = Counter()
+    bins: list[tuple[int, int, dict[int, int], int]] = []  # a heap: the fullest first
+    for content, m in patterns:
+        if sum(content.values()) == 1:
+            lone.update({next(iter(content)): m})
+        elif content:
+            bins.append((-fill(content), len(bins), content, m))
+    heapify(bins)
+    made, mask, out = len(bins), sum(1 << x for x in lone), []
+
+    def take(x: int, n: int) -> None:
         nonlocal mask
-        by_room.setdefault(room, []).append([content, bins])
-        mask |= 1 << room
-
-    for length in sorted((x for x in counts if counts[x] > 0), reverse=True):
-        left = counts[length]
-        while left:
-            fitting = mask >> length
-            if not fitting:
-                each = min(left, capacity // length)
-                put(capacity - each * length, {length: each}, left // each)
-                left %= each
-                continue
-            room = length + (fitting & -fitting).bit_length() - 1
-            content, bins = by_room[room].pop()
-            if not by_room[room]:
-                mask &= ~(1 << room)
-            each = min(left, room // length)
-            used = min(bins, left // each)
-            if used < bins:
-                put(room, content, bins - used)
-            put(room - each * length, content | {length: content.get(length, 0) + each}, used)
-            left -= each * used
-    return [(content, bins) for patterns in by_room.values() for content, bins in patterns]
+        lone[x] -= n
+        if not lone[x]:
+            mask &= ~(1 << x)
+
+    while bins or mask:
+        if bins and -bins[0][0] >= mask.bit_length() - 1:
+            full, _, content, m = heappop(bins)
+        else:  # the fullest bins are those of the longest lone pieces
+            x = mask.bit_length() - 1
+            each = min(capacity // x, lone[x])
+            full, content, m = -each * x, {x: each}, lone[x] // each
+            take(x, each * m)
+        room = capacity + full
+        fitting = mask & ((1 << room + 1) - 1)
+        if not fitting:
+            out.append((content, m))
+            continue
+        x = fitting.bit_length() - 1
+        each = min(room // x, max(1, lone[x] // m))
+        used = min(m, lone[x] // each)
+        take(x, each * used)
+        if used < m:
+            made += 1
+            heappush(bins, (full, made, content, m - used))
+        made += 1
+        heappush(bins, (full - each * x, made, content | {x: content.get(x, 0) + each}, used))
+    return out
 
 
 def local_search(patterns: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Exchanges between underfull bins that increase the sum of squared fills, until no two bins have one
-    left or the bins are as few as the tokens allow. Bins of one pattern go together: an exchange of two
-    patterns is made as often as both have bins."""
-    tokens = sum(x * n * m for content, m in patterns for x, n in content.items())
-    least = -(-tokens // capacity)
+    """Moves of lone pieces, then exchanges between underfull bins that increase the sum of squared fills,
+    until no two bins have one left or the bins are as few as the tokens allow. Bins of one pattern go
+    together: an exchange of two patterns is made as often as both have bins."""
+    patterns = move_lone(patterns, capacity)
+    least = -(-sum(fill(content) * m for content, m in patterns) // capacity)
     total = sum(m for _, m in patterns)
     if total <= least:
         return patterns
-    full = [(content, m) for content, m in patterns if sum(x * n for x, n in content.items()) == capacity]
+    full = [(content, m) for content, m in patterns if fill(content) == capacity]
     search = _Search(capacity)
     for content, m in patterns:
         search.add(tuple(sorted(Counter(content).elements())), m)
@@ -324,9 +348,10 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
         pieces = stored(cut)
     tasks = stored(pieces.groupBy("part", "length").count())
     counts = {r.length: r.n for r in tasks.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
-    where = slots(local_search(best_fit(counts, capacity), capacity))
+    where = slots(local_search(alone(counts), capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = tasks.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if tasks.count() <= BROADCAST else bases.hint("shuffle_hash")
     ids = ["ids"] * keep_ids
     ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *ids, (F.col("rank") + F.col("base")).alias("rank"))
     kept = schema.replace(", part int, rank long", "") + ", sequence_id long, offset long"

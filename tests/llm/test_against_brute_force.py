@@ -192,21 +192,66 @@ def test_line_dedup(spark, hot):
         assert r.kept_sha256 == hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
 
+def _packed(patterns, counts, room):
+    """The number of bins, once it is sure that they hold all pieces."""
+    total = Counter()
+    for content, bins in patterns:
+        assert bins > 0 and sum(x * n for x, n in content.items()) <= room
+        total.update({x: n * bins for x, n in content.items()})
+    assert total == Counter(counts)
+    return sum(b for _, b in patterns)
+
+
+def _fewest(lengths, room):
+    """The fewest bins, by trying all ways (lengths in falling order, bins as a sorted tuple of rooms)."""
+    states = {()}
+    for x in sorted(lengths, reverse=True):
+        states = {tuple(sorted(s[:i] + (r - x,) + s[i + 1 :])) for s in states for i, r in enumerate(s) if r >= x} | {tuple(sorted((*s, room - x))) for s in states}
+    return min(map(len, states))
+
+
 def test_packing_search():
     for seed in range(60):
         draw = random.Random(seed)
         room = draw.choice([10, 50, 100])
         counts = {draw.randint(1, room): draw.randint(1, 30) for _ in range(draw.randint(1, 20))}
-        first = packing.best_fit(counts, room)
-        found = packing.local_search(first, room)
-        for patterns in (first, found):
-            total = {}
-            for content, bins in patterns:
-                assert bins > 0 and sum(x * n for x, n in content.items()) <= room
-                for x, n in content.items():
-                    total[x] = total.get(x, 0) + n * bins
-            assert total == counts
-        assert sum(b for _, b in found) <= sum(b for _, b in first)
+        found = _packed(packing.local_search(packing.alone(counts), room), counts, room)
+        rooms = []  # best-fit decreasing, one piece at a time
+        for x in sorted(Counter(counts).elements(), reverse=True):
+            fits = [r for r in rooms if r >= x]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else room) - x)
+        assert -(-sum(x * n for x, n in counts.items()) // room) <= found <= len(rooms)
+
+
+def test_packing_search_against_all_ways():
+    excess = []
+    for seed in range(120):
+        draw = random.Random(seed)
+        counts = Counter(draw.randint(2, 19) for _ in range(draw.randint(3, 9)))
+        excess.append(_packed(packing.local_search(packing.alone(counts), 20), counts, 20) - _fewest(list(counts.elements()), 20))
+    assert min(excess) == 0 and sum(excess) <= 2
+
+
+def test_packing_search_empties_bins():
+    """Starts of real underfull bins, none with a lone piece, that only exchanges can empty."""
+    start = [({6: 1, 3: 1}, 40), ({7: 1, 2: 1}, 40), ({4: 1, 1: 1}, 40), ({5: 1, 3: 1}, 40)]
+    counts = Counter()
+    for content, m in start:
+        counts.update({x: n * m for x, n in content.items()})
+    assert 124 <= _packed(packing.local_search(start, 10), counts, 10) <= 130  # 160 before; 1240 tokens
+    for seed in range(20):
+        draw = random.Random(seed)
+        start, counts = [], Counter()
+        for _ in range(60):
+            content = Counter()
+            while sum(content.elements()) < 60:
+                content[draw.randint(3, 30)] += 1
+            start.append((dict(content), draw.randint(1, 50)))
+            counts.update({x: n * start[-1][1] for x, n in content.items()})
+        least = -(-sum(x * n for x, n in counts.items()) // 100)
+        assert _packed(packing.local_search(start, 100), counts, 100) <= least * 1.03 < 0.9 * sum(m for _, m in start)
 
 
 def _improves(low, high, room):
@@ -219,15 +264,10 @@ def test_packing_search_takes_all_underfull_bins():
     for seed in range(8):
         draw = random.Random(seed)
         counts = {draw.randint(15, 60): draw.randint(2000, 9000) for _ in range(12)}
-        first = packing.best_fit(counts, 100)
-        found = packing.local_search(first, 100)
+        first = packing.move_lone(packing.alone(counts), 100)
+        found = packing.local_search(packing.alone(counts), 100)
         least = -(-sum(x * n for x, n in counts.items()) // 100)
-        assert sum(b for _, b in found) <= sum(b for _, b in first)
-        total = Counter()
-        for content, bins in found:
-            assert bins > 0 and sum(x * n for x, n in content.items()) <= 100
-            total.update({x: n * bins for x, n in content.items()})
-        assert total == counts
+        assert least <= _packed(found, counts, 100) <= _packed(first, counts, 100)
         if sum(b for _, b in found) > least:
             bins = Counter()
             for content, n in found:
