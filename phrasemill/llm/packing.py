@@ -39,7 +39,7 @@ from phrasemill.session import arrow_rows, stored, table
 
 CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 900_000
+CACHED_WORDS = 1_200_000
 ROWS = 1024  # documents that a task takes at a time
 BROADCAST = 500_000  # rows (task, length, sum) that may be broadcast: about 20 MB
 
@@ -52,8 +52,6 @@ class WordEncoder:
     tokenizer's special tokens, or the parting character, go through it whole."""
 
     PART = "\x01"
-    # The tokenizer lowers case and never joins a letter with what is neither letter, digit nor apostrophe.
-    APART = re.compile(rb"[a-z]++(?![a-z0-9'\x80-\xff])|\S+")
     # The tokenizer's own split, for Latin-1 characters (which no normal form changes) in lower case.
     SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
@@ -71,6 +69,7 @@ class WordEncoder:
         self.letters = {x: 0x100 + i for i, x in enumerate(others)}
         if {chr(self.letters.get(x, x)) for x in range(256)} != set(pre_tokenizers.ByteLevel.alphabet()):
             raise ValueError("the tokenizer's byte alphabet is another one")
+        self.marks = {c: self._spelt(c) for c in ",.;:!?)"}  # never joined with a letter before them
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -84,26 +83,37 @@ class WordEncoder:
         starts = (np.concatenate([[0], ends[:-1] + 1]) * 4).tolist()
         self.words.update(zip(words, map(data.__getitem__, map(slice, starts, (ends * 4).tolist())), strict=True))
 
+    def _spelt(self, text: str) -> bytes:
+        """The ids of Latin-1 characters in lower case."""
+        if text.isascii() and text.isalpha():
+            parts = (text,)
+        else:
+            parts = [p.encode().decode("latin-1").translate(self.letters) for p in self.SPLIT.findall(text)]
+        ids = [t.id for p in parts for t in self.tokenizer.model.tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn_latin(self, words: list[bytes]) -> list[bytes]:
-        """Learns words of Latin-1 characters; the other words."""
-        merges, split, letters, known, others = self.tokenizer.model.tokenize, self.SPLIT.findall, self.letters, self.words, []
-        pack = struct.Struct
+        """Learns words of Latin-1 characters, those that end in a mark by what is before it; the other words."""
+        known, others = self.words, []
         for word in words:
             text = word.decode()
-            if word.isalpha():
-                parts = (text,)
-            else:
+            if not text.isascii():
                 if max(text) > "\xff" or "\x85" in text or "\xa0" in text:
                     others.append(word)
                     continue
-                parts = [p.encode().decode("latin-1").translate(letters) for p in split(text.lower())]
-            ids = [t.id for p in parts for t in merges(p)]
-            known[word] = pack(f"<{len(ids)}I").pack(*ids)
+                text = text.lower()
+            if text[-1] in self.marks and text[:-1].isalpha():
+                stem = text[:-1].encode()
+                if stem not in known:
+                    known[stem] = self._spelt(text[:-1])
+                known[word] = known[stem] + self.marks[text[-1]]
+            elif word not in known:
+                known[word] = self._spelt(text)
         return others
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         whole = [b"<|" in t or b"\x01" in t for t in texts]
-        split = [[] if odd else self.APART.findall(t.lower()) for t, odd in zip(texts, whole, strict=True)]
+        split = [[] if odd else t.lower().split() for t, odd in zip(texts, whole, strict=True)]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         own = set().union(*split)
