@@ -33,4 +33,16 @@ LABELLED: tuple[tuple[str, str, str], ...] = (
         _LONG,
         _LONG,
     ),
+    (
+        '<body><p>The Valley Post, founded long ago</p><p>Today: rain and wind</p><ul><li><a href="a">Front page</a></li><li><a href="b">Sport pages</a></li><li><a href="c">Letters page</a></li></ul>'
+        f'<main><h1>The mill will stay</h1>{_P.format(_LONG)}{_P.format(_MORE)}</main><p>Printed by hand in the old town</p><p>Call us any day before noon</p></body>',
+        "The mill will stay",
+        _MORE,
+    ),
+    (
+        '<body><p><a href="a">Home of the post</a></p><p><a href="b">Weather this week</a></p><p><a href="c">All of the letters</a></p><p><a href="d">Buy an old copy</a></p>'
+        f'<h2>Bread prices rise</h2>{_P.format(_LONG)}{_P.format(_MORE)}<p><a href="e">Older stories here</a></p><p><a href="f">Newer stories here</a></p></body>',
+        "Bread prices rise",
+        _MORE,
+    ),
 )

@@ -404,6 +404,73 @@ def test_html_long_comments():
         assert extract(f"<body><div class='{name}'><p>{story}</p></div></body>") == story
 
 
+def test_best_region_against_all_intervals():
+    draw = random.Random(8)
+    for _ in range(400):
+        marks = [draw.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(draw.randint(0, 14))]
+        sums = {(i, j): sum(marks[i:j]) for i in range(len(marks)) for j in range(i + 1, len(marks) + 1)}
+        start, end = best_region(marks)
+        assert sum(marks[start:end]) == max([0, *sums.values()])
+
+
+def _built_page(draw, marked):
+    """A page and its main text, put together from parts."""
+    words = lambda kind, n: " ".join(f"{kind}{draw.randrange(1000)}" for _ in range(n))
+    text = []
+
+    def block(tag, n):
+        text.append(words("w", n))
+        inner = text[-1]
+        if draw.random() < 0.3:
+            inner = f"<b><i>{inner}</i></b>"
+        elif draw.random() < 0.2:
+            inner = f"<a href='x'>{inner}</a> tail"
+            text[-1] += " tail"
+        return f"<{tag}>{inner}</{tag}>"
+
+    def other():
+        n = draw.choice([2, 30, 400])
+        return draw.choice(
+            [f"<aside>{words('o', n)}</aside>", f"<div class='ad'>{words('o', n)}</div>", f"<form>{words('o', n)}<input></form>", f"<div class='cookie-notice'>{words('o', n)}</div>"]
+            + [f"<script>{words('o', n)}<p></script>", f"<div id='reader-comments'><article class='comment'><p>{words('o', n)}</p></article></div>", f"<!-- {words('o', n)} -->", "<br>", ""]
+        )
+
+    main = block("h1", draw.choice([1, 8]))
+    for _ in range(draw.randint(1, 6)):
+        main += other() + block(draw.choice(["p", "p", "blockquote", "h2", "li"]), draw.choice([1, 5, 60]))
+    menu = "".join(f"<li><a href='x'>{words('m', 2)}</a></li>" for _ in range(draw.randint(2, 40)))
+    before = draw.choice([f"<nav><ul>{menu}</ul></nav>", f"<ul>{menu}</ul>", f"<header>{words('m', 9)}</header>", ""]) + other()
+    after = other() + draw.choice([f"<footer>{words('m', 30)}</footer>", f"<div class='sidebar'><p>{words('m', 900)}</p></div>", f"<ul>{menu}</ul>", ""])
+    stray = f"<p>{words('s', 3)}</p>" if marked else ""
+    main = f"<{marked}>{main}</{marked}>" if marked else f"<div>{main}</div>"
+    return f"<html><head><title>t</title></head><body>{before}{stray}{main}{stray}{after}</body></html>", "\n".join(text)
+
+
+@pytest.mark.parametrize("marked", ["article", "main", ""])
+def test_html_of_built_pages(marked):
+    draw = random.Random(9)
+    for _ in range(300):
+        page, text = _built_page(draw, marked)
+        assert extract(page) == text
+
+
+def test_html_two_articles_and_one_sentence():
+    story, more = " ".join(f"story{i}" for i in range(90)), " ".join(f"more{i}" for i in range(80))
+    assert extract(f"<body><article><p>{story}</p></article><p>Read on</p><article><p>{more}</p></article></body>") == f"{story}\n{more}"
+    said = "".join(f"<p>{' '.join(f'said{i}' for i in range(60))}</p>" for _ in range(6))
+    assert extract(f"<body><div id=content><h2>Title</h2><p>one sentence</p></div><div class='comments'>{said}</div></body>") == "Title\none sentence"
+    assert extract(f"<body><article><h1>Title</h1><p>one sentence</p></article><div class='comments'>{said}</div></body>") == "Title\none sentence"
+
+
+@pytest.mark.parametrize("tag", ["font", "div", "b", "a", "li"])
+def test_html_deep_pages_take_linear_time(tag):
+    import time
+
+    start = time.process_time()
+    assert extract(f"<p>some words here</p>{f'<{tag}>x ' * 20_000}{'<p>y</p>' * 20_000}").count("y") == 20_000
+    assert time.process_time() - start < 1
+
+
 def test_quality_rules_agree_with_labels(spark):
     kept = {r.doc_id: r.kept for r in quality.quality_rules(table(spark, "/root/testdata/sf0.01", "documents")).filter("NOT base_failed").collect()}
     pairs = [(kept[r.doc_id], r.quality) for r in table(spark, "/root/testdata/sf0.01", "labels").collect() if r.doc_id in kept]
