@@ -1,21 +1,27 @@
 """Line dedup: exact copies of lines, and lines within a small edit distance, across all documents.
 
-The join is by segments: a line of l characters is cut into threshold-plus-one segments, one of which any
-line within the threshold holds unchanged, at a place that the two lengths allow. A line is entered
-under its own segments and probes, for every length from its own down to the threshold less, the substrings
-at those places. Keys (hashes of length, segment number and content) are dealt to buckets, compressed, and
-sorted there; only keys that different lines share go on. Their lines' texts are fetched and verified in
-groups by a banded bit-parallel edit distance, which returns a spanning forest of the links of a group. A
-key that very many lines share is split: within it the shared segment is without errors, so the rest of
-the line is cut into segments again, and the group is dealt out by those.
+Lines are near if at most THRESHOLD edits, and at most one for each PER characters of the longer, part them (a
+similarity of 0.8 or more). The join is by segments: a line of l characters is cut into threshold-plus-one
+segments, one of which any line within the threshold holds unchanged, at a place that the two lengths allow. A
+line is entered under its own segments (it owns those keys) and probes, for every length from its own down to
+the threshold less, the substrings at those places. Keys (hashes of length, segment number and content) are
+dealt to buckets, compressed, and sorted there; only keys that different lines share go on. Their lines' texts
+are fetched and each key's owners verified against its lines by a banded bit-parallel edit distance, which
+returns a spanning forest of the links of a group.
+
+A key that more than HOT lines share is split, again and again: within it the shared segment is without errors,
+so what all rests of the lines have in common at both ends is stripped, the rest is cut into segments, and the
+lines are dealt out by those, until a group is small or the rest is too short to be cut. A key that is hot
+within one task's batch is not sorted in its bucket at all; its lines are dealt out by themselves.
 
 The first line (by doc_id, then line number) of each class of linked lines stays, the others go. The text of
 a line that is repeated is sent once for each task's batch of documents, not for each copy.
 
-Defined results: a null text has no lines; lines without a word stay; lines of fewer than NEAR characters
-are compared exactly only; a row without doc_id is left as it is and is no reason to remove anything; rows
-that repeat a doc_id are the same document (line numbers decide, and equal rows are cut alike); an empty
-table gives an empty result. Other columns do not matter.
+Defined results: a null text has no lines; lines without a word stay; lines of fewer than PER - 1 characters are
+compared exactly only (no edit leaves them similar enough); very long texts and lines are taken whole; a row
+without doc_id is left as it is and is no reason to remove anything; rows that repeat a doc_id are the same
+document (line numbers decide, and equal rows are cut alike); an empty table gives an empty result. Other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +37,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.llm.blobs import DEALT, batch, dealt, multikey_order, open_text, pack, parts, squeeze, together, unpack_all
 from phrasemill.llm.components import connected
-from phrasemill.llm.simhash import Forest
-from phrasemill.llm.suffixes import _open_text, _pack, _squeeze, _unpack_all, multikey_order
+from phrasemill.llm.skew import hot_join
 from phrasemill.session import arrow_rows, stored, table
 
-THRESHOLD = 2
-NEAR = 24  # characters from which lines are compared by edit distance
+THRESHOLD, PER = 2, 5
 BUCKET_BYTES = 8 << 20  # text whose keys make a bucket, about
+TASK_BUCKETS = 4  # buckets of a task, about
 BATCH_BYTES = 8 << 20  # text that a task takes at a time
 ROWS = 1024  # documents in an Arrow batch
-HOT = 2000  # lines that share a key beyond which they are dealt out by the rest of the line
+HOT = 1000  # lines that share a key beyond which they are dealt out by the rest of the line
+_MASK = (1 << 64) - 1
+
+
+def allowed(length: int) -> int:
+    """Edits that may part a line of this length from one that is no longer."""
+    return min(THRESHOLD, length // PER)
 
 
 def segments(length: int, count: int = THRESHOLD + 1) -> list[tuple[int, int]]:
@@ -64,21 +77,42 @@ def probes(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int, int,
     return out
 
 
-def _keys(line: str, seed: int = 0) -> list[tuple[int, bool, int, int]]:
-    """(key of 39 bits, own, start, end) of every probe of a line."""
-    hashed = xxhash.xxh3_64_intdigest
-    return [(hashed(line[a:b].encode(), (other * 8 + i + seed) & 0xFFFFFFFFFFFFFFFF) >> 25, own, a, b) for other, i, a, b, own in _probes(len(line))]
-
-
-_known: dict[int, list[tuple[int, int, int, int, bool]]] = {}
+_known: dict[tuple[int, bool], list[tuple[int, int, int, bool]]] = {}
 
 
-def _probes(length: int) -> list[tuple[int, int, int, int, bool]]:
-    if length not in _known:
+def _places(length: int, whole: bool) -> list[tuple[int, int, int, bool]]:
+    """(seed, start, end, own) of a line of this length, or of a rest of a line. A whole line looks up the
+    segments for the edits that it may have as the longer one, and owns those for the edits that a longer
+    one may have."""
+    if (length, whole) not in _known:
         if len(_known) > 20_000:
             _known.clear()
-        _known[length] = probes(length)
-    return _known[length]
+        out = []
+        for t in range(1, THRESHOLD + 1):
+            if not whole:
+                out += [(other << 4 | i, a, b, own) for other, i, a, b, own in probes(length, t) if t == THRESHOLD]
+            elif t == allowed(length):
+                out += [(other << 4 | t << 2 | i, a, b, own) for other, i, a, b, own in probes(length, t)]
+            elif any(allowed(longer) == t for longer in range(length, length + t + 1)):
+                out += [(length << 4 | t << 2 | i, a, b, True) for i, (a, b) in enumerate(segments(length, t + 1))]
+        _known[length, whole] = out
+    return _known[length, whole]
+
+
+def _keys(line: str) -> list[tuple[int, bool, int, int]]:
+    """(key of 39 bits, own, start, end) of every probe of a line."""
+    hashed = xxhash.xxh3_64_intdigest
+    return [(hashed(line[a:b].encode(), seed) >> 25, own, a, b) for seed, a, b, own in _places(len(line), True)]
+
+
+def _inner(key: int, rest: str) -> list[tuple[int, bool, str | None]]:
+    """(key within the key, own, rest of the rest) of the rest of a line. Rests of two characters or less have
+    no segments: they meet what is up to two characters longer under a last key."""
+    hashed = xxhash.xxh3_64_intdigest
+    out = dict.fromkeys((hashed(rest[a:b].encode(), (key * 0x9E3779B97F4A7C15 + seed) & _MASK), own, rest[:a] + rest[b:]) for seed, a, b, own in _places(len(rest), False))
+    if len(rest) <= 2 * THRESHOLD:
+        out[hashed(b"", (key * 0x9E3779B97F4A7C15 + 15) & _MASK), len(rest) <= THRESHOLD, None] = None
+    return list(out)
 
 
 def within(a: str, b: str, threshold: int = THRESHOLD) -> bool:
@@ -118,6 +152,11 @@ def within(a: str, b: str, threshold: int = THRESHOLD) -> bool:
     return bool((rows[threshold] >> at) & 1)
 
 
+def near(a: str, b: str) -> bool:
+    """Whether two lines are similar enough."""
+    return within(a, b, allowed(max(len(a), len(b))))
+
+
 def _halves(line: str) -> tuple[int, int]:
     digest = xxhash.xxh3_128_intdigest(line.encode())
     return digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
@@ -140,7 +179,12 @@ def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), _signed(high), _signed(low)], ["doc_id", "line", "high", "low"])
 
 
-def _deal_keys(buckets: int):
+KEYS, HOT_LINES, HOT_KEYS = 0, 1, 2  # keys and lines; those of keys hot in one batch; such keys
+
+
+def _deal_keys(buckets: int, hot: int):
+    each = together(buckets)
+
     def flush(lines: set[str]) -> pa.RecordBatch:
         key, who = [], []
         for line in lines:
@@ -149,19 +193,29 @@ def _deal_keys(buckets: int):
             key += [k << 1 | mine for k, mine, _, _ in found]
             who += [own] * len(found)
         keys, ids = np.array(key, np.uint64), np.array(who, np.uint64)
-        order = np.lexsort((keys, (keys >> np.uint64(1)) % np.uint64(buckets)))
+        order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
-        bounds = np.searchsorted((keys >> np.uint64(1)) % np.uint64(buckets), np.arange(buckets + 1))
-        blobs = [(b, _pack(keys[x:y], ids[x:y])) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["bucket", "blob"])
+        plain = keys >> np.uint64(1)
+        firsts = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]])) if len(plain) else np.zeros(0, np.int64)
+        many = np.diff(np.append(firsts, len(plain)))
+        last = firsts + many - 1  # keys that are owned sort last
+        crowded = (many > 2 * hot) & (keys[last] & np.uint64(1) > 0)  # a line may hold a key at two places
+        rows = []
+        if crowded.any():
+            marks, apart = keys[last[crowded]], np.repeat(crowded, many)
+            rows += [(b, HOT_KEYS, pack(marks[at])) for b, at in parts(((marks >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64) // each)]
+            key, who = keys[apart], ids[apart]
+            rows += [(b, HOT_LINES, pack(key[at], who[at])) for b, at in parts((who % np.uint64(buckets)).astype(np.int64) // each)]
+            keys, ids, plain = keys[~apart], ids[~apart], plain[~apart]
+        return batch(rows + [(b, KEYS, pack(keys[at], ids[at])) for b, at in parts((plain % np.uint64(buckets)).astype(np.int64) // each)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: set[str] = set()
         size = 0
-        for batch in batches:
-            for text in batch.column(0):
+        for one in batches:
+            for text in one.column(0):
                 for line in text.as_py().split("\n"):
-                    if len(line) >= NEAR and line.strip() and line not in lines:
+                    if len(line) >= PER - 1 and line not in lines and line.strip():
                         lines.add(line)
                         size += len(line) + 100
                 if size >= BATCH_BYTES:
@@ -173,75 +227,134 @@ def _deal_keys(buckets: int):
     return deal
 
 
-def _shared_keys(group: pa.Table) -> pa.Table:
-    """Keys that different lines hold, one of them as its own segment: key, line, how many lines."""
-    key, who = _unpack_all(group.column("blob").to_pylist(), 2)
-    plain = key >> np.uint64(1)
-    order, new = multikey_order(plain, who)
-    out_key, out_who, out_many = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(key):
-        at = np.cumsum(new[0]) - 1
-        firsts = np.flatnonzero(new[0])
-        lines = np.add.reduceat(new[1].astype(np.int64), firsts)
-        owned = np.maximum.reduceat(key[order] & np.uint64(1), firsts)
-        kept = new[1] & ((lines > 1) & (owned > 0))[at]
-        out_key, out_who, out_many = plain[order][kept], who[order][kept], lines[at][kept]
-    return pa.table({"key": _signed(out_key), "short": _signed(out_who), "many": pa.array(out_many)})
-
-
-def _fetch(hot: int):
-    """Texts of the wanted lines of a document; for hot keys, once for each key of the rest of the line."""
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                lines = _open_text(packed).decode().split("\n")
-                for w in wanted:
-                    line = lines[w["line"]]
-                    if w["many"] <= hot:
-                        rows.append((w["key"], doc, w["line"], line))
-                        continue
-                    for key, _, a, b in _keys(line):
-                        if key == w["key"]:
-                            rest = line[:a] + "\n" + line[b:]
-                            inner = {k for k, _, _, _ in _keys(rest, 1 + key)} if len(rest) > 3 * THRESHOLD else {0}
-                            rows += [(k, doc, w["line"], line) for k in inner]
-            key, doc, number, line = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(line, pa.string())], ["key", "doc_id", "line", "text"])
-
-    return fetch
-
-
-def group_links(texts: list[str], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a group. Pairs whose letters differ too much in number are left
-    out in blocks; of the others only those that are not yet in one tree are verified."""
+def _deal_keys_again(buckets: int):
+    def again(columns: int, by: int):
+        def deal(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+            own = unpack_all(blobs, columns)
+            for bucket, at in parts(((own[by] >> np.uint64(1 - by)) % np.uint64(buckets)).astype(np.int64)):
+                yield bucket, pack(*(c[at] for c in own))
+
+        return deal
+
+    return {KEYS: again(2, 0), HOT_LINES: again(2, 1), HOT_KEYS: again(1, 0)}
+
+
+def _shared_keys(hot: int):
+    def shared(group: pa.Table) -> pa.Table:
+        """Keys that different lines hold, one of them as its own segment: key, line, how many lines, own."""
+        blobs: dict[int, list[bytes]] = {KEYS: [], HOT_LINES: [], HOT_KEYS: []}
+        for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            blobs[kind].append(blob)
+        key, who = unpack_all(blobs[KEYS], 2)
+        marks = unpack_all(blobs[HOT_KEYS], 1)[0] >> np.uint64(1)
+        plain = key >> np.uint64(1)
+        order, new = multikey_order(plain, who)
+        kept, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(key):
+            at = np.cumsum(new[0]) - 1
+            firsts = np.flatnonzero(new[0])
+            crowded = np.isin(plain[order[firsts]], marks)
+            lines = np.where(crowded, hot + 1, np.add.reduceat(new[1].astype(np.int64), firsts))
+            owned = crowded | (np.maximum.reduceat(key[order] & np.uint64(1), firsts) > 0)
+            kept = np.flatnonzero(((lines > 1) & owned)[at])
+            many = lines[at[kept]]
+        key, who = key[order[kept]], who[order[kept]]
+        more = unpack_all(blobs[HOT_LINES], 2)
+        key, who, many = np.concatenate([key, more[0]]), np.concatenate([who, more[1]]), np.concatenate([many, np.full(len(more[0]), hot + 1)])
+        return pa.table({"key": _signed(key >> np.uint64(1)), "short": _signed(who), "many": pa.array(many.astype(np.int64)), "own": pa.array((key & np.uint64(1)).astype(bool))})
+
+    return shared
+
+
+_LINE = "doc_id long, line int, text string"
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of a document."""
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("many", pa.int64()), ("own", pa.bool_())]))
+    for one in batches:
+        rows: list[tuple] = []
+        for doc, packed, wanted in zip(one.column(0).to_pylist(), one.column(1), one.column(2).to_pylist(), strict=True):
+            lines, keys = open_text(packed).decode().split("\n"), defaultdict(list)
+            for w in wanted:
+                keys[w["line"]].append({"key": w["key"], "many": w["many"], "own": w["own"]})
+            rows += [(doc, number, lines[number], own) for number, own in keys.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), kind), strict=True)], ["doc_id", "line", "text", "keys"])
+
+
+def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines with a hot key, what is left without its segment."""
+    for one in batches:
+        rows = []
+        for doc, number, line, hot in zip(*(one.column(i).to_pylist() for i in range(4)), strict=True):
+            for rest in {line[:a] + line[b:] for key, _, a, b in _keys(line) if key == hot}:
+                rows.append((hot, doc, number, line, rest))
+        yield _leveled(rows)
+
+
+_LEVEL = f"key long, {_LINE}, rest string"
+
+
+def _leveled(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["key", "doc_id", "line", "text", "rest"])
+
+
+def _common(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rests dealt out by their segments, without what all rests of a key have in common at their ends."""
+    for one in batches:
+        rows, owned = [], []
+        for key, doc, number, line, rest, first, last, back, front, least in zip(*(one.column(i).to_pylist() for i in range(10)), strict=True):
+            before = min(_common(first, last), least)
+            after = min(_common(back, front), least - before)
+            for inner, own, left in _inner(key, rest[before : len(rest) - after]):
+                rows.append((inner - (1 << 64) if inner >> 63 else inner, doc, number, line, left))
+                owned.append(own)
+        out = _leveled(rows)
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(owned, pa.bool_())], [*out.schema.names, "own"])
+
+
+def group_links(texts: list[str], own: list[bool]) -> list[tuple[int, int]]:
+    """A spanning forest of the links within a group between owners and lines that are no shorter. Pairs that
+    are in one tree already are left out in blocks, and so are those whose letters differ too much in number."""
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    forest = Forest(len(texts))
     counts = np.zeros((len(texts), 64), np.int16)
     for row, i in enumerate(order):
         for c, n in Counter(texts[i]).items():
             counts[row, ord(c) % 64] += min(n, 10_000)
     lens = np.array([len(texts[i]) for i in order])
+    tree, links = np.arange(len(texts)), []
     for row in range(len(order)):
-        stop = int(np.searchsorted(lens, lens[row] + threshold, side="right"))
-        for at in range(row + 1, stop, 1 << 14):
-            near = np.flatnonzero(np.abs(counts[at : min(stop, at + (1 << 14))] - counts[row]).sum(axis=1) <= 2 * threshold)
-            for other in (near + at).tolist():
-                a, b = order[row], order[other]
-                if forest._find(a) != forest._find(b) and within(texts[a], texts[b], threshold):
-                    forest.add(np.array([a]), np.array([b]))
-    return forest.kept
+        if not own[order[row]]:
+            continue
+        start, stop = np.searchsorted(lens, lens[row], side="left"), np.searchsorted(lens, lens[row] + THRESHOLD, side="right")
+        for at in range(int(start), int(stop), 1 << 14):
+            apart = at + np.flatnonzero(tree[at : min(int(stop), at + (1 << 14))] != tree[row])
+            close = apart[np.abs(counts[apart] - counts[row]).sum(axis=1) <= 2 * THRESHOLD]
+            for other in close.tolist():
+                if tree[other] != tree[row] and near(texts[order[row]], texts[order[other]]):
+                    links.append((order[row], order[other]))
+                    tree[tree == tree[other]] = tree[row]
+    return links
 
 
 def _verify(group: pa.Table) -> pa.Table:
-    members: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
-    for key, doc, number, text in zip(*(group.column(c).to_pylist() for c in ("key", "doc_id", "line", "text")), strict=True):
-        members[key].append((doc, number, text))
+    members: dict[int, dict[tuple[int, int, str], bool]] = defaultdict(dict)
+    for key, doc, number, text, own in zip(*(group.column(c).to_pylist() for c in ("key", "doc_id", "line", "text", "own")), strict=True):
+        members[key][doc, number, text] = own or members[key].get((doc, number, text), False)
     links = set()
-    for own in members.values():
-        own = list(dict.fromkeys(own))
-        links |= {(own[i][:2], own[j][:2]) for i, j in group_links([t for _, _, t in own])}
+    for group_ in members.values():
+        lines = list(group_)
+        links |= {(lines[i][:2], lines[j][:2]) for i, j in group_links([t for _, _, t in lines], list(group_.values()))}
     ends = [[{"doc_id": p[e][0], "line": p[e][1]} for p in links] for e in (0, 1)]
     kind = pa.struct([("doc_id", pa.int64()), ("line", pa.int32())])
     return pa.table({"u": pa.array(ends[0], kind), "v": pa.array(ends[1], kind)})
@@ -250,27 +363,53 @@ def _verify(group: pa.Table) -> pa.Table:
 _PLACE = "struct<doc_id:bigint,line:int>"
 
 
+def _small_groups(rows: DataFrame, hot: int) -> list[DataFrame]:
+    """rows (key, doc_id, line, text, rest) of hot keys, split until their groups are small or cannot be
+    split: key, doc_id, line, text, own."""
+    out = []
+    while True:
+        back = F.reverse("rest")
+        ends = rows.groupBy("key").agg(F.min("rest").alias("first"), F.max("rest").alias("last"), F.min(back).alias("back"), F.max(back).alias("front"), F.min(F.length("rest")).alias("least"))
+        inner = stored(rows.join(ends, "key").select(*rows.columns, "first", "last", "back", "front", "least").mapInArrow(_split, f"{_LEVEL}, own boolean"))
+        crowded = stored(inner.groupBy("key").agg(F.count("*").alias("many"), F.max("own").alias("owned")).filter(F.col("many") > hot))
+        if not crowded.count():
+            return [*out, inner.drop("rest")]
+        out.append(inner.join(crowded, "key", "left_anti").drop("rest"))
+        again = inner.join(crowded.filter("owned"), "key", "left_semi")
+        out.append(again.filter("rest IS NULL").drop("rest"))
+        rows = again.filter("rest IS NOT NULL").drop("own")
+
+
 def line_classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, line, first (the place of the first line of its class) and near (whether that line differs)
     of every line that has another in its class."""
+    spark = docs.sparkSession
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with arrow_rows(docs.sparkSession, ROWS):
+    with arrow_rows(spark, ROWS):
         lines = stored(texts.mapInArrow(_list_lines, "doc_id long, line int, high long, low long"))
     firsts = stored(lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies")))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
-    dealt = texts.select("text").mapInArrow(_deal_keys(buckets), "bucket int, blob binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared_keys, "key long, short long, many long")
-    wanted = shared.join(firsts.withColumn("short", F.shiftrightunsigned("high", 16)), "short").select("first.doc_id", F.struct(F.col("first.line").alias("line"), "key", "many").alias("w"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
+    tasks = -(-buckets // TASK_BUCKETS)
+    keys = dealt(texts.select("text").mapInArrow(_deal_keys(buckets, hot), DEALT), buckets, _deal_keys_again(buckets))
+    shared = keys.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shared_keys(hot), "key long, short long, many long, own boolean")
+    wanted = shared.join(firsts.withColumn("short", F.shiftrightunsigned("high", 16)), "short").select("first.doc_id", F.struct(F.col("first.line").alias("line"), "key", "many", "own").alias("w"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    packed = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_squeeze, "doc_id long, packed binary")
-    fetched = packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_fetch(hot), "key long, doc_id long, line int, text string")
-    links = fetched.withColumn("bucket", F.pmod("key", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_verify, f"u {_PLACE}, v {_PLACE}")
-    with arrow_rows(docs.sparkSession, ROWS):
+    packed = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(squeeze, "doc_id long, packed binary")
+    with arrow_rows(spark, ROWS):
+        fetched = stored(packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_fetch, f"{_LINE}, keys array<struct<key:bigint,many:bigint,own:boolean>>"))
+    by_key = fetched.select("doc_id", "line", "text", F.explode("keys").alias("k")).select("k.key", "doc_id", "line", "text", "k.own", "k.many")
+    groups = [by_key.filter(F.col("many") <= hot).drop("many")]
+    crowded = by_key.filter(F.col("many") > hot)
+    if crowded.limit(1).count():
+        groups += _small_groups(stored(crowded.select("doc_id", "line", "text", "key").distinct().mapInArrow(_rests, _LEVEL)), hot)
+    rows = reduce(DataFrame.unionByName, groups)
+    links = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * buckets))).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_verify, f"u {_PLACE}, v {_PLACE}")
+    with arrow_rows(spark, ROWS):
         roots = connected(links).withColumnRenamed("node", "first")
     classes = firsts.join(roots, "first", "left").select("high", "low", "copies", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "first").alias("first"), F.coalesce(F.col("root") != F.col("first"), F.lit(False)).alias("near"))
-    shared_classes = classes.filter("copies > 1 OR linked").select("high", "low", "first", "near")
-    return lines.join(shared_classes, ["high", "low"]).select("doc_id", "line", "first", "near")
+    shared_classes = classes.filter("copies > 1 OR linked").select("high", "low", "copies", "first", "near")
+    return hot_join(lines, shared_classes, ["high", "low"], "copies").select("doc_id", "line", "first", "near")
 
 
 def _by_document(classes: DataFrame) -> DataFrame:
@@ -290,7 +429,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, packed, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text = _open_text(packed).decode()
+            text = open_text(packed).decode()
             kept = _kept(text, gone)
             seen = list({g["line"]: g for g in gone or []}.values())
             lines = sum(1 for line in text.split("\n") if line.strip())
@@ -304,7 +443,7 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """For every row of docs: doc_id, lines with a word, how many of them go (and how many of those are not
     exact copies), the documents that hold the lines which stay for them, and the kept text's size and hash."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    packed = texts.mapInArrow(_squeeze, "doc_id long, packed binary")
+    packed = texts.mapInArrow(squeeze, "doc_id long, packed binary")
     joined = packed.join(_by_document(line_classes(docs, hot)).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "gone")
     return joined.mapInArrow(_digest, "doc_id long, n_lines long, n_removed long, n_near long, first_docs array<long>, kept_chars long, kept_sha256 string")
 

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.llm.blobs import DEALT, batch, dealt, multikey_order, open_text, pack, parts, press, squeeze, together, unpack, unpack_all, unpress
 from phrasemill.session import arrow_rows, stored, table
 
 LENGTH, TOKEN = 50, 20
@@ -40,6 +40,7 @@ BATCH_BYTES = 8 << 20  # text that a task takes into memory at a time
 ROWS = 1024  # documents in an Arrow batch
 PIECE = 1 << 20  # bytes hashed at a time
 BUCKET_BYTES = 8 << 20  # text whose records make a bucket, about
+TASK_BUCKETS = 4  # buckets of a task, about
 SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 32  # the splitters' sample: about so many documents, so many leading tokens of each at most
 HOT = 4096  # continuations of a leading token beyond which its strings are dealt out by their own hashes
 _BASE = 0x9E3779B97F4A7C15
@@ -107,25 +108,6 @@ def spans(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, token: int =
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def multikey_order(*keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order by all keys, and for each key whether a row differs from the one before in it or an
-    earlier key. As in multikey quicksort, only rows that tie so far are compared by the next key."""
-    order = np.argsort(keys[0], kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = keys[0][order[1:]] == keys[0][order[:-1]]
-    new = [~same]
-    for key in keys[1:]:
-        tied = np.flatnonzero(same | np.append(same[1:], False))
-        same = same.copy()
-        if len(tied):
-            rows, group = order[tied], np.cumsum(new[-1])[tied]
-            rows = rows[np.lexsort((key[rows], group))]
-            order[tied] = rows
-            same[tied[1:]] &= key[rows[1:]] == key[rows[:-1]]
-        new.append(~same)
-    return order, new
-
-
 def _later(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Rows (unordered) whose doc_id is above the least in their run of equals."""
     if not len(order):
@@ -136,37 +118,27 @@ def _later(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return later
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length, byte planes apart so that high bytes vanish, compressed."""
-    planes = b"".join(np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
-    return [np.ascontiguousarray(p.T).view(np.uint64).reshape(-1) for p in planes]
-
-
-def _unpack_all(blobs: list[bytes], columns: int) -> list[np.ndarray]:
-    parts = [_unpack(b, columns) for b in blobs]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * columns
-
-
 FOUND, OPEN, HOT_OPEN = 0, 1, 2  # a span to remove; one to compare by its bytes; one with a hot leading token
 _ROWS = "kind int, doc_id long, span long, lead long"  # span: start << 8 | length
-_DEALT = "bucket int, kind int, blob binary"
 
 
 def _cut(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (start.astype(np.uint64) << np.uint64(8)) | (end - start).astype(np.uint64)
 
 
-def _dealt(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    bucket, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+def splitters(sample: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets end: quantiles of the sorted sample, in between them as many as are wanted."""
+    if not len(sample) or buckets < 2:
+        return np.zeros(0, np.uint64)
+    at = np.arange(1, buckets) * (len(sample) - 1) / buckets
+    low, part = sample[at.astype(np.int64)], at - at.astype(np.int64)
+    high = sample[np.minimum(at.astype(np.int64) + 1, len(sample) - 1)]
+    return low + ((high - low) * part).astype(np.uint64)
+
 
+def _deal_by_token(sample: np.ndarray, buckets: int):
+    groups = splitters(sample, buckets)[together(buckets) - 1 :: together(buckets)]
 
-def _deal_by_token(splitters: np.ndarray):
     def flush(ids: list[int], texts: list[bytes], number: int) -> pa.RecordBatch:
         buffer = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
@@ -181,15 +153,12 @@ def _deal_by_token(splitters: np.ndarray):
         span = _cut(start - np.concatenate([[0], ends[:-1]])[at], end - np.concatenate([[0], ends[:-1]])[at])
         order, new = multikey_order(whole, lead)
         later = _later(order, new[-1], doc)
-        rows = [(number % (len(splitters) + 1), FOUND, _pack(doc[later], span[later]))] if later.any() else []
+        rows = [(number % (len(groups) + 1), FOUND, pack(doc[later], span[later]))] if later.any() else []
         send = np.flatnonzero(~later)
-        send = send[np.argsort(lead[send])]
-        bounds = np.concatenate([[0], np.searchsorted(lead[send], splitters, side="left"), [len(send)]])
-        for bucket, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if b > a:
-                part = send[a:b]
-                rows.append((bucket, OPEN, _pack(lead[part], whole[part], doc[part], span[part])))
-        return _dealt(rows)
+        for bucket, at in parts(np.searchsorted(groups, lead[send], side="left")):
+            part = send[at]
+            rows.append((bucket, OPEN, pack(lead[part], whole[part], doc[part], span[part])))
+        return batch(rows)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, number = [], [], 0, 0
@@ -207,6 +176,15 @@ def _deal_by_token(splitters: np.ndarray):
     return deal
 
 
+def _deal_by_token_again(sample: np.ndarray, buckets: int):
+    def again(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        columns = unpack_all(blobs, 4)
+        for bucket, at in parts(np.searchsorted(splitters(sample, buckets), columns[0], side="left")):
+            yield bucket, pack(*(c[at] for c in columns))
+
+    return {OPEN: again}
+
+
 def _rows(kind: np.ndarray, doc: np.ndarray, span: np.ndarray, lead: np.ndarray) -> pa.Table:
     return pa.table({"kind": pa.array(kind.astype(np.int32)), "doc_id": pa.array(doc.astype(np.int64)), "span": pa.array(span.astype(np.int64)), "lead": pa.array(lead.astype(np.int64))})
 
@@ -224,8 +202,8 @@ def _sort_bucket(most: int):
     def sort(group: pa.Table) -> pa.Table:
         """Equal spans: all but the smallest doc_id are found. Leading tokens that go on differently stay open."""
         blobs = _split_blobs(group)
-        done_doc, done_span = _unpack_all(blobs[FOUND], 2)
-        lead, whole, doc, span = _unpack_all(blobs[OPEN], 4)
+        done_doc, done_span = unpack_all(blobs[FOUND], 2)
+        lead, whole, doc, span = unpack_all(blobs[OPEN], 4)
         doc = doc.view(np.int64)
         order, new = multikey_order(lead, whole)
         later = _later(order, new[1], doc)
@@ -246,34 +224,45 @@ def _sort_bucket(most: int):
     return sort
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, as they travel."""
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = [press.compress(x.as_buffer()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+def _texts(doc: list[int], span: list[int], lead: list[int], texts: list[bytes]) -> bytes:
+    """Spans and their bytes as one blob."""
+    numbers = pack(np.array(doc, np.int64), np.array(span, np.uint64), np.array(lead, np.uint64))
+    return len(numbers).to_bytes(8, "little") + numbers + press(b"".join(texts))
+
+
+def _open_texts(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    """(doc_id, span and lead) and the bytes one after the other."""
+    n = int.from_bytes(blob[:8], "little")
+    return unpack(blob[8 : 8 + n], 3), unpress(blob[8 + n :])
+
+
+def _deal_open_again(sample: np.ndarray, buckets: int):
+    def spans_again(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        numbers, texts = zip(*map(_open_texts, blobs), strict=True)
+        doc, span, lead = (np.concatenate(x) for x in zip(*numbers, strict=True))
+        text, ends = b"".join(texts), np.cumsum(span & np.uint64(255)).astype(np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        for bucket, at in parts(np.searchsorted(splitters(sample, buckets), lead, side="left")):
+            yield bucket, _texts(doc[at], span[at], lead[at], [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
 
+    def strings_again(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        columns = unpack_all(blobs, 4)
+        for bucket, at in parts((columns[0] % np.uint64(buckets)).astype(np.int64)):
+            yield bucket, pack(*(c[at] for c in columns))
 
-def _open_text(packed: pa.Scalar) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed.as_buffer())
+    return {OPEN: spans_again, HOT_OPEN: strings_again}
 
 
-def _deal_open(splitters: np.ndarray):
-    buckets = len(splitters) + 1
+def _deal_open(sample: np.ndarray, buckets: int):
+    each = together(buckets)
+    groups = splitters(sample, buckets)[each - 1 :: each]
 
     def flush(entries: list[tuple], number: int) -> pa.RecordBatch:
         rows = []
         cold = [e for e in entries if e[0] == OPEN]
-        if cold:
-            lead = np.array([e[3] for e in cold], np.uint64)
-            order = np.argsort(lead)
-            bounds = np.concatenate([[0], np.searchsorted(lead[order], splitters, side="left"), [len(order)]])
-            for bucket, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if b > a:
-                    part = [cold[i] for i in order[a:b]]
-                    numbers = _pack(np.array([e[1] for e in part], np.int64), np.array([e[2] for e in part], np.uint64))
-                    text = zstandard.ZstdCompressor(level=1).compress(b"".join(e[4] for e in part))
-                    rows.append((bucket, OPEN, len(numbers).to_bytes(8, "little") + numbers + text))
+        for bucket, at in parts(np.searchsorted(groups, np.array([e[3] for e in cold], np.uint64), side="left")):
+            _, doc, span, lead, texts = zip(*(cold[i] for i in at.tolist()), strict=True)
+            rows.append((bucket, OPEN, _texts(doc, span, lead, texts)))
         hot = [(e[1], (e[2] >> 8) + i, e[4][i : i + LENGTH]) for e in entries if e[0] == HOT_OPEN for i in range((e[2] & 255) - LENGTH + 1)]
         if hot:
             digests = np.array([divmod(xxhash.xxh3_128_intdigest(x[2]), 1 << 64) for x in hot], np.uint64)
@@ -281,18 +270,18 @@ def _deal_open(splitters: np.ndarray):
             order, new = multikey_order(digests[:, 0], digests[:, 1])
             later = _later(order, new[1], doc)
             if later.any():
-                rows.append((number % buckets, FOUND, _pack(doc[later], span[later])))
-            to = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
-            for bucket in np.unique(to[~later]).tolist():
-                part = ~later & (to == bucket)
-                rows.append((bucket, HOT_OPEN, _pack(digests[part, 0], digests[part, 1], doc[part], span[part])))
-        return _dealt(rows)
+                rows.append((number % (len(groups) + 1), FOUND, pack(doc[later], span[later])))
+            send = np.flatnonzero(~later)
+            for bucket, at in parts((digests[send, 0] % np.uint64(buckets)).astype(np.int64) // each):
+                part = send[at]
+                rows.append((bucket, HOT_OPEN, pack(digests[part, 0], digests[part, 1], doc[part], span[part])))
+        return batch(rows)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, size, number = [], 0, 0
         for batch in batches:
             for doc, packed, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = _open_text(packed)
+                text = open_text(packed)
                 for e in found:
                     start, n = e["span"] >> 8, e["span"] & 255
                     entries.append((e["kind"], doc, e["span"], e["lead"], text[start : start + n]))
@@ -319,19 +308,15 @@ def _runs(covered: np.ndarray, owner: np.ndarray, doc: np.ndarray, at: np.ndarra
 def _sort_strings(group: pa.Table) -> pa.Table:
     """All L-byte strings of a bucket's spans, by multikey quicksort on their eight-byte words."""
     blobs = _split_blobs(group)
-    docs, cuts = _unpack_all(blobs[FOUND], 2)
+    docs, cuts = unpack_all(blobs[FOUND], 2)
     out = [(docs.view(np.int64), cuts)]
-    high, low, doc, span = _unpack_all(blobs[HOT_OPEN], 4)
+    high, low, doc, span = unpack_all(blobs[HOT_OPEN], 4)
     order, new = multikey_order(high, low)
     later = _later(order, new[1], doc.view(np.int64))
     out.append((doc.view(np.int64)[later], span[later]))
-    parts, texts = [], []
-    for blob in blobs[OPEN]:
-        n = int.from_bytes(blob[:8], "little")
-        parts.append(_unpack(blob[8 : 8 + n], 2))
-        texts.append(zstandard.ZstdDecompressor().decompress(blob[8 + n :]))
-    if parts:
-        doc, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if blobs[OPEN]:
+        numbers, texts = zip(*map(_open_texts, blobs[OPEN]), strict=True)
+        doc, span, _ = (np.concatenate(x) for x in zip(*numbers, strict=True))
         buffer = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
         size = (span & np.uint64(255)).astype(np.int64)
         count = size - LENGTH + 1
@@ -356,31 +341,30 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(lead[:: -(-len(lead) // SAMPLE_TOKENS)].astype(np.int64))], ["lead"])
 
 
-def _splitters(texts: DataFrame) -> np.ndarray:
-    """Sampled splitters: quantiles of leading tokens of a bounded sample of documents."""
+def _sampled(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Leading tokens of a bounded sample of documents, sorted; and how many buckets there are to be."""
     total, count = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // BUCKET_BYTES))
     picked = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // SAMPLE_DOCS))) == 0).select("text")
     rows = picked.mapInArrow(_sample, "lead long").limit(4 * SAMPLE_DOCS * SAMPLE_TOKENS).collect()
-    lead = np.sort(np.array([r.lead for r in rows], np.int64).view(np.uint64))
-    if not len(lead):
-        return lead
-    return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets])
+    return np.sort(np.array([r.lead for r in rows], np.int64).view(np.uint64)), buckets
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, span (start << 8 | length): bytes to remove; spans of a document may overlap."""
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     long_texts = texts.filter(F.octet_length("text") >= LENGTH)
-    splitters = _splitters(long_texts)
-    dealt = long_texts.mapInArrow(_deal_by_token(splitters), _DEALT)
+    sample, buckets = _sampled(long_texts)
+    tasks = -(-buckets // TASK_BUCKETS)
+    by_token = dealt(long_texts.mapInArrow(_deal_by_token(sample, buckets), DEALT), buckets, _deal_by_token_again(sample, buckets))
     with arrow_rows(docs.sparkSession, ROWS):
-        found = stored(dealt.groupBy("bucket").applyInArrow(_sort_bucket(hot), _ROWS))
+        found = stored(by_token.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sort_bucket(hot), _ROWS))
     still_open = found.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "span", "lead")).alias("found"))
-    packed = long_texts.mapInArrow(_squeeze, "doc_id long, packed binary")
-    again = packed.join(still_open.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "found").mapInArrow(_deal_open(splitters), _DEALT)
+    packed = long_texts.mapInArrow(squeeze, "doc_id long, packed binary")
+    again = packed.join(still_open.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "found").mapInArrow(_deal_open(sample, buckets), DEALT)
+    by_string = dealt(again, buckets, _deal_open_again(sample, buckets))
     with arrow_rows(docs.sparkSession, ROWS):
-        more = stored(again.groupBy("bucket").applyInArrow(_sort_strings, _ROWS).select("doc_id", "span"))
+        more = stored(by_string.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sort_strings, _ROWS).select("doc_id", "span"))
     return found.filter("kind = 0").select("doc_id", "span").unionByName(more)
 
 
@@ -408,7 +392,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, removed, runs_, sha = [], [], [], []
         for packed, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text, runs = _open_text(packed), merge(found or [])
+            text, runs = open_text(packed), merge(found or [])
             rest = kept_bytes(text, runs)
             size.append(len(text))
             removed.append(len(text) - len(rest))
@@ -424,7 +408,7 @@ def by_document(spans_: DataFrame) -> DataFrame:
 def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    packed = texts.mapInArrow(_squeeze, "doc_id long, packed binary")
+    packed = texts.mapInArrow(squeeze, "doc_id long, packed binary")
     joined = packed.join(by_document(repeated_spans(docs, hot)).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -161,11 +161,27 @@ def test_edit_distance_and_segments():
         b = "".join(b)
         own = lambda s: {k for k, mine, _, _ in lines._keys(s) if mine}
         every = lambda s: {k for k, _, _, _ in lines._keys(s)}
-        if _distance(a, b) <= 2:
-            assert own(a) & every(b) or own(b) & every(a)
+        if _near_lines(a, b):
+            short, long_ = sorted((a, b), key=len)
+            assert own(short) & every(long_)
 
 
-@pytest.mark.parametrize("hot", [lines.HOT, 20])
+def _near_lines(a, b):
+    """Two edits at most, and a similarity of 0.8 or more."""
+    return _distance(a, b) <= min(2, max(len(a), len(b)) / 5)
+
+
+def test_short_lines_meet():
+    draw = random.Random(6)
+    texts = sorted({"".join(draw.choice("ab") for _ in range(draw.randint(1, 12))) for _ in range(500)}, key=len)
+    own = {t: {k for k, mine, _, _ in lines._keys(t) if mine} for t in texts}
+    every = {t: {k for k, _, _, _ in lines._keys(t)} for t in texts}
+    for i, b in enumerate(texts):
+        for a in texts[:i]:
+            assert lines.near(a, b) == _near_lines(a, b)
+            assert not lines.near(a, b) or own[a] & every[b]
+
+@pytest.mark.parametrize("hot", [lines.HOT, 20, 3, 1])
 def test_line_dedup(spark, hot):
     draw = random.Random(4)
     shared = "Shared beginning of a line that many documents hold and then "
@@ -176,16 +192,17 @@ def test_line_dedup(spark, hot):
         for _ in range(draw.randint(0, 2)):
             b[draw.randrange(len(b))] = draw.choice("xyz")
         rows.append((i, "".join(b) + "\n\nother"))
+    rows += [(i, f"Request {draw.randrange(10**draw.randint(3, 5))} from host one was done\n" + "".join(draw.choice("abc") for _ in range(draw.randint(1, 9)))) for i in range(90, 150)]
     first, sets = {}, Sets()
     for d, text in rows:
         for i, line in enumerate(text.split("\n")):
             if line.strip():
                 first.setdefault(line, (d, i))
                 sets.find(first[line])
-    own = [x for x in first if len(x) >= lines.NEAR]
+    own = list(first)
     for i, a in enumerate(own):
         for b in own[:i]:
-            if abs(len(a) - len(b)) <= 2 and _distance(a, b) <= 2:
+            if abs(len(a) - len(b)) <= 2 and _near_lines(a, b):
                 sets.join(first[a], first[b])
     for r in lines.digests(spark.createDataFrame(rows, "doc_id long, text string"), hot).collect():
         kept = [x for i, x in enumerate(dict(rows)[r.doc_id].split("\n")) if not x.strip() or sets.find(first[x]) == (r.doc_id, i)]
@@ -493,7 +510,7 @@ def _plain_lines(texts):
         for i, line in enumerate(text.split("\n")):
             if line.strip():
                 first.setdefault(line, (d, i))
-    near = lambda a, b: min(len(a), len(b)) >= lines.NEAR and abs(len(a) - len(b)) <= 2 and lines.within(a, b)
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and lines.within(a, b, min(2, max(len(a), len(b)) // 5))
     sets = _near_sets([(place, line) for line, place in first.items()], near)
     out = {}
     for d, text in texts.items():
