@@ -8,9 +8,14 @@ visits the lower-numbered leaves that its ball overlaps (triangle bounds prune t
 A shard searches its residents, by all 64 bits, with a tree of its own and returns a spanning forest of the
 links, never all pairs.
 
+A tree has up to LEAVES leaves. Where a leaf would hold many more than SHARD residents, they are dealt to several
+shards by the part itself; the ball of radius 1 of a part has few members, so what visits such a leaf goes to the
+shards of those members that lie in the leaf. So shards stay small however many fingerprints there are, and no
+fingerprint goes to more shards than its balls have members (66 with three parts).
+
 Defined results: a null text has no words; a text without words has fingerprint zero; repeated rows
-share their fingerprint; a null doc_id takes part but never names a component (all null: null); an
-empty table gives an empty result. Other columns do not matter.
+share their fingerprint; a very long text is taken whole; a null doc_id takes part but never names a component
+(all null: null); an empty table gives an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.llm.components import connected
+from phrasemill.llm.skew import hot_join
 from phrasemill.session import saved, table
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -34,6 +40,7 @@ BLOCKS = 3  # 4 differing bits are at most one in one of three parts of the bits
 SAMPLE = 8192  # fingerprints that the shards' trees are fitted on, at most
 SHARD = 2048  # fingerprints that live in a shard of one tree, about
 LEAVES = 1024  # of a shards' tree, at most
+TASK_SHARDS = 8  # shards of a task, about
 LEAF = 128  # residents of a leaf of a shard's own tree
 
 
@@ -210,23 +217,55 @@ def blocks(marks: np.ndarray, count: int = BLOCKS) -> list[np.ndarray]:
     return [(marks >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def leaf_of(root: Node, marks: np.ndarray) -> np.ndarray:
+    """The leaf that each mark lives in."""
+    out = np.empty(len(marks), np.int32)
+    for leaf, home, _ in route(root, marks, np.zeros(len(marks), bool), -1):
+        out[home] = leaf
+    return out
+
+
+def shards(root: Node, splits: np.ndarray, part: np.ndarray, width: int, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(leaf, shard in the leaf, index, whether it lives there) for marks of ``width`` bits."""
+    steps = np.concatenate([[0], np.uint64(1) << np.arange(width, dtype=np.uint64)]).astype(np.uint64)
+    for leaf, home, visit in route(root, part, np.zeros(len(part), bool), radius):
+        count = np.uint64(splits[leaf])
+        if count == 1:
+            own = np.concatenate([home, visit])
+            yield leaf, np.zeros(len(own), np.int64), own, np.arange(len(own)) < len(home)
+            continue
+        yield leaf, (part[home] % count).astype(np.int64), home, np.ones(len(home), bool)
+        who = np.concatenate([home, visit])
+        around = part[who][:, None] ^ steps[None, :]
+        to = (around % count).astype(np.int64)
+        goes = leaf_of(root, around.reshape(-1)).reshape(around.shape) == leaf
+        goes[: len(home)] &= to[: len(home)] < to[: len(home), :1]  # residents visit lower-numbered shards
+        row, step = np.nonzero(goes)
+        pairs = np.unique(np.stack([to[row, step], row]), axis=1)
+        yield leaf, pairs[0], who[pairs[1]], np.zeros(pairs.shape[1], bool)
+
+
 def link_classes(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links u, v between the distinct fingerprints in column fp: as many as keep every component whole."""
     total = classes.count()
     wanted = min(LEAVES, max(1, -(-total // SHARD)))
     rows = classes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()
-    trees = [grow(part, 2, wanted) for part in blocks(np.array([r.fp for r in rows], np.int64).view(np.uint64))]
+    sample = blocks(np.array([r.fp for r in rows], np.int64).view(np.uint64))
+    trees = [grow(part, 2, wanted) for part in sample]
     near = radius // BLOCKS
+    splits, each = [], max(1, total / max(1, len(rows)))
+    for tree, part in zip(trees, sample, strict=True):
+        residents = np.bincount(leaf_of(tree, part), minlength=wanted) * each
+        splits.append(np.maximum(1, residents // SHARD).astype(np.int64) if near <= 1 else np.ones(wanted, np.int64))
+    widths = [64 * (i + 1) // BLOCKS - 64 * i // BLOCKS for i in range(BLOCKS)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for number, (tree, part) in enumerate(zip(trees, blocks(marks), strict=True)):
-                for leaf, home, visit in route(tree, part, np.zeros(len(marks), bool), near):
-                    own = np.concatenate([home, visit])
-                    lives = np.arange(len(own)) < len(home)
-                    shard = np.full(len(own), number * LEAVES + leaf, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(marks[own].view(np.int64)), pa.array(lives)], ["leaf", "fp", "home"])
+                for leaf, place, own, lives in shards(tree, splits[number], part, widths[number] if near else 0, near):
+                    shard = (np.int64(number * LEAVES + leaf) << 32) | place
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(marks[own].view(np.int64)), pa.array(lives)], ["shard", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         marks = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
@@ -234,20 +273,21 @@ def link_classes(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         found = shard_links(np.sort(marks[home]), np.sort(marks[~home]), radius).view(np.int64)
         return pa.table({"u": pa.array(found[:, 0].copy(), pa.int64()), "v": pa.array(found[:, 1].copy(), pa.int64())})
 
-    dealt = classes.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(search, "u long, v long")
+    dealt = classes.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), BLOCKS * -(-total // (SHARD * TASK_SHARDS)))
+    return dealt.repartition(tasks, "shard").groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row of docs."""
     marks = saved(fingerprints(docs))
-    classes = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     roots = connected(link_classes(classes, radius))
     member = roots.join(classes.withColumnRenamed("fp", "node"), "node").select("node", "root", "first")
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    every = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marks.join(every, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    named = hot_join(saved(member), least, ["root"], "members").select(F.col("node").alias("fp"), "component_id")
+    every = saved(classes.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first").alias("component_id")))
+    return hot_join(marks, every, ["fp"], "copies", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

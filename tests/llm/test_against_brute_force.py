@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from phrasemill.llm import lines, packing, pieces, quality, registry, simhash, suffixes, topk
+from phrasemill.llm import blobs, lines, packing, pieces, quality, registry, simhash, skew, suffixes, topk
 from phrasemill.llm.components import connected
 from phrasemill.llm.html import best_region, extract, weights
 from phrasemill.llm.sharding import lookup_table
@@ -55,6 +55,11 @@ def test_components(spark):
             sets.join(a, b)
     found = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert found == {x: sets.find(x) for x in sets.up}
+    old, skew.LEAST = skew.LEAST, 20
+    try:
+        assert {r.node: r.root for r in connected(spark.createDataFrame(pairs, "u long, v long"), hub=20).collect()} == found
+    finally:
+        skew.LEAST = old
 
 
 def test_shards_find_every_link():
@@ -77,6 +82,41 @@ def test_shards_find_every_link():
     assert {x: wanted.find(x) for x in wanted.up} == {x: found.find(x) for x in found.up}
 
 
+@pytest.mark.parametrize("leaves,shard", [(1, 40), (4, 30), (64, 100)])
+def test_overfull_leaves_are_split(spark, leaves, shard):
+    draw = np.random.default_rng(2)
+    marks = [int(x) for x in draw.integers(0, 2**63, 600)]
+    for m in marks[:200] + marks[:3] * 60:
+        for bit in draw.choice(64, draw.integers(1, 5), replace=False):
+            m ^= 1 << int(bit)
+        marks.append(m - (1 << 64) if m >> 63 else m)
+    marks = sorted(set(marks))
+    sets = _near_sets([(m, m & (1 << 64) - 1) for m in marks], lambda a, b: (a ^ b).bit_count() <= 4)
+    old, simhash.LEAVES, simhash.SHARD = (simhash.LEAVES, simhash.SHARD), leaves, shard
+    try:
+        links = simhash.link_classes(spark.createDataFrame([(m,) for m in marks], "fp long")).collect()
+    finally:
+        simhash.LEAVES, simhash.SHARD = old
+    found = Sets()
+    for r in links:
+        found.join(r.u, r.v)
+    assert {x: found.find(x) for x in found.up} == {x: sets.find(x) for x in found.up}
+    assert set(found.up) == {x for x in marks if sum(sets.find(y) == sets.find(x) for y in marks) > 1}
+
+
+def test_hot_classes_are_broadcast(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 7, id) k")
+    classes = rows.groupBy("k").count().selectExpr("k", "count many", "k * 2 twice")
+    old, skew.LEAST = skew.LEAST, 100
+    try:
+        for how in ("inner", "left"):
+            found = skew.hot_join(rows, classes.filter("k <> 8"), ["k"], "many", how)
+            assert sorted((r.id, r.k, r.twice) for r in found.collect() if r.k != 8) == [(r.id, r.k, 2 * r.k) for r in rows.orderBy("id").collect() if r.k != 8]
+            assert found.filter("k = 8").count() == (how == "left")
+    finally:
+        skew.LEAST = old
+
+
 def test_simhash_query(spark):
     rows = registry.queries()["op2_simhash_near_dedup"](spark, FOLDER).collect()
     texts = {r.doc_id: r.text for r in table(spark, FOLDER, "documents").collect()}
@@ -112,8 +152,16 @@ def _cut(docs):
     return out
 
 
+@pytest.fixture(params=[blobs.FAN, 3])
+def fan(request, monkeypatch):
+    """One level of dealing, and two."""
+    monkeypatch.setattr(blobs, "FAN", request.param)
+    monkeypatch.setattr(blobs, "AGAIN_BYTES", 4000)
+    return request.param
+
+
 @pytest.mark.parametrize("hot", [suffixes.HOT, 0, 3])
-def test_substrings(spark, hot):
+def test_substrings(spark, hot, fan):
     docs = table(spark, FOLDER, "documents")
     plain = sorted((r.doc_id, r.text.encode()) for r in docs.collect())
     masks = _cut(plain)
@@ -182,7 +230,7 @@ def test_short_lines_meet():
             assert not lines.near(a, b) or own[a] & every[b]
 
 @pytest.mark.parametrize("hot", [lines.HOT, 20, 3, 1])
-def test_line_dedup(spark, hot):
+def test_line_dedup(spark, hot, fan):
     draw = random.Random(4)
     shared = "Shared beginning of a line that many documents hold and then "
     base = "This is a quite ordinary line that will be edited a little bit here."
