@@ -5,9 +5,12 @@ merged turns are parted by ``<+>``. Inside texts ``\\``, ``#`` and ``<`` are wri
 and ``\\l``, in roles also ``:`` and line ends, so a raw ``#`` or ``<`` is always the template's and
 everything can be read back.
 
+Where the texts lie is summed up by array aggregation in chunks of CHUNK turns, then over the chunks, so long
+conversations take time in proportion to their turns, not to the square.
+
 Defined results: a null text or role counts as empty; ties in ``turn`` (nulls first) are ordered by
-role and text; repeated rows are turns of their own; a null conv_id is a conversation; an empty
-table gives no conversation. Other columns do not matter.
+role and text; repeated rows are turns of their own; a null conv_id is a conversation; very long texts and
+conversations are formatted whole; an empty table gives no conversation. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from phrasemill.session import table
 
 TAIL, JOIN = "</turn>\n", "<+>"
 LOSS_ROLE = "assistant"
+CHUNK = 256
 
 
 def _swap(value: Column, *pairs: tuple[str, str]) -> Column:
@@ -41,7 +45,8 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """conv_id, formatted, loss_spans (code-point ranges [start, end) of the loss role's texts)."""
+    """conv_id, formatted, loss_spans (ranges of the loss role's texts in code points, [start, end), and in
+    bytes, [first, stop))."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
@@ -54,17 +59,28 @@ def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
 
     built = sorted_turns.select("conv_id", F.transform("ts", pieces).alias("ps"))
     text = F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,first:int,stop:int>>)")
+    no_places = F.expr("cast(array() as array<struct<at:int,byte:int>>)")
 
     def advance(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
+        start, first = acc["at"] + F.length(p["head"]), acc["byte"] + F.octet_length(p["head"])
+        end, stop = start + F.length(p["body"]), first + F.octet_length(p["body"])
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), first.alias("first"), stop.alias("stop")))
         spans = F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((end + F.length(p["tail"])).alias("at"), spans.alias("spans"))
+        return F.struct((end + F.length(p["tail"])).alias("at"), (stop + F.octet_length(p["tail"])).alias("byte"), spans.alias("spans"))
+
+    def after(acc: Column, w: Column) -> Column:
+        places = F.concat(acc["places"], F.array(F.struct(acc["at"].alias("at"), acc["byte"].alias("byte"))))
+        return F.struct((acc["at"] + w["at"]).alias("at"), (acc["byte"] + w["byte"]).alias("byte"), places.alias("places"))
+
+    def moved(w: Column, place: Column) -> Column:
+        return F.transform(w["spans"], lambda s: F.struct(*((s[c] + place[by]).alias(c) for c, by in (("start", "at"), ("end", "at"), ("first", "byte"), ("stop", "byte")))))
 
-    walked = F.aggregate("ps", F.struct(F.lit(0).alias("at"), none.alias("spans")), advance)
-    return built.select("conv_id", text.alias("formatted"), walked["spans"].alias("loss_spans"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), none.alias("spans"))
+    chunks = F.transform(F.sequence(F.lit(1), F.size("ps"), F.lit(CHUNK)), lambda i: F.aggregate(F.slice("ps", i, CHUNK), start, advance))
+    walked = built.select("conv_id", text.alias("formatted"), chunks.alias("ws"))
+    places = F.aggregate("ws", F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), no_places.alias("places")), after)["places"]
+    return walked.select("conv_id", "formatted", "ws", places.alias("places")).select("conv_id", "formatted", F.flatten(F.zip_with("ws", "places", moved)).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -81,8 +97,9 @@ def read_back(formatted: Column) -> Column:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from the formatted text and its loss mask."""
-    spans = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["end"] - s["start"])))
-    back = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), F.array_join(spans, "").alias("loss"))
+    raw = F.col("formatted").cast("binary")
+    spans = F.transform("loss_spans", lambda s: unescape(F.substr("raw", s["first"] + 1, s["stop"] - s["first"]).cast("string")))
+    back = formatted.withColumn("raw", raw).select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), F.array_join(spans, "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

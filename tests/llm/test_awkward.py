@@ -83,6 +83,23 @@ def test_chat(spark):
     assert chat.format_chats(rows.filter("false")).count() == 0
 
 
+def test_long_conversations(spark):
+    import time
+
+    roles = ["user", "assistant", "assistant", "tool"]
+    rows = spark.range(20_000).selectExpr("id % 2 conv_id", "id turn", "element_at(array('user', 'assistant', 'assistant', 'tool'), cast(id div 2 % 4 + 1 as int)) role", "concat('é#', id, '<') text")
+    start = time.time()
+    found = {r.conv_id: r for r in chat.format_chats(rows).collect()}
+    digests = {r.conv_id: r for r in chat.digests(chat.format_chats(rows)).collect()}
+    assert time.time() - start < 20
+    for c in (0, 1):
+        turns = [(roles[i // 2 % 4], f"é#{i}<") for i in range(c, 20_000, 2)]
+        said = [t for r, t in turns if r == "assistant"]
+        spans = [found[c].formatted[s.start : s.end] for s in found[c].loss_spans]
+        assert [s.replace("\\h", "#").replace("\\l", "<") for s in spans] == said
+        assert digests[c].loss_sha256 == hashlib.sha256("".join(said).encode()).hexdigest() and digests[c].n_turns == 10_000
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, "<p>just a few words here</p>"), (3, "u", "<p " * 2000)], "page_id long, url string, html string")
     by = sorted((r.page_id, r.text, r.n_chars) for r in html.main_texts(pages).collect())
