@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, bit_width, blocks, byte_rows, fingerprint, mod61, mulmod61, printable, slices
 from phrasemill.session import spread, table
 
-PREFIX = 120  # characters of the benchmark items that the per-position queries with SQL look at; the whole_ queries look at all
 BLOCK = 4096
 
 
@@ -19,19 +15,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select("doc_id", as_bytes("text").alias("b"))
 
 
-def short_texts(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
-    """item_id and the first characters of every benchmark item (all if chars is None), as text s and bytes b."""
-    s = F.col("text") if chars is None else F.substring("text", 1, chars)
-    return table(spark, folder, "benchmark").select("item_id", s.alias("s"), as_bytes(s).alias("b"))
-
-
-def whole(*found: Callable[..., DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The same queries over whole texts, as whole_ and their names; without SQL, tested against brute force."""
-    return {f"whole_{f.__name__}": partial(f, chars=None) for f in found}
+def short_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """item_id and the whole text of every benchmark item, as text s and bytes b."""
+    return table(spark, folder, "benchmark").select("item_id", F.col("text").alias("s"), as_bytes("text").alias("b"))
 
 
-def short_bytes(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
-    return byte_rows(short_texts(spark, folder, chars), "b", "item_id")
+def short_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_rows(short_texts(spark, folder), "b", "item_id")
 
 
 def topk_grams_exact(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,84 +76,84 @@ def block_bits(spark: SparkSession, folder: str) -> DataFrame:
     return ranges.select("doc_id", "block_no", width.alias("width"), (width * F.col("len")).cast("long").alias("bits"))
 
 
-def rank_prefix(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def rank_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """rank(c, i), inclusive, of byte 'e' at every place, and of every place's own byte."""
     upto = Window.partitionBy("item_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy("item_id", "byte").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return short_bytes(spark, folder, chars).select("item_id", "pos", F.sum((F.col("byte") == 101).cast("long")).over(upto).alias("rank_e"), F.count("*").over(own).alias("rank_own"))
+    return short_bytes(spark, folder).select("item_id", "pos", F.sum((F.col("byte") == 101).cast("long")).over(upto).alias("rank_e"), F.count("*").over(own).alias("rank_own"))
 
 
-def range_rank(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def range_rank(spark: SparkSession, folder: str) -> DataFrame:
     """rank(i, j) of byte 'e' in every 16-byte range, as a difference of two ranks."""
-    ranks = rank_prefix(spark, folder, chars).select("item_id", "pos", "rank_e")
+    ranks = rank_prefix(spark, folder).select("item_id", "pos", "rank_e")
     before = F.coalesce(F.lag("rank_e", 16).over(Window.partitionBy("item_id").orderBy("pos")), F.lit(0))
     return ranks.select("item_id", "pos", (F.col("rank_e") - before).alias("in_range"))
 
 
-def range_min(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def range_min(spark: SparkSession, folder: str) -> DataFrame:
     """Leftmost place of the least byte among each place and the 15 before."""
     near = Window.partitionBy("item_id").orderBy("pos").rowsBetween(-15, 0)
     least = F.min(F.struct("byte", "pos")).over(near)
-    return short_bytes(spark, folder, chars).select("item_id", "pos", least["byte"].alias("least"), least["pos"].alias("at"))
+    return short_bytes(spark, folder).select("item_id", "pos", least["byte"].alias("least"), least["pos"].alias("at"))
 
 
-def _short_prints(spark: SparkSession, folder: str, chars: int | None = PREFIX, size: int = 8) -> DataFrame:
+def _short_prints(spark: SparkSession, folder: str, size: int = 8) -> DataFrame:
     values = F.transform(slices(F.col("b"), 1), lambda one: F.conv(F.hex(one), 16, 10).cast("int"))
-    texts = short_texts(spark, folder, chars).filter(F.octet_length("b") >= size).select("item_id", values.alias("v"))
+    texts = short_texts(spark, folder).filter(F.octet_length("b") >= size).select("item_id", values.alias("v"))
     starts = F.sequence(F.lit(1), F.size("v") - (size - 1))
     prints = F.transform(starts, lambda p: fingerprint(F.slice("v", p, size)))
     return texts.select("item_id", F.posexplode(prints).alias("pos", "fp")).select("item_id", F.col("pos").cast("long").alias("pos"), F.col("fp").cast("long").alias("fp"))
 
 
-def kr_fingerprints(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
-    return _short_prints(spark, folder, chars)
+def kr_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return _short_prints(spark, folder)
 
 
-def sampled_grams(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def sampled_grams(spark: SparkSession, folder: str) -> DataFrame:
     """8-byte strings whose fingerprint has its two low bits clear (a sample of one in four by content)."""
-    return _short_prints(spark, folder, chars).filter(F.col("fp").bitwiseAND(3) == 0)
+    return _short_prints(spark, folder).filter(F.col("fp").bitwiseAND(3) == 0)
 
 
-def minimizers(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def minimizers(spark: SparkSession, folder: str) -> DataFrame:
     """Places whose fingerprint is the least of the last eight."""
     near = Window.partitionBy("item_id").orderBy("pos").rowsBetween(-7, 0)
-    return _short_prints(spark, folder, chars).withColumn("least", F.min("fp").over(near)).filter("fp = least").select("item_id", "pos", "fp")
+    return _short_prints(spark, folder).withColumn("least", F.min("fp").over(near)).filter("fp = least").select("item_id", "pos", "fp")
 
 
-def _suffixes(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
-    texts = short_texts(spark, folder, chars)
+def _suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    texts = short_texts(spark, folder)
     starts = F.sequence(F.lit(0), F.octet_length("b") - 1)
     tails = F.transform(starts, lambda p: F.struct(p.cast("long").alias("pos"), F.substr(F.col("b"), p + 1).alias("tail"), F.substr(F.col("b"), p, F.lit(1)).alias("before")))
     rows = texts.filter(F.octet_length("b") > 0).select("item_id", F.explode(tails).alias("t")).select("item_id", "t.*")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("tail")).cast("long") - 1)
 
 
-def suffix_ranks(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def suffix_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """The inverse suffix array: the rank of every suffix in byte order."""
-    return _suffixes(spark, folder, chars).select("item_id", "pos", "rank")
+    return _suffixes(spark, folder).select("item_id", "pos", "rank")
 
 
-def lcp(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def lcp(spark: SparkSession, folder: str) -> DataFrame:
     """Longest common prefix of each suffix with the one before it in order."""
     last = F.lag("tail").over(Window.partitionBy("item_id").orderBy("rank"))
-    rows = _suffixes(spark, folder, chars).withColumn("last", F.coalesce(last, F.lit(b"")))
+    rows = _suffixes(spark, folder).withColumn("last", F.coalesce(last, F.lit(b"")))
     shorter = F.least(F.octet_length("tail"), F.octet_length("last"))
     differ = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda p: F.substr("tail", p, F.lit(1)) != F.substr("last", p, F.lit(1))))
     common = F.when(shorter == 0, 0).otherwise(F.coalesce(differ - 1, shorter))
     return rows.select("item_id", "rank", common.cast("long").alias("lcp"))
 
 
-def bwt(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def bwt(spark: SparkSession, folder: str) -> DataFrame:
     """The Burrows-Wheeler transform by rank; the suffix of the whole text is preceded by nothing (-1)."""
     value = F.when(F.col("pos") == 0, -1).otherwise(F.conv(F.hex("before"), 16, 10).cast("int"))
-    return _suffixes(spark, folder, chars).select("item_id", "rank", value.alias("byte"))
+    return _suffixes(spark, folder).select("item_id", "rank", value.alias("byte"))
 
 
-def backward_search(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def backward_search(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of 'th' and 'an' by two interval steps each: C[c] + rank(c, .) over the transform.
     The empty suffix, of rank -1, is the least one."""
-    rows = bwt(spark, folder, chars).select("item_id", (F.col("rank") + 1).alias("rank"), "byte")
-    texts = short_texts(spark, folder, chars).filter(F.octet_length("b") > 0)
+    rows = bwt(spark, folder).select("item_id", (F.col("rank") + 1).alias("rank"), "byte")
+    texts = short_texts(spark, folder).filter(F.octet_length("b") > 0)
     tail = texts.select("item_id", F.lit(0).cast("long").alias("rank"), F.conv(F.hex(F.substr("b", F.octet_length("b"), F.lit(1))), 16, 10).cast("int").alias("byte"))
     column = rows.unionByName(tail)
     counts = column.groupBy("item_id").agg(
@@ -199,25 +189,25 @@ def length_overflow(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("doc_id", short.alias("short"), rest.alias("rest"), F.ceil(F.col("n") / 255).alias("ceil_div"), bit_width(rest).alias("width"))
 
 
-def printable_bytes(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
-    return short_bytes(spark, folder, chars).select("item_id", "pos", printable(F.col("byte")).alias("shown"))
+def printable_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return short_bytes(spark, folder).select("item_id", "pos", printable(F.col("byte")).alias("shown"))
 
 
-def reversed_bytes(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def reversed_bytes(spark: SparkSession, folder: str) -> DataFrame:
     """Reversed texts, with a zero sentinel at the end."""
-    return short_texts(spark, folder, chars).select("item_id", F.concat(F.array_join(F.reverse(F.transform(slices(F.col("b"), 1), F.hex)), ""), F.lit("00")).alias("reversed"))
+    return short_texts(spark, folder).select("item_id", F.concat(F.array_join(F.reverse(F.transform(slices(F.col("b"), 1), F.hex)), ""), F.lit("00")).alias("reversed"))
 
 
-def alphabet_remap(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def alphabet_remap(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes by their number in each item's effective alphabet."""
     number = F.dense_rank().over(Window.partitionBy("item_id").orderBy("byte")) - 1
-    return short_bytes(spark, folder, chars).select("item_id", "pos", number.cast("long").alias("symbol"))
+    return short_bytes(spark, folder).select("item_id", "pos", number.cast("long").alias("symbol"))
 
 
-def fingerprint_append(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def fingerprint_append(spark: SparkSession, folder: str) -> DataFrame:
     """fp(all) from fp(first half) and fp(second half): append is a multiplication and a sum."""
     values = F.transform(slices(F.col("b"), 1), lambda one: F.conv(F.hex(one), 16, 10).cast("int"))
-    halves = short_texts(spark, folder, chars).select("item_id", values.alias("v")).withColumn("h", F.floor(F.size("v") / 2).cast("int"))
+    halves = short_texts(spark, folder).select("item_id", values.alias("v")).withColumn("h", F.floor(F.size("v") / 2).cast("int"))
     prints = halves.select(
         "item_id",
         fingerprint(F.col("v"), 256).alias("whole"),
@@ -229,10 +219,10 @@ def fingerprint_append(spark: SparkSession, folder: str, chars: int | None = PRE
     return prints.select("item_id", F.col("whole").cast("long").alias("whole"), joined.cast("long").alias("joined"))
 
 
-def lce_pairs(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def lce_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Longest common extension of places i and i + 7 within each item."""
     places = F.sequence(F.lit(0), F.greatest(F.octet_length("b") - 8, F.lit(0)))
-    texts = short_texts(spark, folder, chars).filter(F.octet_length("b") >= 8)
+    texts = short_texts(spark, folder).filter(F.octet_length("b") >= 8)
 
     def common(i: Column) -> Column:
         n = F.octet_length("b") - i - 7
@@ -257,30 +247,32 @@ def popcounts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def packed_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The first eight bytes of an item packed into one number (seven, to stay positive), and unpacked again."""
-    head = F.substr(F.col("b"), F.lit(1), F.lit(7))
-    packed = F.conv(F.hex(head), 16, 10).cast("long")
-    return short_texts(spark, folder).select("item_id", packed.alias("packed"), F.lower(F.lpad(F.hex(packed), (F.octet_length(head) * 2).cast("int"), F.lit("0"))).alias("unpacked"))
+    """The bytes of an item eight by eight, each eight packed into one (unsigned) number, and unpacked again."""
+    starts = F.sequence(F.lit(1), F.octet_length("b"), F.lit(8))
+    parts = F.transform(starts, lambda p: F.substr(F.col("b"), p, F.lit(8)))
+    labels = short_texts(spark, folder).filter(F.octet_length("b") > 0).select("item_id", F.posexplode(parts).alias("label", "part"))
+    packed = F.conv(F.hex("part"), 16, 10)
+    return labels.select("item_id", "label", packed.alias("packed"), F.lower(F.lpad(F.conv(packed, 10, 16), (F.octet_length("part") * 2).cast("int"), F.lit("0"))).alias("unpacked"))
 
 
-def reference_filters(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def reference_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated 8-byte strings with their last earlier place: references shorter than a distance are
     counted as filtered, the others as kept."""
-    grams = short_texts(spark, folder, chars).select("item_id", F.posexplode(slices(F.col("b"), 4)).alias("pos", "g"))
+    grams = short_texts(spark, folder).select("item_id", F.posexplode(slices(F.col("b"), 4)).alias("pos", "g"))
     last = F.lag("pos").over(Window.partitionBy("item_id", "g").orderBy("pos"))
     refs = grams.withColumn("dist", F.col("pos") - last).filter("dist IS NOT NULL")
     return refs.groupBy("item_id").agg(F.count_if(F.col("dist") >= 16).alias("kept"), F.count_if(F.col("dist") < 16).alias("filtered"))
 
 
 _BYTES = """y AS (SELECT item_id, unnest(regexp_extract_all(hex(encode(s)), '..')) h, generate_subscripts(regexp_extract_all(hex(encode(s)), '..'), 1) - 1 AS pos
-  FROM (SELECT item_id, substr(text, 1, 120) s FROM benchmark)),
+  FROM (SELECT item_id, text s FROM benchmark)),
 z AS (SELECT item_id, pos::BIGINT pos, ('0x' || h)::INTEGER AS byte FROM y)"""
 _DOC_BYTES = """y AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) h, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) - 1 AS pos FROM documents)"""
 _PRINTS = f"""{_BYTES},
 v AS (SELECT item_id, list(byte ORDER BY pos) v FROM z GROUP BY item_id),
 f AS (SELECT item_id, unnest(range(0, len(v) - 7)) AS pos, unnest(list_transform(range(0, len(v) - 7), lambda i: list_reduce(list_transform(v[i + 1:i + 8], lambda q: q::HUGEINT), lambda a, x: (a * 65497 + x) % 2305843009213693951::HUGEINT, 0::HUGEINT)))::BIGINT AS fp FROM v)"""
 _TAILS = f"""{_BYTES},
-t AS (SELECT item_id, hex(encode(s)) h FROM (SELECT item_id, substr(text, 1, 120) s FROM benchmark)),
+t AS (SELECT item_id, hex(encode(s)) h FROM (SELECT item_id, text s FROM benchmark)),
 u AS (SELECT item_id, unnest(range(0, (length(h) // 2)::BIGINT)) AS pos, h FROM t),
 w AS (SELECT item_id, pos, substr(h, 2 * pos + 1) tail, h, row_number() OVER (PARTITION BY item_id ORDER BY substr(h, 2 * pos + 1)) - 1 AS rank FROM u)"""
 
@@ -322,18 +314,15 @@ SELECT doc_id, least(n, 255) AS short, greatest(n - 255, 0) AS rest, ceil(n / 25
     "fingerprint_append": f"""WITH {_BYTES}, v AS (SELECT item_id, list(byte::HUGEINT ORDER BY pos) v FROM z GROUP BY item_id),
 f AS (SELECT item_id, list_reduce(v, lambda a, x: (a * 256 + x) % 2305843009213693951::HUGEINT, 0::HUGEINT)::BIGINT AS whole FROM v)
 SELECT item_id, whole, whole AS joined FROM f""",
-    "lce_pairs": f"""WITH t AS (SELECT item_id, hex(encode(substr(text, 1, 120))) h FROM benchmark), u AS (SELECT item_id, h, unnest(range(0, length(h) // 2 - 7)) i FROM t)
+    "lce_pairs": f"""WITH t AS (SELECT item_id, hex(encode(text)) h FROM benchmark), u AS (SELECT item_id, h, unnest(range(0, length(h) // 2 - 7)) i FROM t)
 SELECT item_id, i, list_max(list_filter(range(0, length(h) // 2 - i - 6), lambda k: substr(h, 2 * i + 1, 2 * k) = substr(h, 2 * i + 15, 2 * k)))::BIGINT AS lce FROM u""",
     "rst_functions": """WITH r AS (SELECT x, unnest(range(0, x)) y FROM range(1, 257) t(x)), i AS (SELECT x, y, length(bin(xor(x, y))) - 1 AS i FROM r)
 SELECT x, y, i::INTEGER AS i, (x >> i) << i AS rst FROM i""",
     "popcounts": "SELECT vec_id, bit_count(vec_id & 255)::BIGINT AS low, bit_count(vec_id & 4080)::BIGINT AS middle FROM embeddings",
-    "packed_labels": """WITH t AS (SELECT item_id, substr(hex(encode(substr(text, 1, 120))), 1, 14) h FROM benchmark) SELECT item_id, ('0x' || h)::BIGINT AS packed, lower(h) AS unpacked FROM t""",
+    "packed_labels": """WITH t AS (SELECT item_id, hex(encode(text)) h FROM benchmark), p AS (SELECT item_id, unnest(range(0, (length(h) + 15) // 16)) AS label, h FROM t),
+u AS (SELECT item_id, label::INTEGER AS label, substr(h, 16 * label + 1, 16) u FROM p) SELECT item_id, label, ('0x' || u)::UBIGINT::VARCHAR AS packed, lower(u) AS unpacked FROM u""",
     "reference_filters": f"""WITH {_BYTES}, g AS (SELECT item_id, pos, h || lead(h, 1) OVER w || lead(h, 2) OVER w || lead(h, 3) OVER w g FROM y WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
 d AS (SELECT item_id, pos - lag(pos) OVER (PARTITION BY item_id, g ORDER BY pos) AS dist FROM g WHERE g IS NOT NULL)
 SELECT item_id, count(*) FILTER (dist >= 16) AS kept, count(*) FILTER (dist < 16) AS filtered FROM d WHERE dist IS NOT NULL GROUP BY 1""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
-QUERIES |= whole(
-    rank_prefix, range_rank, range_min, kr_fingerprints, sampled_grams, minimizers, suffix_ranks, lcp, bwt, backward_search,
-    printable_bytes, reversed_bytes, alphabet_remap, fingerprint_append, lce_pairs, reference_filters,
-)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, slices
 from phrasemill.operators.topk import sketch_cells, sketch_estimates, topk_exact, topk_mergeable, topk_sequential
-from phrasemill.plans.byte_queries import PREFIX, documents, short_texts, whole
+from phrasemill.plans.byte_queries import documents, short_texts
 from phrasemill.session import ship, table
 
 
@@ -96,16 +96,16 @@ def _dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def dictionary_probe(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def dictionary_probe(spark: SparkSession, folder: str) -> DataFrame:
     """Places of the items' 4-byte strings that stand in the dictionary: a hash probe of a bounded table."""
-    grams = short_texts(spark, folder, chars).select("item_id", F.posexplode(slices(F.col("b"), 4)).alias("pos", "g")).select("item_id", F.col("pos").cast("long").alias("pos"), F.hex("g").alias("s"))
+    grams = short_texts(spark, folder).select("item_id", F.posexplode(slices(F.col("b"), 4)).alias("pos", "g")).select("item_id", F.col("pos").cast("long").alias("pos"), F.hex("g").alias("s"))
     own = _dictionary(spark, folder).filter("depth = 4")
     return grams.join(F.broadcast(own), "s").select("item_id", "pos", "s", "freq")
 
 
-def longest_match(spark: SparkSession, folder: str, chars: int | None = PREFIX) -> DataFrame:
+def longest_match(spark: SparkSession, folder: str) -> DataFrame:
     """The dictionary's longest match at every place: one equi-join over all depths, not a prefix join."""
-    texts = short_texts(spark, folder, chars)
+    texts = short_texts(spark, folder)
     out = None
     for size in (1, 2, 3, 4):
         part = texts.select("item_id", F.posexplode(slices(F.col("b"), size)).alias("pos", "g")).select("item_id", F.col("pos").cast("long").alias("pos"), F.hex("g").alias("s"))
@@ -158,7 +158,7 @@ def child_probe(spark: SparkSession, folder: str) -> DataFrame:
 _GRAMS = """y AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) h, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) AS pos FROM documents),
 g AS (SELECT h s1, h || lead(h, 1) OVER w s2, h || lead(h, 1) OVER w || lead(h, 2) OVER w s3, h || lead(h, 1) OVER w || lead(h, 2) OVER w || lead(h, 3) OVER w s4 FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 dict AS (""" + " UNION ALL ".join(f"(SELECT s{d} s, {d} depth, count(*) freq FROM g WHERE s{d} IS NOT NULL GROUP BY 1 ORDER BY freq DESC, s LIMIT 200)" for d in (1, 2, 3, 4)) + ")"
-_SHORT = """b AS (SELECT item_id, hex(encode(substr(text, 1, 120))) h FROM benchmark),
+_SHORT = """b AS (SELECT item_id, hex(encode(text)) h FROM benchmark),
 p AS (SELECT item_id, h, unnest(range(0, length(h) // 2)) AS pos FROM b)"""
 _TRIE = """t AS (SELECT substr(hex(encode(text)), 1, 6) h FROM documents WHERE octet_length(encode(text)) >= 3),
 n AS (SELECT substr(h, 1, 2 * d)  s, d depth, count(*) freq FROM t, range(1, 4) r(d) GROUP BY 1, 2),
@@ -187,4 +187,3 @@ FROM e LEFT JOIN d k ON k.parent = e.s JOIN d q ON q.parent = e.parent""",
 SELECT item_id, (CASE WHEN substr(h, 1, 2) IN (SELECT s FROM e) THEN 1 ELSE 0 END + CASE WHEN h IN (SELECT s FROM e) THEN 1 ELSE 0 END)::BIGINT AS depth FROM h""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
-QUERIES |= whole(dictionary_probe, longest_match)

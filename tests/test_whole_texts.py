@@ -1,11 +1,14 @@
-"""The whole_ queries against plain programs, on texts that go on beyond the prefix of the queries with SQL."""
+"""The queries over whole items against plain programs."""
 
+import random
 from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from phrasemill.operators import container
+from phrasemill.operators.parsers import PARSERS
 from phrasemill.plans import catalog
 
 TEXTS = {
@@ -106,22 +109,75 @@ def fold(x):
 
 
 def lz77(x):
-    """Greedy: the longest string of two bytes or more that starts earlier, or one byte."""
-    i = z = 0
+    """Greedy: the longest string of two bytes or more that starts earlier, or one byte: lengths."""
+    i, out = 0, []
     while i < len(x):
         n = max(common(x[j:], x[i:]) for j in range(i)) if i else 0
-        i, z = i + (n if n > 1 else 1), z + 1
-    return [(z, len(x))]
+        out.append(n if n > 1 else 1)
+        i += out[-1]
+    return out
 
 
 def lz78(x):
-    """The longest phrase so far and one byte more."""
-    own, i, z = {b""}, 0, 0
+    """The longest phrase so far and one byte more: (number, place, number of that phrase, length, byte)."""
+    own, i, out = [b""], 0, []
+    while i < len(x):
+        ref = max((w for w in own if x.startswith(w, i)), key=len)
+        phrase = x[i : i + len(ref) + 1]
+        out.append((len(out), i, own.index(ref), len(phrase), x[i + len(ref)] if i + len(ref) < len(x) else -1))
+        own.append(phrase)
+        i += len(phrase)
+    return out
+
+
+def lzend(x):
+    """The longest string that ends where a phrase ended, and a byte: lengths."""
+    i, ends, out = 0, [], []
     while i < len(x):
-        n = max(len(w) for w in own if x.startswith(w, i)) + 1
-        own.add(x[i : i + n])
-        i, z = i + n, z + 1
-    return [(z, len(x))]
+        n = max((n for n in range(1, len(x) - i) if any(e >= n and x[e - n : e] == x[i : i + n] for e in ends)), default=0)
+        i += n + 1
+        ends.append(i)
+        out.append(n + 1)
+    return out
+
+
+def counted(parse):
+    return lambda x: [(len(parse(x)), len(x))]
+
+
+def covering(x):
+    return [(p, k, at, n) for p in range(0, len(x), 10) for k, at, _, n, _ in lz78(x) if at <= p < at + n]
+
+
+def tokens(x):
+    """(block, type, value) of the LZ78 phrases."""
+    return [(k // 64, *t) for k, _, ref, _, lit in lz78(x) for t in (("ref", ref), ("literal", lit)) if t[1] >= 0]
+
+
+def token_stats(x):
+    groups = {}
+    for block, kind, value in tokens(x):
+        groups.setdefault((block, kind), []).append(value)
+    width = lambda v: (max(v) - min(v)).bit_length()
+    return [(*g, len(v), min(v), max(v), sum(v), sum(a * a for a in v), width(v), width(v) * len(v)) for g, v in groups.items()]
+
+
+def huffman(x):
+    """Bits by merging the two rarest again and again."""
+    own, bits = sorted(Counter(x).values()), 0
+    if len(own) == 1:
+        return [(own[0],)]
+    while len(own) > 1:
+        a, b, *rest = own
+        bits += a + b
+        own = sorted([*rest, a + b])
+    return [(bits,)]
+
+
+def united(x):
+    third = len(x) // 3
+    last = [(s + third, p, n) for s, p, n in repeats(x[third:])]
+    return list(dict.fromkeys([*repeats(x[: len(x) - third]), *last]))
 
 
 WANTED = {
@@ -143,13 +199,18 @@ WANTED = {
     "reference_filters": ("kept filtered", references),
     "dictionary_probe": ("pos s freq", lambda x: [(i, x[i : i + 4].hex().upper(), dictionary()[x[i : i + 4]]) for i in range(len(x) - 3) if x[i : i + 4] in dictionary()]),
     "longest_match": ("pos depth", matches),
-    "lz77_counts": ("z n", lz77),
-    "lz78_counts": ("z n", lz78),
-    "phrase_statistics": ("total_len sound", lambda x: [(len(x), True)]),
-    "huffman_totals": ("within", lambda x: [(True,)]),
+    "lz77_counts": ("z n", counted(lz77)),
+    "lz78_counts": ("z n", counted(lz78)),
+    "topk_lz78_counts": ("z n", counted(lz78)),
+    "lzend_counts": ("z n", counted(lzend)),
+    "phrase_statistics": ("n_phrases n_refs n_literals longest total_len", lambda x: [(len(lz77(x)), sum(n > 1 for n in lz77(x)), sum(n < 2 for n in lz77(x)), max(lz77(x)), len(x))]),
+    "phrase_of_position": ("pos phrase_no start len", covering),
+    "item_token_bits": ("block type n lo hi total squares width bits", token_stats),
+    "item_token_histogram": ("type width n", lambda x: [(*k, n) for k, n in Counter((t, v.bit_length()) for _, t, v in tokens(x)).items()]),
+    "huffman_totals": ("bits", huffman),
     "maximal_runs": ("start period length", repeats),
-    "run_union": ("start period length", repeats),
-    "sql_phrases": ("covered ordered", lambda x: [(len(x), True)]),
+    "run_union": ("start period length", united),
+    "sql_phrases": ("phrase_no pos ref len lit", lz78),
     "nearest_smaller": ("pos before after", nearest),
 }
 
@@ -157,5 +218,33 @@ WANTED = {
 @pytest.mark.parametrize("name", WANTED)
 def test_whole_query(spark, folder, name):
     columns, f = WANTED[name]
-    found = catalog.queries()[f"whole_{name}"](spark, folder).select("item_id", *columns.split()).collect()
+    found = catalog.queries()[name](spark, folder).select("item_id", *columns.split()).collect()
     assert sorted(map(tuple, found)) == sorted(each(f))
+
+
+def test_token_bits_of_documents(spark, folder):
+    """The documents' tokens, 2048 phrases to a block."""
+    documents = {1: DATA[1], 2: b"an end of the hand " * 5}
+    wanted = []
+    for doc, x in documents.items():
+        for kind, field in (("ref", 2), ("literal", 4)):
+            v = [p[field] for p in lz78(x) if p[field] >= 0]
+            width = (max(v) - min(v)).bit_length()
+            wanted.append((doc, 0, kind, len(v), min(v), max(v), round(sum(v) / len(v), 2), width, width * len(v)))
+    assert sorted(map(tuple, catalog.queries()["token_bits"](spark, folder).collect())) == sorted(wanted)
+
+
+def test_container_ratios(spark, folder):
+    sizes = sum(map(len, (DATA[1], b"an end of the hand " * 5)))
+    for r in catalog.queries()["container_ratios"](spark, folder).collect():
+        nout = sum(len(container.pack(x, r.algo, **{"lz78": {}, "lz77": {"threshold": 4}}.get(r.algo, {"k": 512, "window": 4096, "max_freq": 1024}))) for x in (DATA[1], b"an end of the hand " * 5))
+        assert (r.n, r.nout, r.ratio) == (sizes, nout, round(nout / sizes, 4))
+
+
+@pytest.mark.parametrize("algo", [*(a for a, p in PARSERS.items() if p.decode), container.RAW])
+def test_containers(algo):
+    draw = random.Random(3)
+    for data in (b"", b"\0", b"$", bytes(range(256)), b"ab" * 3000, bytes(draw.choice(b"abc ") for _ in range(5000)), *DATA.values()):
+        assert container.unpack(container.pack(data, algo)) == data
+    with pytest.raises(ValueError):
+        container.unpack(b"x" * 40)
