@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from phrasemill.operators.summaries import PrefixSummary, summarize
 
+GRAM_BYTES = 1 << 20  # bytes whose grams are counted at a time
+
 
 def topk_exact(rows: DataFrame, item: str, k: int) -> DataFrame:
     """item, n of the k most frequent items, ties by item."""
@@ -88,14 +91,68 @@ def frequent_prefixes(rows: DataFrame, column: str, k: int, max_freq: int = 1 <<
     return sorted(kept - {b""})
 
 
+SKETCH_PRIME = (1 << 31) - 1
+
+
+def sketch_factors(row: int) -> tuple[int, int]:
+    """The two numbers of a row's hash function (a * x + b) mod SKETCH_PRIME mod width."""
+    return 1103515245 * (row + 1) % SKETCH_PRIME, 12345 * (row + 7) * (row + 7) % SKETCH_PRIME
+
+
+def _cells(rows: DataFrame, item: Column, depth: int, width: int) -> Column:
+    """(row, cell) of an item in every row of a sketch. Whole numbers are hashed as they are (modulo the prime),
+    anything else by 64 bits first; no product passes a long."""
+    integral = rows.select(item).schema[0].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    x = F.pmod(item.cast("long") if integral else F.xxhash64(item), F.lit(SKETCH_PRIME))
+    places = []
+    for r in range(depth):
+        a, b = sketch_factors(r)
+        places.append(F.struct(F.lit(r).alias("row"), F.pmod(F.pmod(x * a + b, F.lit(SKETCH_PRIME)), F.lit(width)).alias("cell")))
+    return F.explode(F.array(*places))
+
+
 def sketch_cells(rows: DataFrame, item: Column, depth: int = 2, width: int = 1 << 12) -> DataFrame:
     """A Count-Min sketch as rows (row, cell, n): one aggregation with partial sums; at most depth x width rows."""
-    cells = [F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(item, F.lit(r)), F.lit(width)).alias("cell")) for r in range(depth)]
-    return rows.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.row", "c.cell").agg(F.count("*").alias("n"))
+    return rows.select(_cells(rows, item, depth, width).alias("c")).groupBy("c.row", "c.cell").agg(F.count("*").alias("n"))
 
 
 def sketch_estimates(items: DataFrame, item: Column, cells: DataFrame, depth: int = 2, width: int = 1 << 12) -> DataFrame:
     """items with an ``estimate``: the least of its cells, never below the true count."""
-    places = [F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(item, F.lit(r)), F.lit(width)).alias("cell")) for r in range(depth)]
-    asked = items.withColumn("c", F.explode(F.array(*places))).select(*items.columns, "c.row", "c.cell")
+    asked = items.withColumn("c", _cells(items, item, depth, width)).select(*items.columns, "c.row", "c.cell")
     return asked.join(F.broadcast(cells), ["row", "cell"]).groupBy(*items.columns).agg(F.min("n").alias("estimate"))
+
+
+def gram_counts(rows: DataFrame, column: str, sizes: tuple[int, ...]) -> DataFrame:
+    """size, code, n: how often each string of ``size`` bytes (up to 7, as a big-endian number) stands in the
+    binary column. Grams are counted in each Arrow batch, so what is shuffled are partial counts, not bytes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column_ = batch.column(0).cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(column_.buffers()[1], np.int64)[column_.offset : column_.offset + len(column_) + 1]
+            if not len(column_) or offsets[0] == offsets[-1]:
+                continue
+            data = np.frombuffer(column_.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            for start in range(0, len(data), GRAM_BYTES):
+                part = data[start : start + GRAM_BYTES + max(sizes) - 1].astype(np.int64)
+                at = np.arange(start, min(start + GRAM_BYTES, len(data)))
+                room = offsets[np.searchsorted(offsets, at + offsets[0], side="right")] - offsets[0] - at
+                for size in sizes:
+                    starts = np.flatnonzero(room >= size)
+                    code = np.zeros(len(starts), np.int64)
+                    for j in range(size):
+                        code = code << 8 | part[starts + j]
+                    if size <= 2:
+                        n = np.bincount(code, minlength=1)
+                        code = np.flatnonzero(n)
+                        n = n[code]
+                    else:
+                        code, n = np.unique(code, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), size, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["size", "code", "n"])
+
+    return rows.select(column).mapInArrow(count, "size int, code long, n long").groupBy("size", "code").agg(F.sum("n").alias("n"))
+
+
+def gram_hex(size: Column, code: Column) -> Column:
+    """A gram's bytes in hexadecimal."""
+    return F.lpad(F.hex(code), (size * 2).cast("int"), F.lit("0"))

@@ -1,4 +1,5 @@
-"""Byte-level queries: scans, blocks, grams, sampling, fingerprints, ranks and suffixes, without Python code on the executors."""
+"""Byte-level queries: scans, blocks, grams, sampling, fingerprints, ranks and suffixes; but for the counting of grams
+without Python code on the executors."""
 
 from __future__ import annotations
 
@@ -6,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, bit_width, blocks, byte_rows, fingerprint, mod61, mulmod61, printable, slices
-from phrasemill.session import spread, table
+from phrasemill.operators.topk import gram_counts, gram_hex
+from phrasemill.session import ship, spread, table
 
 BLOCK = 4096
 
@@ -26,13 +28,14 @@ def short_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 def topk_grams_exact(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 most frequent 4-byte strings: the exact form of the bounded summaries."""
-    grams = documents(spark, folder).select(F.explode(slices(F.col("b"), 4)).alias("g"))
-    return grams.groupBy("g").agg(F.count("*").alias("c")).select(F.hex("g").alias("gram"), "c").orderBy(F.desc("c"), "gram").limit(20)
+    ship(spark)
+    grams = gram_counts(documents(spark, folder), "b", (4,)).orderBy(F.desc("n"), "code").limit(20)
+    return grams.select(gram_hex(F.col("size"), F.col("code")).alias("gram"), F.col("n").alias("c")).orderBy(F.desc("c"), "gram")
 
 
 def byte_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    ones = documents(spark, folder).select(F.explode(slices(F.col("b"), 1)).alias("one"))
-    return ones.groupBy("one").agg(F.count("*").alias("n")).select(F.conv(F.hex("one"), 16, 10).cast("int").alias("byte"), "n")
+    ship(spark)
+    return gram_counts(documents(spark, folder), "b", (1,)).select(F.col("code").cast("int").alias("byte"), "n")
 
 
 def byte_checksum(spark: SparkSession, folder: str) -> DataFrame:

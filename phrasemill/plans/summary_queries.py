@@ -6,37 +6,54 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, slices
-from phrasemill.operators.topk import sketch_cells, sketch_estimates, topk_exact, topk_mergeable, topk_sequential
+from phrasemill.operators.topk import gram_counts, gram_hex, sketch_cells, sketch_estimates, sketch_factors, SKETCH_PRIME, topk_exact, topk_mergeable, topk_sequential
 from phrasemill.plans.byte_queries import documents, short_texts
 from phrasemill.session import ship, table
 
 
+CELLS = 256  # of a row of the sketches
+SLICE = 4096  # events that a sequential summary reads; a table has as many as it takes
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events, in streams of SLICE successive ones."""
     ship(spark)
-    return table(spark, folder, "events").select("event_id", "event_type", "user_id", F.lit(0).alias("stream"))
+    return table(spark, folder, "events").select("event_id", "event_type", "user_id", F.floor(F.col("event_id") / SLICE).alias("stream"))
 
 
 def mg_events(spark: SparkSession, folder: str) -> DataFrame:
-    """With as many counters as distinct items the sequential summary is exact."""
-    return topk_sequential(events(spark, folder), "stream", "event_type", "event_id", 64).select("event_type", "n")
+    """With as many counters as distinct items the sequential summaries are exact, and so is their sum."""
+    return topk_sequential(events(spark, folder), "stream", "event_type", "event_id", 64).groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 def mg_users(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact counts of each event type's users, one ordered stream for each event type."""
-    return topk_sequential(events(spark, folder), "event_type", "user_id", "event_id", 1 << 20).select("event_type", "user_id", "n")
+    """Exact counts of each event type's users, from summaries with room for all of a stream's."""
+    rows = events(spark, folder).withColumn("pair", F.concat_ws("|", "user_id", "event_type"))
+    found = topk_sequential(rows, "stream", "pair", "event_id", SLICE).groupBy("pair").agg(F.sum("n").alias("n"))
+    return found.select(F.substring_index("pair", "|", 1).cast("long").alias("user_id"), F.expr("substr(pair, instr(pair, '|') + 1)").alias("event_type"), "n")
 
 
 def mg_bound(spark: SparkSession, folder: str) -> DataFrame:
-    """Few counters, one stream: every count is within N / (k + 1) below the truth."""
+    """Few counters: every count is within N / (k + 1) below the truth, over all streams."""
     rows = events(spark, folder)
     true = rows.groupBy("user_id").agg(F.count("*").alias("t"))
     total = rows.agg(F.count("*").alias("total"))
-    found = topk_sequential(rows, "stream", "user_id", "event_id", 32).select("user_id", "n")
+    found = topk_sequential(rows, "stream", "user_id", "event_id", 32).groupBy("user_id").agg(F.sum("n").alias("n"))
     joined = true.join(found, "user_id", "left").join(F.broadcast(total), F.lit(True))
     n = F.coalesce("n", F.lit(0))
     return joined.select("user_id", ((n <= F.col("t")) & (F.col("t") <= n + F.col("total") / 33)).alias("within"))
 
 
+def mg_one_counter(spark: SparkSession, folder: str) -> DataFrame:
+    """One counter for each user's event types: items are evicted all the time."""
+    return topk_sequential(events(spark, folder), "user_id", "event_type", "event_id", 1).select("user_id", "event_type", "n")
+
+
+def mg_aged(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a cap of four: counts saturate, and are halved when the threshold reaches half the cap."""
+    return topk_sequential(events(spark, folder), "user_id", "event_type", "event_id", 1, max_freq=5).select("user_id", "event_type", "n")
+
+
 def mg_merged_bound(spark: SparkSession, folder: str) -> DataFrame:
     """The mergeable form keeps its stated error."""
     rows = events(spark, folder)
@@ -61,18 +78,19 @@ def topk_users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cm_upper(spark: SparkSession, folder: str) -> DataFrame:
-    """Sketch estimates are never below the truth."""
+    """Sketch estimates, and how far above the truth they are (never below)."""
     rows = events(spark, folder)
     item = F.col("user_id")
     true = rows.groupBy("user_id").agg(F.count("*").alias("t"))
-    found = sketch_estimates(true, item, sketch_cells(rows, item))
-    return found.select("user_id", (F.col("estimate") >= F.col("t")).alias("upper"))
+    found = sketch_estimates(true, item, sketch_cells(rows, item, width=CELLS), width=CELLS)
+    return found.select("user_id", "estimate", (F.col("estimate") - F.col("t")).alias("above"))
 
 
 def cm_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Statistics of the sketch: each row's cells hold the whole stream."""
-    cells = sketch_cells(events(spark, folder), F.col("user_id"))
-    return cells.groupBy("row").agg(F.sum("n").alias("total"), (F.min("n") > 0).alias("no_empty_rows"))
+    """Statistics of the sketch: each row's sum, largest cell, sum of squares and empty cells."""
+    cells = sketch_cells(events(spark, folder), F.col("user_id"), width=CELLS)
+    n = F.col("n")
+    return cells.groupBy("row").agg(F.sum(n).alias("total"), F.max(n).alias("largest"), F.sum(n * n).alias("squares"), (CELLS - F.count("*")).alias("zeros"))
 
 
 def population(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,14 +104,13 @@ def extract_min(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    """The 200 most frequent strings of each length 1..4 in the documents: bounded by 800 rows."""
-    docs = documents(spark, folder)
-    out = None
-    for size in (1, 2, 3, 4):
-        grams = docs.select(F.explode(slices(F.col("b"), size)).alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").limit(200)
-        part = grams.select(F.hex("s").alias("s"), F.lit(size).alias("depth"), F.col("count").alias("freq"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The 200 most frequent strings of each length 1..4 in the documents: bounded by 800 rows. One scan, one
+    aggregation of partial counts."""
+    ship(spark)
+    counts = gram_counts(documents(spark, folder), "b", (1, 2, 3, 4))
+    best = F.row_number().over(Window.partitionBy("size").orderBy(F.desc("n"), "code"))
+    kept = counts.withColumn("place", best).filter("place <= 200")
+    return kept.select(gram_hex(F.col("size"), F.col("code")).alias("s"), F.col("size").alias("depth"), F.col("n").alias("freq"))
 
 
 def dictionary_probe(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,13 +122,10 @@ def dictionary_probe(spark: SparkSession, folder: str) -> DataFrame:
 
 def longest_match(spark: SparkSession, folder: str) -> DataFrame:
     """The dictionary's longest match at every place: one equi-join over all depths, not a prefix join."""
-    texts = short_texts(spark, folder)
-    out = None
-    for size in (1, 2, 3, 4):
-        part = texts.select("item_id", F.posexplode(slices(F.col("b"), size)).alias("pos", "g")).select("item_id", F.col("pos").cast("long").alias("pos"), F.hex("g").alias("s"))
-        out = part if out is None else out.unionByName(part)
-    hits = out.join(F.broadcast(_dictionary(spark, folder)), "s")
-    return hits.groupBy("item_id", "pos").agg(F.max("depth").alias("depth"))
+    grams = F.array(*(F.transform(slices(F.col("b"), size), lambda g: F.hex(g)) for size in (1, 2, 3, 4)))
+    hits = short_texts(spark, folder).select("item_id", F.explode(grams).alias("gs")).select("item_id", F.posexplode("gs").alias("pos", "s"))
+    found = hits.join(F.broadcast(_dictionary(spark, folder)), "s")
+    return found.groupBy("item_id", F.col("pos").cast("long").alias("pos")).agg(F.max("depth").alias("depth"))
 
 
 def suffix_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,10 +136,10 @@ def suffix_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _trie(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes of the trie of all first three bytes of the documents: s (hex), parent, depth, freq."""
-    docs = documents(spark, folder).filter(F.octet_length("b") >= 3)
-    heads = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda d: F.struct(F.hex(F.substr(F.col("b"), F.lit(1), d)).alias("s"), d.alias("depth")))
-    return docs.select(F.explode(heads).alias("h")).groupBy("h.s", "h.depth").agg(F.count("*").alias("freq"))
+    """Nodes of the trie of all items, whole: s (hex), depth, freq (items below it)."""
+    items = short_texts(spark, folder).filter(F.octet_length("b") > 0)
+    heads = F.transform(F.sequence(F.lit(1), F.octet_length("b")), lambda d: F.struct(F.hex(F.substr(F.col("b"), F.lit(1), d)).alias("s"), d.alias("depth")))
+    return items.select(F.explode(heads).alias("h")).groupBy("h.s", "h.depth").agg(F.count("*").alias("freq"))
 
 
 def trie_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,12 +161,13 @@ def trie_analysis(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def child_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """For every benchmark item: is there a child of the root by its first byte, and of that by its second?"""
-    edges = trie_edges(spark, folder).select("s").filter("length(s) <= 4")
-    head = table(spark, folder, "benchmark").select("item_id", F.hex(F.substr(as_bytes("text"), F.lit(1), F.lit(2))).alias("h"))
-    asked = head.select("item_id", F.explode(F.array(F.substring("h", 1, 2), F.col("h"))).alias("s"))
-    hits = asked.join(F.broadcast(edges), "s").groupBy("item_id").agg(F.count("*").alias("depth"))
-    return head.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("depth", F.lit(0)).alias("depth"))
+    """For every node on an item's path, the root included: is there a child by 'e'? How many nodes have one,
+    the deepest of those children, and how many items are below them all together."""
+    items = short_texts(spark, folder)
+    asked = F.transform(F.sequence(F.lit(0), F.octet_length("b")), lambda d: F.concat(F.hex(F.substr(F.col("b"), F.lit(1), d)), F.lit("65")))
+    hits = items.filter("b IS NOT NULL").select("item_id", F.explode(asked).alias("s")).join(_trie(spark, folder), "s")
+    found = hits.groupBy("item_id").agg(F.count("*").alias("children"), F.max("depth").alias("deepest"), F.sum("freq").alias("below"))
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("children", "deepest", "below")))
 
 
 _GRAMS = """y AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) h, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) AS pos FROM documents),
@@ -160,20 +175,37 @@ g AS (SELECT h s1, h || lead(h, 1) OVER w s2, h || lead(h, 1) OVER w || lead(h,
 dict AS (""" + " UNION ALL ".join(f"(SELECT s{d} s, {d} depth, count(*) freq FROM g WHERE s{d} IS NOT NULL GROUP BY 1 ORDER BY freq DESC, s LIMIT 200)" for d in (1, 2, 3, 4)) + ")"
 _SHORT = """b AS (SELECT item_id, hex(encode(text)) h FROM benchmark),
 p AS (SELECT item_id, h, unnest(range(0, length(h) // 2)) AS pos FROM b)"""
-_TRIE = """t AS (SELECT substr(hex(encode(text)), 1, 6) h FROM documents WHERE octet_length(encode(text)) >= 3),
-n AS (SELECT substr(h, 1, 2 * d)  s, d depth, count(*) freq FROM t, range(1, 4) r(d) GROUP BY 1, 2),
+_TRIE = """t AS (SELECT hex(encode(text)) h, unnest(range(1, octet_length(encode(text)) + 1)) d FROM benchmark),
+n AS (SELECT substr(h, 1, 2 * d) s, d depth, count(*) freq FROM t GROUP BY 1, 2),
 e AS (SELECT s, substr(s, 1, length(s) - 2) parent, ('0x' || substr(s, -2))::INTEGER AS label, depth::INTEGER AS depth, freq FROM n)"""
+_PLACES = " UNION ALL ".join(f"SELECT user_id, {r} AS row, ((user_id % {SKETCH_PRIME}) * {sketch_factors(r)[0]} + {sketch_factors(r)[1]}) % {SKETCH_PRIME} % {CELLS} AS cell FROM events" for r in (0, 1))
+_SKETCH = f"p AS ({_PLACES}), c AS (SELECT row, cell, count(*) n FROM p GROUP BY 1, 2)"
+
+
+def _one_counter(cap: int) -> str:
+    """One counter, read event by event: item, count and threshold as the summary keeps them."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_type x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) r FROM events),
+s(user_id, r, item, f, t) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT FROM events UNION ALL
+  SELECT user_id, r, CASE WHEN same OR NOT free THEN item ELSE x END,
+    CASE WHEN same THEN CASE WHEN m < {cap} THEN m + 1 ELSE f END WHEN free THEN t + 1 WHEN 2 * (t + 1) >= {cap} THEN (m - t - 1) // 2 ELSE f END,
+    CASE WHEN same OR free THEN t WHEN 2 * (t + 1) >= {cap} THEN 0 ELSE t + 1 END
+  FROM (SELECT s.user_id, e.r, s.item, s.f, s.t, e.x, greatest(s.f, s.t) m, coalesce(s.item = e.x, false) same, s.item IS NULL OR greatest(s.f, s.t) = s.t free FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1))
+SELECT user_id, max_by(item, r) AS event_type, max_by(greatest(f, t) - t, r) AS n FROM s GROUP BY 1"""
+
 
 ORACLE_SQL = {
     "mg_events": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "mg_users": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2",
     "mg_bound": "SELECT DISTINCT user_id, true AS within FROM events",
+    "mg_one_counter": _one_counter(1 << 30),
+    "mg_aged": _one_counter(4),
     "mg_merged_bound": "SELECT true AS within",
     "mg_merged_exact": "SELECT event_type, count(*) AS n, 0::BIGINT AS error FROM events GROUP BY 1",
     "builtin_topk": "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC LIMIT 3",
     "topk_users": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
-    "cm_upper": "SELECT DISTINCT user_id, true AS upper FROM events",
-    "cm_cells": "SELECT r::INTEGER AS row, (SELECT count(*) FROM events) AS total, true AS no_empty_rows FROM range(0, 2) t(r)",
+    "cm_upper": f"""WITH {_SKETCH}, t AS (SELECT user_id, count(*) t FROM events GROUP BY 1), q AS (SELECT DISTINCT * FROM p)
+SELECT user_id, min(n) AS estimate, min(n) - any_value(t.t) AS above FROM q JOIN c USING (row, cell) JOIN t USING (user_id) GROUP BY 1""",
+    "cm_cells": f"WITH {_SKETCH} SELECT row::INTEGER AS row, sum(n)::BIGINT AS total, max(n) AS largest, sum(n * n)::BIGINT AS squares, {CELLS} - count(*) AS zeros FROM c GROUP BY 1",
     "population": "SELECT freq, count(*) AS items FROM (SELECT count(*) freq FROM events GROUP BY user_id) GROUP BY 1",
     "extract_min": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n, user_id LIMIT 1",
     "dictionary_probe": f"WITH {_GRAMS}, {_SHORT} SELECT item_id, pos, dict.s AS s, freq FROM p JOIN dict ON depth = 4 AND dict.s = substr(h, 2 * pos + 1, 8)",
@@ -183,7 +215,8 @@ ORACLE_SQL = {
     "trie_analysis": f"""WITH {_TRIE}, d AS (SELECT parent, count(*) degree FROM e GROUP BY 1)
 SELECT count(*) AS nodes, count(*) FILTER (k.degree IS NULL) AS leaves, max(k.degree) AS max_degree, sum(coalesce(k.degree, 0))::BIGINT AS inner_degree, count(*) FILTER (k.degree IS NULL AND q.degree = 1) AS arms
 FROM e LEFT JOIN d k ON k.parent = e.s JOIN d q ON q.parent = e.parent""",
-    "child_probe": f"""WITH {_TRIE}, h AS (SELECT item_id, substr(hex(encode(text)), 1, 4) h FROM benchmark)
-SELECT item_id, (CASE WHEN substr(h, 1, 2) IN (SELECT s FROM e) THEN 1 ELSE 0 END + CASE WHEN h IN (SELECT s FROM e) THEN 1 ELSE 0 END)::BIGINT AS depth FROM h""",
+    "child_probe": f"""WITH {_TRIE}, a AS (SELECT item_id, substr(hex(encode(text)), 1, 2 * unnest(range(0, octet_length(encode(text)) + 1))) || '65' s FROM benchmark),
+k AS (SELECT item_id, count(*) children, max(depth) deepest, sum(freq)::BIGINT below FROM a JOIN n USING (s) GROUP BY 1)
+SELECT item_id, coalesce(children, 0) AS children, coalesce(deepest, 0)::INTEGER AS deepest, coalesce(below, 0) AS below FROM benchmark LEFT JOIN k USING (item_id)""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
