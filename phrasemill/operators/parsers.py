@@ -277,11 +277,13 @@ def decode_twopass(phrases: list[Phrase], k: int = 1024, max_freq: int = 1024) -
 
 def encode_psample(data: bytes, exp_min: int = 2, exp_max: int = 6, k: int = 1024, sample_rsh: int = 1, min_dist: int = 0, summary: str = "mg") -> list[Phrase]:
     """For each length class, strings sampled by fingerprint enter a bounded summary; where a string in it
-    was sampled before, the place may refer there. Longer classes first; a reference never overlaps
-    the next. Every reference is verified by its bytes, so a fingerprint collision cannot spoil the text."""
+    was sampled before, the place may refer there. Longer classes choose first; of a class the reference that
+    ends first is taken, and one of a shorter class only where it overlaps none of a longer. Every reference is
+    verified by its bytes, so a fingerprint collision cannot spoil the text."""
     n = len(data)
     prints = PrefixPrints(data, 65497)
     chosen: dict[int, tuple[int, int]] = {}
+    taken = bytearray(n)
     for e in range(exp_max, exp_min - 1, -1):
         size = 1 << e
         mask = (size >> sample_rsh) - 1
@@ -292,9 +294,12 @@ def encode_psample(data: bytes, exp_min: int = 2, exp_max: int = 6, k: int = 102
             fp = prints.of(at, at + size)
             src = last.get(fp)
             if at >= free and src is not None and top.find(fp) not in (None, False) and at - src >= max(1, min_dist) and data[src : src + size] == data[at : at + size]:
-                if at not in chosen:
+                clash = taken.rfind(1, at, at + size)
+                if clash < 0:
                     chosen[at] = (at - src, size)
-                free = at + size
+                free = at + size if clash < 0 else clash + 1
+                if clash < 0:
+                    taken[at:free] = b"\1" * size
             if fp & mask == 0 and top.insert(fp) not in (None, False):
                 last[fp] = at
     out, at = [], 0
@@ -305,6 +310,39 @@ def encode_psample(data: bytes, exp_min: int = 2, exp_max: int = 6, k: int = 102
     return out
 
 
+ESCAPE = ord("$")  # fixed value of the byte format
+
+
+def write_escaped(phrases: list[Phrase]) -> bytes:
+    """Literals and copies as bytes: a literal is itself, but the escape byte is followed by a zero distance; a
+    copy is the escape byte, its distance and its length, four bytes each."""
+    out = bytearray()
+    for kind, _, src, length, lit in phrases:
+        if kind == "lz":
+            out += bytes([ESCAPE]) + src.to_bytes(4, "little") + length.to_bytes(4, "little")
+        else:
+            out += bytes([ESCAPE, 0, 0, 0, 0]) if lit == ESCAPE else bytes([lit])
+    return bytes(out)
+
+
+def read_escaped(data: bytes) -> list[Phrase]:
+    out, at = [], 0
+    while at < len(data):
+        if data[at] != ESCAPE:
+            out.append(literal(data[at]))
+            at += 1
+            continue
+        src = int.from_bytes(data[at + 1 : at + 5], "little")
+        out.append(copy(src, int.from_bytes(data[at + 5 : at + 9], "little")) if src else literal(ESCAPE))
+        at += 9 if src else 5
+    return out
+
+
+def encode_windowed_psample(data: bytes, window: int = 1 << 20, **options: int) -> list[Phrase]:
+    """psample in windows: references stay inside a window, so a window is all that is held."""
+    return [p for block in windows(data, window) for p in encode_psample(block, **options)]
+
+
 def encode_sample(data: bytes, exp_min: int = 2, exp_max: int = 6, k: int = 1024, sample_exp: int = 3, min_dist: int = 0, minimizers: bool = False, summary: str = "mg") -> list[Phrase]:
     """The sequential sampler: at each place the longest class whose string is in the summary; sampling by
     the fingerprint's low bits or, with minimizers, by the least of the last 2**sample_exp fingerprints.
@@ -406,32 +444,113 @@ def encode_lzend_blockwise(data: bytes, window: int = 1 << 16) -> list[Phrase]:
     return out
 
 
+def encode_lzend_kk(data: bytes, window: int = 1 << 16, prefer_local: bool = False) -> list[Phrase]:
+    """LZ-End online, by Kempa and Kosolobov's rule: with every byte the last two phrases are merged if an
+    earlier phrase ends with their text, else the last one is extended if one ends with its, else the byte begins a
+    phrase. Phrases are at most ``window`` bytes long. Sources are looked for among the phrases of the last
+    blocks (local) and among the older ones, which of them first is told by prefer_local: the phrases are the same,
+    their links differ."""
+    n = len(data)
+    back = data[::-1]
+    rank = inverse(suffix_array(back)).tolist()
+    local: list[tuple[int, int]] = []  # (rank of the reversed prefix, number) of the phrases but the last two
+    old: list[tuple[int, int]] = []
+    ends: list[int] = []
+    lens: list[int] = []
+    links: list[int] = []
+    first = 0  # of the local phrases
+
+    def mark(i: int) -> tuple[int, int]:
+        return rank[n - ends[i]], i
+
+    def source(marks: list[tuple[int, int]], at: int, size: int) -> int:
+        place = n - at
+        i = bisect_left(marks, (rank[place], -1)) if place < n else 0
+        for _, phrase in marks[max(0, i - 1) : i + 1]:
+            if extension(back, place, n - ends[phrase], size) >= size:
+                return phrase
+        return -1
+
+    def find(at: int, size: int) -> int:
+        for marks in (local, old) if prefer_local else (old, local):
+            found = source(marks, at, size)
+            if found >= 0:
+                return found
+        return -1
+
+    for m in range(n):
+        if m % window == 0 and m >= 2 * window:  # the window slides by a block
+            begin = m - 2 * window
+            while first < len(ends) - 2 and ends[first] <= begin:
+                local.remove(mark(first))
+                insort(old, mark(first))
+                first += 1
+        z = len(ends)
+        link = -1
+        if z > 1 and lens[-1] + lens[-2] < window:
+            link = find(m, lens[-1] + lens[-2])
+        if link >= 0:
+            size = lens.pop() + lens.pop() + 1
+            del ends[-2:], links[-2:]
+            if z > 2:
+                if z - 3 < first:
+                    first -= 1
+                    old.remove(mark(z - 3))
+                else:
+                    local.remove(mark(z - 3))
+        elif z and lens[-1] < window:
+            size = lens[-1]
+            before = z > 1 and extension(back, n - m, n - ends[-2], size) >= size
+            link = z - 2 if before and prefer_local else find(m, size)
+            link = z - 2 if link < 0 and before else link
+            if link >= 0:
+                size = lens.pop() + 1
+                del ends[-1], links[-1]
+        if link < 0:
+            size = 1
+            if z > 1:
+                insort(local, mark(z - 2))
+        ends.append(m + 1)
+        lens.append(size)
+        links.append(link)
+    return [("end", link, -1, size, data[end - 1]) for link, size, end in zip(links, lens, ends, strict=True)]
+
+
 def encode_topk_lzend(data: bytes, k: int = 1024, window: int = 1 << 14, max_freq: int = 1024) -> list[Phrase]:
-    """Windowed LZ-End phrases compete with a bounded dictionary of frequent prefixes: a longer match there
-    gives a dictionary phrase, whose end is a phrase end too."""
+    """Windowed LZ-End phrases compete with a bounded dictionary of frequent prefixes: a match there that is as
+    long gives a dictionary phrase, whose end is a phrase end too. Sources are the phrase ends of the last two
+    windows, found as nearest marked neighbours in the reversed text's suffix order, at any length."""
+    n = len(data)
+    back = data[::-1]
+    rank = inverse(suffix_array(back)).tolist()
+    before, after = smaller_neighbours(suffix_array(data))
     top, out, at = PrefixSummary(k, max_freq), [], 0
-    ends: dict[bytes, int] = {}
-    done = 0
-    while at < len(data):
-        node, depth = top.longest(data, at, len(data) - 1)
+    marked: list[tuple[int, int]] = []
+    ends: list[int] = []
+    first = 0
+    while at < n:
+        node, depth = top.longest(data, at, n - 1)
+        reach = max(extension(data, at, p) if p >= 0 else 0 for p in (before[at], after[at]))
         best, ref = 0, -1
-        for length in range(min(64, len(data) - at - 1), depth, -1):
-            found = ends.get(data[at : at + length])
-            if found is not None:
-                best, ref = length, found
+        for length in range(min(reach, n - at - 1), depth, -1):
+            place = n - (at + length)
+            i = bisect_left(marked, (rank[place], -1))
+            for _, phrase in marked[max(0, i - 1) : i + 1]:
+                if extension(back, place, n - ends[phrase], length) >= length:
+                    best, ref = length, phrase
+                    break
+            if best:
                 break
-        if best:
-            phrase, size = ("end", ref, -1, best + 1, data[at + best]), best + 1
-        else:
-            phrase, size = ("pair", node, -1, depth + 1, data[at + depth]), depth + 1
-        out.append(phrase)
+        size = (best or depth) + 1
+        out.append(("end", ref, -1, size, data[at + size - 1]) if best else ("pair", node, -1, size, data[at + size - 1]))
         _feed(top, data[at : at + size])
         at += size
-        done += 1
-        for length in range(1, min(64, at) + 1):
-            ends[data[at - length : at]] = done - 1
-        if len(ends) > window * 8:
-            ends.clear()
+        ends.append(at)
+        if at < n:
+            insort(marked, (rank[n - at], len(ends) - 1))
+        while ends[first] < at - 2 * window:
+            marked.remove((rank[n - ends[first]], first))
+            first += 1
     return out
 
 
@@ -528,11 +647,12 @@ PARSERS: dict[str, Parser] = {
     "topk_lz77": Parser(encode_topk_lz77, decode_topk_lz77),
     "twopass": Parser(encode_twopass, decode_twopass),
     "psample": Parser(encode_psample, _plain(decode_copies)),
+    "windowed_psample": Parser(encode_windowed_psample, _plain(decode_copies)),
     "sample": Parser(encode_sample, _plain(decode_copies)),
     "attract": Parser(encode_attract, None),
     "lzend": Parser(encode_lzend, _plain(decode_lzend)),
-    "lzend_kk": Parser(lambda data, window=1 << 16: encode_lzend(data, window), _plain(decode_lzend)),
-    "lzend_kkl": Parser(lambda data, window=1 << 16: encode_lzend(data, window), _plain(decode_lzend)),
+    "lzend_kk": Parser(encode_lzend_kk, _plain(decode_lzend)),
+    "lzend_kkl": Parser(lambda data, window=1 << 16: encode_lzend_kk(data, window, prefer_local=True), _plain(decode_lzend)),
     "lzend_blockwise": Parser(encode_lzend_blockwise, _plain(decode_lzend)),
     "topk_lzend": Parser(encode_topk_lzend, decode_topk_lzend),
     "topk_sel": Parser(encode_selective, decode_selective),

@@ -13,11 +13,14 @@ from phrasemill.functions.bytes import bit_width, blocks
 from phrasemill.functions.sql import register
 from phrasemill.operators import codec
 from phrasemill.operators.container import compress, decompress
+from phrasemill.operators.parsers import PARSERS, read_escaped, write_escaped
 from phrasemill.operators.phrases import decode, decode_with, join_blocks, map_column, parse, parse_with, phrase_rows, statistics
 from phrasemill.operators.suffix_index import count_occurrences, runs, smaller_neighbours, suffix_array
+from phrasemill.operators.summaries import PrefixSummary
 from phrasemill.operators.topk import frequent_prefixes
-from phrasemill.plans.byte_queries import _BYTES, documents, short_texts
-from phrasemill.session import ship
+from phrasemill.plans.byte_queries import _BYTES, documents, short_texts, suffix_ranks
+from phrasemill.plans.byte_queries import ORACLE_SQL as ORACLE_SUFFIXES
+from phrasemill.session import ship, stored
 
 WINDOW = 4096
 #: name of the query -> (parser, options)
@@ -273,6 +276,53 @@ def container_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("algo").agg(F.sum("n").alias("n"), F.sum("nout").alias("nout"), F.round(F.sum("nout") / F.sum("n"), 4).alias("ratio"))
 
 
+def escaped_bytes_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as sampled phrases in the byte format with its escape byte, in windows, and back."""
+    docs = _docs(spark, folder)
+    pack = lambda x: write_escaped(PARSERS["windowed_psample"].encode(x, window=WINDOW))
+    made = map_column(docs, "b", "out", "binary", lambda c: pa.array([pack(x or b"") for x in c.to_pylist()], pa.binary()))
+    return _texts(map_column(made, "out", "b", "binary", lambda c: pa.array([PARSERS["psample"].decode(read_escaped(x)) for x in c.to_pylist()], pa.binary())))
+
+
+def escaped_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the items in the byte format if nothing is copied: five bytes for an escape byte, one for others."""
+    ship(spark)
+    items = short_texts(spark, folder).select("item_id", F.regexp_replace("s", "[aeiou]", r"\$").alias("s")).select("item_id", F.encode("s", "UTF-8").alias("b"))
+    return map_column(items, "b", "size", "bigint", lambda c: pa.array([len(write_escaped([("lit", -1, -1, 1, v) for v in x or b""])) for x in c.to_pylist()], pa.int64()))
+
+
+def item_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of the prefix summary of every item, with room for all: its strings and their counts."""
+    ship(spark)
+
+    def report(data: bytes) -> list[dict]:
+        top = PrefixSummary(1 << 14, 1 << 20)
+        state = top.EMPTY
+        for c in data:
+            state = top.extend(state, c)
+            if not state[2]:
+                state = top.EMPTY
+        return [{"s": s.hex().upper(), "freq": n} for s, n in top.strings()]
+
+    arrow = pa.list_(pa.struct([("s", pa.string()), ("freq", pa.int64())]))
+    found = map_column(short_texts(spark, folder).select("item_id", "b"), "b", "strings", "array<struct<s:string,freq:bigint>>", lambda c: pa.array([report(x or b"") for x in c.to_pylist()], arrow))
+    return found.select("item_id", F.explode("strings").alias("x")).select("item_id", "x.*")
+
+
+def access_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bits of the parts of an item's random-access form: each phrase's reference, literal and start, at fixed widths."""
+    ship(spark)
+    items = short_texts(spark, folder).filter(F.octet_length("b") > 0).select("item_id", F.octet_length("b").cast("long").alias("n"), "b")
+    parsed = parse(items, "lz78").select("item_id", "n", F.size("phrases").cast("long").alias("z"))
+    z = F.col("z")
+    return parsed.select("item_id", z, (z * bit_width(z)).alias("parent_bits"), (z * 8).alias("literal_bits"), (z * bit_width(F.col("n"))).alias("start_bits"))
+
+
+def stored_suffix_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The items' suffix ranks written to the shared folder, read again, and put in order of rank: the suffix array."""
+    return stored(suffix_ranks(spark, folder)).select("item_id", "rank", "pos")
+
+
 _DOC_TEXT = "SELECT doc_id, text FROM documents"
 _HEX = "h AS (SELECT item_id, hex(encode(text)) h FROM benchmark)"
 #: items with a character for each byte, so that strings are compared byte by byte
@@ -306,17 +356,26 @@ SELECT DISTINCT item_id, start + shift AS start, period, length FROM u"""
 QUERIES = {name: _round_trip(*spec) for name, spec in ROUND_TRIPS.items()}
 QUERIES |= {name: _cover(*spec) for name, spec in COVERS.items()}
 QUERIES |= {f"{c}_roundtrip": _coded(c) for c in ("huffman", "binary", "rans", "vitter")}
-QUERIES |= {"lz77_counts": _counts("lz77", threshold=2), "lz78_counts": _counts("lz78"), "topk_lz78_counts": _counts("topk_lz78", k=1 << 14, max_freq=1 << 20), "lzend_counts": _counts("lzend")}
+QUERIES |= {"lz77_counts": _counts("lz77", threshold=2), "lz78_counts": _counts("lz78"), "topk_lz78_counts": _counts("topk_lz78", k=1 << 14, max_freq=1 << 20), "lzend_counts": _counts("lzend"), "lzend_kk_counts": _counts("lzend_kk"), "lzend_kkl_counts": _counts("lzend_kkl")}
 QUERIES |= {
     f.__name__: f
     for f in (
-        blockwise_roundtrip, shared_dictionary_roundtrip, phrase_statistics, phrase_at_position, phrase_of_position, token_bits, item_token_bits, item_token_histogram, huffman_totals, maximal_runs, run_union, sql_phrases, nearest_smaller, pattern_counts, encoded_payload, container_ratios,
+        blockwise_roundtrip, shared_dictionary_roundtrip, phrase_statistics, phrase_at_position, phrase_of_position, token_bits, item_token_bits, item_token_histogram, huffman_totals, maximal_runs, run_union, sql_phrases, nearest_smaller, pattern_counts, encoded_payload, container_ratios, escaped_bytes_roundtrip, escaped_literals, item_prefixes, access_sizes, stored_suffix_index,
     )
 }
 
 ORACLE_SQL = {name: _DOC_TEXT for name in QUERIES if name.endswith("_roundtrip")}
 ORACLE_SQL |= {name: "SELECT doc_id, octet_length(encode(text))::BIGINT AS covered FROM documents" for name in COVERS}
 ORACLE_SQL |= {
+    "lzend_kk_counts": f"{_LZEND} SELECT id AS item_id, count(*) AS z, sum(len)::BIGINT AS n FROM f WHERE len > 0 GROUP BY id",
+    "lzend_kkl_counts": f"{_LZEND} SELECT id AS item_id, count(*) AS z, sum(len)::BIGINT AS n FROM f WHERE len > 0 GROUP BY id",
+    "escaped_literals": """SELECT item_id, (octet_length(encode(text)) + 4 * (octet_length(encode(regexp_replace(text, '[aeiou]', '$', 'g'))) - octet_length(encode(regexp_replace(text, '[aeiou$]', '', 'g')))))::BIGINT AS size FROM benchmark""",
+    "item_prefixes": f"""{_LZ78}, p AS (SELECT g.item_id, substr(s, pos + 1, len) w FROM g JOIN t ON t.id = g.item_id), d AS (SELECT DISTINCT * FROM p),
+c AS (SELECT d.item_id, d.w, count(*) freq FROM d JOIN p ON p.item_id = d.item_id AND starts_with(p.w, d.w) GROUP BY 1, 2)
+SELECT item_id, list_reduce(list_transform(regexp_extract_all(w, '(?s).'), lambda x: printf('%02X', unicode(x) - 256)), lambda a, b: a || b) AS s, freq FROM c""",
+    "access_sizes": f"""{_LZ78}, a AS (SELECT item_id, count(*) AS z, sum(len)::BIGINT n FROM g GROUP BY 1)
+SELECT item_id, z, z * length(bin(z)) AS parent_bits, z * 8 AS literal_bits, z * length(bin(n)) AS start_bits FROM a""",
+    "stored_suffix_index": ORACLE_SUFFIXES["suffix_ranks"],
     "lz77_counts": f"{_LZ77} SELECT id AS item_id, count(*) AS z, sum(len)::BIGINT AS n FROM f WHERE len > 0 GROUP BY id",
     "lz78_counts": f"{_LZ78} SELECT item_id, count(*) AS z, sum(len)::BIGINT AS n FROM g GROUP BY 1",
     "topk_lz78_counts": f"{_LZ78} SELECT item_id, count(*) AS z, sum(len)::BIGINT AS n FROM g GROUP BY 1",

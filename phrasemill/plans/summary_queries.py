@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phrasemill.functions.bytes import as_bytes, slices
 from phrasemill.operators.topk import gram_counts, gram_hex, sketch_cells, sketch_estimates, sketch_factors, SKETCH_PRIME, topk_exact, topk_mergeable, topk_sequential
 from phrasemill.plans.byte_queries import documents, short_texts
-from phrasemill.session import ship, table
+from phrasemill.session import ship, stored, table
 
 
 CELLS = 256  # of a row of the sketches
@@ -160,6 +160,28 @@ def trie_analysis(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def trie_arms(spark: SparkSession, folder: str) -> DataFrame:
+    """Arms of the trie: tails that do not branch, from the last node with two children (or the root) to a
+    leaf. How many, their length together, and the longest."""
+    nodes = stored(_trie(spark, folder))
+    parent = F.expr("substring(s, 1, length(s) - 2)")
+    degree = nodes.groupBy(parent.alias("s")).agg(F.count("*").alias("degree"))
+    leaves = nodes.join(degree, "s", "left_anti").select(F.col("s").alias("leaf"), F.col("depth").alias("leaf_depth"))
+    above = leaves.select("leaf", "leaf_depth", F.explode(F.transform(F.sequence(F.lit(0), F.col("leaf_depth") - 1), lambda d: F.substring("leaf", F.lit(1), 2 * d))).alias("s"))
+    forks = above.join(degree.filter("degree > 1 OR s = ''"), "s").groupBy("leaf", "leaf_depth").agg(F.max(F.length("s") / 2).cast("int").alias("fork"))
+    arm = F.col("leaf_depth") - F.col("fork")
+    return forks.agg(F.count("*").alias("arms"), F.sum(arm).alias("total"), F.max(arm).alias("longest"))
+
+
+def common_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    """The depth of the nearest common ancestor, in the trie of all items, of each item and the next."""
+    items = short_texts(spark, folder).select("item_id", "b")
+    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("b").alias("c")), "item_id")
+    shorter = F.least(F.octet_length("b"), F.octet_length("c"))
+    differ = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda p: F.substr("b", p, F.lit(1)) != F.substr("c", p, F.lit(1))))
+    return pairs.select("item_id", F.when(shorter == 0, 0).otherwise(F.coalesce(differ - 1, shorter)).cast("long").alias("depth"))
+
+
 def child_probe(spark: SparkSession, folder: str) -> DataFrame:
     """For every node on an item's path, the root included: is there a child by 'e'? How many nodes have one,
     the deepest of those children, and how many items are below them all together."""
@@ -215,6 +237,11 @@ SELECT user_id, min(n) AS estimate, min(n) - any_value(t.t) AS above FROM q JOIN
     "trie_analysis": f"""WITH {_TRIE}, d AS (SELECT parent, count(*) degree FROM e GROUP BY 1)
 SELECT count(*) AS nodes, count(*) FILTER (k.degree IS NULL) AS leaves, max(k.degree) AS max_degree, sum(coalesce(k.degree, 0))::BIGINT AS inner_degree, count(*) FILTER (k.degree IS NULL AND q.degree = 1) AS arms
 FROM e LEFT JOIN d k ON k.parent = e.s JOIN d q ON q.parent = e.parent""",
+    "trie_arms": f"""WITH {_TRIE}, d AS (SELECT parent s, count(*) degree FROM e GROUP BY 1), l AS (SELECT s FROM e WHERE s NOT IN (SELECT s FROM d)),
+k AS (SELECT l.s, max(length(d.s)) // 2 fork FROM l JOIN d ON starts_with(l.s, d.s) AND length(d.s) % 2 = 0 WHERE degree > 1 OR d.s = '' GROUP BY 1)
+SELECT count(*) AS arms, sum(length(s) // 2 - fork)::BIGINT AS total, max(length(s) // 2 - fork)::INTEGER AS longest FROM k""",
+    "common_ancestors": """WITH h AS (SELECT item_id, hex(encode(text)) h FROM benchmark), p AS (SELECT a.item_id, a.h x, b.h y FROM h a JOIN h b ON b.item_id = a.item_id + 1)
+SELECT item_id, coalesce(list_max(list_filter(range(0, least(length(x), length(y)) // 2 + 1), lambda k: substr(x, 1, 2 * k) = substr(y, 1, 2 * k))), 0)::BIGINT AS depth FROM p""",
     "child_probe": f"""WITH {_TRIE}, a AS (SELECT item_id, substr(hex(encode(text)), 1, 2 * unnest(range(0, octet_length(encode(text)) + 1))) || '65' s FROM benchmark),
 k AS (SELECT item_id, count(*) children, max(depth) deepest, sum(freq)::BIGINT below FROM a JOIN n USING (s) GROUP BY 1)
 SELECT item_id, coalesce(children, 0) AS children, coalesce(deepest, 0)::INTEGER AS deepest, coalesce(below, 0) AS below FROM benchmark LEFT JOIN k USING (item_id)""",

@@ -4,11 +4,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from phrasemill.operators.phrases import decode, parse, phrase_rows, statistics
 from phrasemill.operators.topk import topk_mergeable, topk_sequential
 from phrasemill.sources.files import block_table, byte_files, measured, read_parsed, write_parsed
+from phrasemill.streaming import summaries
 from phrasemill.streaming.summaries import last_of, run_to_end, stream_table, streaming_prefixes, streaming_topk
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +75,9 @@ def test_the_library_stands_without_llm(tmp_path):
         "assert 'topk_grams_exact' in e.queries() and not any(n.startswith('op') for n in e.queries()); assert e.oracle_sql()"
     )
     subprocess.run([sys.executable, "-B", "-c", code], check=True, cwd=tmp_path)
+
+
+def test_falling_positions_are_refused(spark):
+    late = summaries.staged(spark.createDataFrame([(1, 5, b"abc", 0), (1, 9, b"abd", 1), (1, 7, b"x", 2)], "k long, p long, b binary, came int"), "came", 3)
+    with pytest.raises(Exception, match="came after"):
+        summaries.run_to_end(summaries.streaming_lz78(late, "k", "b", "p"), "late", "append")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from phrasemill.functions import numbers
-from phrasemill.operators import codec, succinct
+from phrasemill.operators import codec, parsers, succinct
 from phrasemill.operators.parsers import PARSERS, StaticTrie, decode_lzend
 from phrasemill.operators.suffix_index import RangeMin, RankIndex, count_occurrences, extension, lcp_array, runs, suffix_array
 from phrasemill.operators.summaries import Attractor, CountMin, Counters, MinBuckets, PrefixSummary, SketchStrings, StringSummary
@@ -204,3 +204,37 @@ def test_succinct(bits, data, values):
     packed = succinct.EliasFano(values)
     assert [packed.access(i) for i in range(len(values))] == values
     assert packed.predecessor(2500) == sum(v <= 2500 for v in values) - 1
+
+
+def test_online_lzend_is_the_greedy_one():
+    draw = random.Random(1)
+    texts = [b"", b"a", b"abababbababba" * 7, bytes(draw.choice(b"ab") for _ in range(700)), bytes(draw.choice(b"abcd ") for _ in range(1500))]
+    for data in texts:
+        wanted = [p[3] for p in parsers.encode_lzend(data)]
+        for local in (False, True):
+            assert [p[3] for p in parsers.encode_lzend_kk(data, prefer_local=local)] == wanted
+            for window in (5, 64, 300):
+                phrases = parsers.encode_lzend_kk(data, window, local)
+                assert parsers.decode_lzend(phrases) == data and all(p[3] <= window for p in phrases)
+    near, far = (parsers.encode_lzend_kk(texts[3], 64, local) for local in (True, False))
+    assert near != far and sum(p[1] for p in near) > sum(p[1] for p in far)
+
+
+def test_the_worked_example_of_lzend():
+    phrases = [(1, 0, 1, "a"), (2, 0, 1, "b"), (3, 1, 2, "b"), (4, 2, 3, "b"), (5, 2, 2, "a"), (6, 5, 7, "a")]
+    data = parsers.decode_lzend([("end", link - 1, -1, size, ord(last)) for _, link, size, last in phrases])
+    ends = [sum(p[2] for p in phrases[: i + 1]) for i in range(6)]
+    assert [data[:e][::-1].decode() for e in ends] == ["a", "ba", "baba", "bbababa", "abbbababa", "aabbbababbbababa"]
+
+
+def test_longer_references_win():
+    data = b"abcdefgh" * 12
+    found = parsers.encode_psample(data, 2, 4, 64, sample_rsh=4)
+    assert parsers.decode_copies(found) == data and max(p[3] for p in found) == 16
+    assert parsers.read_escaped(parsers.write_escaped(found)) == found
+    assert parsers.write_escaped([parsers.literal(ord("$"))]) == b"$\0\0\0\0"
+
+
+def test_topk_lzend_has_no_longest_match():
+    unit = bytes(random.Random(4).choice(b"abcdefgh") for _ in range(500))
+    assert max(p[3] for p in parsers.encode_topk_lzend(unit * 4)) > 400
