@@ -47,7 +47,7 @@ BUCKET_BYTES = 8 << 20  # text whose keys make a bucket, about
 TASK_BUCKETS = 2  # buckets of a task, about
 BATCH_BYTES = 8 << 20  # text that a task takes at a time
 ROWS = 1024  # documents in an Arrow batch
-HOT = 1000  # lines that share a key beyond which they are dealt out by the rest of the line
+HOT = 500  # lines that share a key beyond which they are dealt out by the rest of the line
 _MASK = (1 << 64) - 1
 
 

@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 Defined results: a null text counts as empty; a text without words has zero counts, fails the base
-test and is not kept; repeated rows are judged one by one; an empty table gives an empty result.
+test and is not kept; a very long text is counted whole; repeated rows are judged one by one; an empty table
+gives an empty result.
 Input columns named like a metric do not matter: the metrics are computed from the text column only.
 """
 
@@ -21,8 +22,9 @@ STOP_WORDS = (
     "der die das und den dem von zu mit ist ein eine einen nicht auf für im sich auch es an als aus bei nach wie "
     "el los las y en que del por con una para su al lo como más no se sus"
 ).split()
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+SYMBOL = f"[{SYMBOLS}]"
+MARKS = ".,;:!?\"'()"
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 5
 
@@ -70,38 +72,41 @@ def compile_rules(rules: tuple[Rule, ...]) -> str:
     return " AND ".join(terms) or "true"
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _is_stop(word: Column) -> Column:
+    """Whether a word without its marks is a stop word; most words have no mark to be taken off."""
+    bare = F.when(F.rlike(word, F.lit(f"[{MARKS}]")), F.translate(word, MARKS, "")).otherwise(word)
+    return F.lower(bare).isin(STOP_WORDS)
 
 
 def base_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_words and the base counts of every whole text.
 
-    A repeated window is looked for by its hash first; only texts with a repeated hash compare the
-    windows themselves, so the counts are exact.
+    Words are hashed once, and windows by their words' hashes. Only texts with a repeated window hash compare
+    the windows themselves, so the counts are exact.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).alias("key"), value.alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda line: F.length(_without(line, SPACES)) > 0)
     split = texts.select(
         "key",
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
-        F.length(_without(F.col("text"), SPACES)).alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).alias("n_symbols"),
-        lines.alias("lines"),
+        F.regexp_count("text", F.lit(SYMBOL)).alias("n_symbols"),
+        F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit(WORD))).alias("lines"),
     )
-    starts = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
-    hashed = split.select(
-        "key", "words", "word_chars", "n_symbols",
+    counted = split.select(
+        "key", "words", "n_symbols",
         F.size("words").alias("n_words"),
+        F.length(F.concat_ws("", "words")).alias("word_chars"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: F.lower(F.translate(w, ".,;:!?\"'()", "")).isin(STOP_WORDS))).alias("n_stop"),
-        F.when(F.size("words") > WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).alias("hashes"),
+        F.size(F.filter("words", _is_stop)).alias("n_stop"),
+        F.when(F.size("words") > WINDOW, F.transform("words", lambda w: F.xxhash64(w))).alias("hashed"),
     )
+    starts = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
+    counts = ("key", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop")
+    window = lambda i: F.xxhash64(*(F.get("hashed", i + (j - 1)) for j in range(WINDOW)))
+    hashed = counted.select(*counts, "words", F.when(F.col("hashed").isNotNull(), F.transform(starts, window)).alias("hashes"))
     repeats = F.size("hashes") > F.size(F.array_distinct("hashes"))
     windows = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice("words", i, WINDOW)).alias("w"), i.alias("p")))
-    counts = ("key", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop")
     sorted_windows = hashed.select(*counts, F.when(repeats, F.sort_array(windows)).alias("sorted"))
     twice = F.filter("sorted", lambda x, i: (F.get("sorted", i - 1)["w"] == x["w"]) | F.coalesce(F.get("sorted", i + 1)["w"] == x["w"], F.lit(False)))
     found = sorted_windows.select(*counts, F.sort_array(F.transform(twice, lambda x: x["p"])).alias("at"))
