@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 FAN = 512  # buckets that one level deals to
 AGAIN_BYTES = 8 << 20  # packed bytes of a group that the second level takes at a time
@@ -21,6 +22,26 @@ AGAIN_BYTES = 8 << 20  # packed bytes of a group that the second level takes at
 DEALT = "bucket int, kind int, blob binary"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows in an Arrow batch for what runs inside: bounds what a task holds of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores before it as long as there is such a column (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def press(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 

@@ -37,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm.blobs import DEALT, batch, dealt, multikey_order, open_text, pack, parts, squeeze, together, unpack_all
+from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, multikey_order, open_text, pack, parts, squeeze, together, unpack_all
 from phrasemill.llm.components import connected
 from phrasemill.llm.skew import hot_join
-from phrasemill.session import arrow_rows, stored, table
+from phrasemill.session import stored, table
 
 THRESHOLD, PER = 2, 5
 BUCKET_BYTES = 8 << 20  # text whose keys make a bucket, about
@@ -449,20 +449,21 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column says which lines go."""
     for batch in batches:
-        old = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        found = batch.column(batch.schema.get_field_index("__gone")).to_pylist()
+        at, last = batch.schema.get_field_index("text"), batch.num_columns - 1
+        old, found = batch.column(at).to_pylist(), batch.column(last).to_pylist()
         new = [_kept(t, g) if t else t for t, g in zip(old, found, strict=True)]
         stay = pa.array([not g or bool(n and n.strip()) for n, g in zip(new, found, strict=True)])
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(new, pa.string())).drop_columns(["__gone"]).filter(stay)
+        yield batch.set_column(at, "text", pa.array(new, pa.string())).select(range(last)).filter(stay)
 
 
 def drop_repeated_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs without the lines that go (n_chars, if there is one, set anew); a document of which no line with
     a word is left goes, one that had none stays."""
-    gone = _by_document(line_classes(docs, hot)).withColumnsRenamed({"doc_id": "__doc", "gone": "__gone"})
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__doc"], "left").drop("__doc")
+    doc, gone = free_name("__doc", docs.columns), free_name("__gone", docs.columns)
+    found = _by_document(line_classes(docs, hot)).withColumnsRenamed({"doc_id": doc, "gone": gone})
+    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found[doc], "left").drop(doc)
     cut = joined.mapInArrow(_clean, docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 

@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phrasemill.session import arrow_rows, stored, table
+from phrasemill.llm.blobs import arrow_rows
+from phrasemill.session import stored, table
 
 CAPACITY, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")

@@ -1,7 +1,8 @@
 """Sharding by a permutation-filled lookup table (prime-sized; shards take turns claiming slots).
 
 Defined results: a null key is placed like the empty string; repeated rows land on one shard; an
-empty table gives an empty result; only the key decides, so other columns do not matter.
+empty table gives an empty result; a very long key is hashed whole; only the key decides. The result is a column of
+its own, ``out``: a column of that name (but the key) gives way to it, so name another where one is to be kept.
 """
 
 from __future__ import annotations
@@ -50,14 +51,16 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("long")
 
 
-def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """rows with a struct column ``placement`` (slot, shard); the table travels as a constant array of
+def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, out: str = "placement") -> DataFrame:
+    """rows with a struct column ``out`` (slot, shard); the table travels as a constant array of
     ``slots`` small integers, so placement is one array access and no shuffle."""
+    if key.lower() == out.lower():
+        raise ValueError("the result may not take the key's name")
     lookup = F.lit([int(x) for x in lookup_table(shards, slots)])
     names = F.lit(list(shards))
-    kept = rows.drop("placement") if "placement" in rows.columns else rows
-    slotted = kept.withColumn("placement", slot_of(F.col(f"`{key}`"), slots))
-    return slotted.withColumn("placement", F.struct(F.col("placement").alias("slot"), F.get(names, F.get(lookup, F.col("placement").cast("int"))).alias("shard")))
+    kept = rows.drop(out) if out in rows.columns else rows
+    slotted = kept.withColumn(out, slot_of(F.col(f"`{key}`"), slots))
+    return slotted.withColumn(out, F.struct(F.col(f"`{out}`").alias("slot"), F.get(names, F.get(lookup, F.col(f"`{out}`").cast("int"))).alias("shard")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,14 @@ token; a bucket sorts by multikey quicksort (ties only go on to the next token).
 Every task first resolves what repeats within its own rows and sends only the smallest doc_id of each
 span, so a passage that a third of all documents hold costs its bucket one record per task.
 
-Defined results: a null text is empty; a text of fewer than L bytes loses nothing; a row without doc_id
-is neither searched nor cut; rows that repeat a doc_id are the same document (they are cut alike, and
-never by each other); an empty table gives an empty result. Other columns do not matter.
+Leading tokens are compared by 40-bit hashes, not by their text: their order is only for dealing them out, and a
+false tie costs time, never a wrong result, as what ties is compared further, in the end by all its bytes. So no
+run of equals reaches over a boundary, and nothing needs to be compared across one.
+
+Defined results: a null text is empty; a text of fewer than L bytes loses nothing; a very long text is searched
+whole, a piece at a time; a row without doc_id is neither searched nor cut; rows that repeat a doc_id are the same
+document (they are cut alike, and never by each other); an empty table gives an empty result. Other columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm.blobs import DEALT, batch, dealt, multikey_order, open_text, pack, parts, press, squeeze, together, unpack, unpack_all, unpress
-from phrasemill.session import arrow_rows, stored, table
+from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, multikey_order, open_text, pack, parts, press, squeeze, together, unpack, unpack_all, unpress
+from phrasemill.session import stored, table
 
 LENGTH, TOKEN = 50, 20
 BATCH_BYTES = 8 << 20  # text that a task takes into memory at a time
@@ -414,20 +419,22 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column says which spans go."""
     for batch in batches:
-        out = []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        at, last, out = batch.schema.get_field_index("text"), batch.num_columns - 1, []
+        for text, found in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
             if found:
-                text = kept_bytes(text.encode(), merge(found)).decode(errors="ignore")  # a character cut in half goes
+                text = kept_bytes(text.encode(), merge(found)).decode(errors="ignore")
             out.append(text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(out, pa.string())).drop_columns(["__spans"])
+        yield batch.set_column(at, "text", pa.array(out, pa.string())).select(range(last))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the removed bytes cut out of text (and n_chars, if there is one, set anew); all rows stay."""
-    spans_ = by_document(repeated_spans(docs)).withColumnsRenamed({"doc_id": "__doc", "spans": "__spans"})
-    joined = docs.join(spans_.hint("shuffle_hash"), docs["doc_id"] == spans_["__doc"], "left").drop("__doc")
+    """docs with the removed bytes cut out of text (and n_chars, if there is one, set anew); all rows stay. Where
+    a cut goes through a character, what is left of the character's bytes goes too."""
+    doc, gone = free_name("__doc", docs.columns), free_name("__spans", docs.columns)
+    found = by_document(repeated_spans(docs)).withColumnsRenamed({"doc_id": doc, "spans": gone})
+    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found[doc], "left").drop(doc)
     cut = joined.mapInArrow(_clean, docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 

@@ -2,6 +2,10 @@
 
 import hashlib
 
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
 from phrasemill.llm import chat, html, lines, packing, pieces, quality, sharding, simhash, suffixes, topk
 
 IDS = 10
@@ -115,3 +119,46 @@ def test_topk(spark):
     assert found[:5] == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536), (0, 4, 7, 32768), (0, 5, 8, 0)]
     assert [x[2] for x in found[5:]] == [8, 7, 0, 1, 2] and len(found) == 10
     assert topk.top_k(rows.filter("false"), rows.filter("false")).count() == 0
+
+
+def test_names_that_clash(awkward):
+    named = awkward.selectExpr("*", "'a' as __gone", "'b' as __doc", "'c' as __spans", "'d' as row", "'e' as body", "'f' as stays")
+    for stage in (quality.keep_good, lines.drop_repeated_lines, simhash.keep_one, suffixes.remove_repeats):
+        found = stage(named)
+        assert found.columns == named.columns and {tuple(r)[-6:] for r in found.collect()} == {tuple("abcdef")}
+
+
+def test_place_under_another_name(awkward):
+    rows = sharding.place(awkward.withColumn("placement", F.lit("mine")), "doc_id", out="spot").collect()
+    assert {r.placement for r in rows} == {"mine"} and all(r.spot.shard in sharding.SHARDS for r in rows)
+    with pytest.raises(ValueError):
+        sharding.place(awkward, "doc_id", out="doc_id")
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark, awkward, none):
+    for docs in (awkward.withColumn("n_chars", F.lit(0).cast("long")), none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, docs, "")
+            assert found.columns == docs.columns, name
+            found.collect()
+        assert "sequence_id" in corpus_pipeline.STAGES[-1][1](spark, docs, "").columns
+
+
+def test_pipeline_on_an_empty_table(spark, none, tmp_path):
+    none.select("doc_id", "text", "source").withColumn("n_chars", F.lit(0).cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_rows(spark):
+    page = "<article>" + "<p>some words of a long page</p>" * 20_000 + "</article>"
+    assert html.extract(page).count("\n") == 19_999
+    rows = spark.createDataFrame([(0, [1.0] * 5000), (1, [0.5] * 5000), (2, [0.25])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(rows, rows.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, 256 * 128 * 5000), (2, 256 * 64)]
+    text = "word " * 300_000 + "end"
+    docs = spark.createDataFrame([(1, text), (2, text + "\n" + "x" * 400_000)], "doc_id long, text string")
+    assert {r.doc_id: r.n_words for r in quality.quality_rules(docs).collect()} == {1: 300_001, 2: 300_002}
+    assert {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs)).collect()} == {1: text, 2: text + "\n" + "x" * 400_000}
+    assert sum(r.length for r in packing.pack(docs).collect() if r.doc_id == 1) == 300_002
+    assert {r.doc_id: r.n_removed for r in suffixes.digests(docs).collect()} == {1: 0, 2: len(text)}
+    assert {r.doc_id: r.n_removed for r in lines.digests(docs).collect()} == {1: 0, 2: 1}
+    assert {r.component_id for r in simhash.near_duplicates(docs).collect()} <= {1, 2}
