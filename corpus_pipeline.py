@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the
 last return the columns of documents.
+
+Defined results: rows with a null or empty text are rejected by the quality rules; rows without doc_id pass the
+line and span stages as they are; rows that repeat a doc_id are the same document; very long texts are taken whole;
+further columns, whatever their names, pass up to the last stage; empty tables give empty results.
 """
 
 from __future__ import annotations

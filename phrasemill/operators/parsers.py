@@ -13,8 +13,10 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+
 from phrasemill.functions.numbers import PrefixPrints
-from phrasemill.operators.suffix_index import extension, inverse, smaller_neighbours, suffix_array
+from phrasemill.operators.suffix_index import NEAR, extension, inverse, near_extensions, smaller_neighbours, suffix_array
 from phrasemill.operators.summaries import Attractor, PrefixSummary, SketchPrefixes, SketchStrings, StringSummary
 
 Phrase = tuple[str, int, int, int, int]
@@ -115,13 +117,16 @@ def factors(data: bytes, threshold: int = 2) -> list[Phrase]:
     """Greedy longest previous factors (overlap allowed): of the two nearest earlier suffixes the one
     before in order is preferred on a tie; shorter than the threshold gives literals."""
     before, after = smaller_neighbours(suffix_array(data))
+    near_before, near_after = (near_extensions(data, np.array(x, np.int64)).tolist() for x in (before, after))
     out: list[Phrase] = []
     i, n = 0, len(data)
     while i < n:
-        p, q = before[i], after[i]
-        a = extension(data, i, p) if p >= 0 else 0
-        b = extension(data, i, q) if q >= 0 else 0
-        length, src = (a, p) if a >= b else (b, q)
+        a, b = near_before[i], near_after[i]
+        if a == NEAR:
+            a += extension(data, i + NEAR, before[i] + NEAR)
+        if b == NEAR:
+            b += extension(data, i + NEAR, after[i] + NEAR)
+        length, src = (a, before[i]) if a >= b else (b, after[i])
         if length >= threshold and length > 0:
             out.append(copy(i - src, length))
             i += length

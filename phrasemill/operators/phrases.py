@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,12 @@ def phrase_array(parsed: list[list[Phrase]]) -> pa.Array:
 
 def _phrases(column: pa.Array) -> list[list[Phrase]]:
     values = column.flatten()
-    flat = list(zip(*(values.field(i).to_pylist() for i in range(5)), strict=True))
-    offsets = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in column])]).tolist()
+    kinds = values.field(0).dictionary_encode()
+    names = kinds.dictionary.to_pylist()
+    numbers = [values.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(1, 5)]
+    flat = list(zip(map(names.__getitem__, kinds.indices.to_numpy(zero_copy_only=False).tolist()), *numbers, strict=True))
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).tolist()
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
@@ -104,5 +109,15 @@ def statistics(parsed: DataFrame, *keys: str) -> DataFrame:
 
 def join_blocks(rows: DataFrame, *keys: str) -> DataFrame:
     """Blocks (keys, block_no, b) put together again; a document's blocks are as many as it is long."""
-    parts = F.sort_array(F.collect_list(F.struct("block_no", "b")))
-    return rows.groupBy(*keys).agg(parts.alias("parts")).select(*keys, F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["b"])), "")).alias("b"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    parts = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block_no", "b"))).alias("parts"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(keys))
+            bytes_ = column.flatten().field(1).to_pylist()
+            at = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).tolist()
+            out = [b"".join(bytes_[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, pa.binary())], [*keys, "b"])
+
+    return parts.mapInArrow(joined, f"{kinds}, b binary")

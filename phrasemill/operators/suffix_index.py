@@ -6,23 +6,38 @@ import numpy as np
 
 
 def suffix_array(data: bytes) -> np.ndarray:
-    """Start places of all suffixes in byte order, by prefix doubling."""
+    """Start places of all suffixes in byte order: sorted by seven bytes first, then by prefix doubling of
+    what is still tied."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64)
-    rank = np.frombuffer(data, np.uint8).astype(np.int64) + 1
-    width = 1
+    text = np.zeros(n + 7, np.int64)
+    text[:n] = np.frombuffer(data, np.uint8)
+    text[:n] += 1
+    key = text[:n].copy()
+    for j in range(1, 7):
+        key = key << 9 | text[j : j + n]
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # of each place in order, where its ties begin
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = first + 1  # after the text's end nothing comes, which is less than all
+    width = 7
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] if width < n else 0
-        key = rank * (n + 257) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-        if new[order[-1]] == n or width >= n:
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(tied):
             return order
-        rank, width = new, width * 2
+        at = order[tied]
+        key = first[tied] * (n + 1) + rank[np.minimum(at + width, n)]
+        way = np.argsort(key)
+        at, key = at[way], key[way]
+        order[tied] = at
+        differs = np.concatenate([[True], key[1:] != key[:-1]])
+        new[tied] = differs
+        first[tied] = tied[np.maximum.accumulate(np.where(differs, np.arange(len(tied)), 0))]
+        rank[at] = first[tied] + 1
+        width *= 2
 
 
 def inverse(order: np.ndarray) -> np.ndarray:
@@ -54,6 +69,28 @@ def extension(data: bytes, i: int, j: int, limit: int | None = None) -> int:
     return low
 
 
+NEAR = 64  # bytes up to which extensions are taken for all places together
+
+
+def near_extensions(data: bytes, other: np.ndarray) -> np.ndarray:
+    """For each place i the longest common extension with the earlier place other[i] (0 if that is negative),
+    NEAR at most: eight bytes at a time."""
+    n = len(data)
+    words = np.ndarray((n + NEAR,), "<u8", data + bytes(NEAR + 8), 0, (1,))
+    out = np.zeros(n, np.int64)
+    i = np.flatnonzero(other >= 0)
+    j = other[i]
+    for step in range(0, NEAR, 8):
+        differ = words[i + step] ^ words[j + step]
+        same = differ == 0
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs
+        out[i] += np.where(same, 8, np.bitwise_count(low - np.uint64(1)) // 8)
+        i, j = i[same], j[same]
+        if not len(i):
+            break
+    return np.minimum(out, n - np.arange(n))
+
+
 def lcp_array(data: bytes, order: np.ndarray) -> list[int]:
     """Longest common prefix of each suffix with the one before it in order, in linear time."""
     rank = inverse(order).tolist()

@@ -6,14 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_stored: list[str] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,10 +42,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; only where it is unset (tests) make one."""
+    """Use the shared folder in ``spark.checkpoint.dir``; only a local session (tests) may do without one, and
+    gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="phrasemill-checkpoints-"))
 
 
@@ -63,28 +65,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def stored(frame: DataFrame) -> DataFrame:
     """Write frame as Parquet to the shared checkpoint folder and read it back: cuts the lineage, and
-    takes less room than checkpoint()."""
+    takes less room than checkpoint(). ``clear`` deletes what was stored."""
     ensure_checkpoints(frame.sparkSession)
     path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _stored.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` wrote, once nothing reads them any more; how many there were.
+    (Checkpoints go with spark.cleaner.referenceTracking.cleanCheckpoints.)"""
+    paths, _stored[:] = list(_stored), []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Rows of a small input over all cores. A small file is one task however many cores there are; input
     that already gives every core a full task is left as it is, so nothing large is shuffled."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(2 * cores, key) if (1 << 20) < size < cores * (64 << 20) else rows
-
-
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Fewer rows in an Arrow batch for what runs inside: bounds what a task holds of long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
