@@ -397,7 +397,7 @@ e AS (SELECT item_id, n, p, unnest(range(0, n - p)) i, h FROM b), m AS (SELECT i
 g AS (SELECT item_id, p, i, i - row_number() OVER (PARTITION BY item_id, p ORDER BY i) k FROM m),
 r AS (SELECT item_id, p, min(i) AS start, count(*) + p AS length FROM g GROUP BY item_id, p, k HAVING count(*) >= p)
 SELECT item_id, start, min(p) AS period, length FROM r GROUP BY item_id, start, length""",
-    "sql_phrases": f"{_LZ78} SELECT item_id, phrase_no::INTEGER AS phrase_no, pos, ref, len, lit FROM g",
+    "sql_phrases": f"{_LZ78} SELECT item_id, phrase_no, pos, ref, len, lit FROM g",
     "run_union": _halves_sql(),
     "nearest_smaller": f"""WITH {_HEX}, u AS (SELECT item_id, unnest(range(0, length(h) // 2)) AS pos, h FROM h),
 w AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY substr(h, 2 * pos + 1)) r FROM u)
