@@ -27,6 +27,7 @@ columns do not matter.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -43,8 +44,8 @@ from phrasemill.llm.skew import hot_join
 from phrasemill.session import stored, table
 
 THRESHOLD, PER = 2, 5
-BUCKET_BYTES = 8 << 20  # text whose keys make a bucket, about
-TASK_BUCKETS = 2  # buckets of a task, about
+BUCKET_BYTES = 4 << 20  # text whose keys make a bucket, about
+TASK_BUCKETS = 4  # buckets of a task, about
 BATCH_BYTES = 8 << 20  # text that a task takes at a time
 ROWS = 1024  # documents in an Arrow batch
 HOT = 500  # lines that share a key beyond which they are dealt out by the rest of the line
@@ -186,13 +187,14 @@ def _deal_keys(buckets: int, hot: int):
     each = together(buckets)
 
     def flush(lines: set[str]) -> pa.RecordBatch:
-        key, who = [], []
+        key, who, size = array("Q"), array("Q"), array("L")
         for line in lines:
-            own = _halves(line)[0] >> 16
-            found = _keys(line)
-            key += [k << 1 | mine for k, mine, _, _ in found]
-            who += [own] * len(found)
-        keys, ids = np.array(key, np.uint64), np.array(who, np.uint64)
+            found = [k << 1 | mine for k, mine, _, _ in _keys(line)]
+            key.extend(found)
+            who.append(_halves(line)[0] >> 16)
+            size.append(len(found))
+        keys, ids = np.array(key, np.uint64), np.repeat(np.array(who, np.uint64), np.array(size, np.int64))
+        del key
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
         plain = keys >> np.uint64(1)
@@ -218,9 +220,9 @@ def _deal_keys(buckets: int, hot: int):
                     if len(line) >= PER - 1 and line not in lines and line.strip():
                         lines.add(line)
                         size += len(line) + 100
-                if size >= BATCH_BYTES:
-                    yield flush(lines)
-                    lines, size = set(), 0
+                    if size >= BATCH_BYTES:
+                        yield flush(lines)
+                        lines, size = set(), 0
         if lines:
             yield flush(lines)
 

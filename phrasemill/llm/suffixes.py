@@ -44,8 +44,8 @@ LENGTH, TOKEN = 50, 20
 BATCH_BYTES = 8 << 20  # text that a task takes into memory at a time
 ROWS = 1024  # documents in an Arrow batch
 PIECE = 1 << 20  # bytes hashed at a time
-BUCKET_BYTES = 8 << 20  # text whose records make a bucket, about
-TASK_BUCKETS = 2  # buckets of a task, about
+BUCKET_BYTES = 4 << 20  # text whose records make a bucket, about
+TASK_BUCKETS = 4  # buckets of a task, about
 SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 32  # the splitters' sample: about so many documents, so many leading tokens of each at most
 HOT = 4096  # continuations of a leading token beyond which its strings are dealt out by their own hashes
 _BASE = 0x9E3779B97F4A7C15

@@ -542,6 +542,12 @@ def test_quality_rules_agree_with_labels(spark):
     assert all(k for k, q in pairs if q) and sum(k for k, q in pairs if not q) <= 0.05 * len(pairs)
 
 
+def test_kept_documents_are_counted_once(spark):
+    """Without the column that stops them, filters go below the projections and write the counts out again."""
+    plan = quality.keep_good(table(spark, FOLDER, "documents"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+
+
 def _near_sets(places, near):
     sets = Sets()
     for i, (x, a) in enumerate(places):
