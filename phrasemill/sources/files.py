@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import resource
 import time
 from collections.abc import Callable
 
@@ -52,9 +53,28 @@ def read_parsed(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 
 
 def measured(run: Callable[[], DataFrame], **facts: object) -> DataFrame:
-    """One row of sorted metrics: the facts, rows and milliseconds of a run."""
+    """One row of sorted metrics of a run: the facts, rows, milliseconds, the driver's peak memory in bytes
+    (its JVM's pools and its Python), and of containers (a column payload) the bytes out, with the ratio to the
+    bytes in if a column n tells them."""
+    pools = [p for p in _pools() if p.isValid()]
+    for pool in pools:
+        pool.resetPeakUsage()
     start = time.time()
     frame = run()
-    rows = frame.count()
-    values = {**{k: str(v) for k, v in facts.items()}, "rows": str(rows), "time": str(int((time.time() - start) * 1000))}
-    return frame.sparkSession.createDataFrame([tuple(values[k] for k in sorted(values))], ", ".join(f"`{k}` string" for k in sorted(values)))
+    wanted = {"rows": F.count("*")}
+    if "payload" in frame.columns:
+        wanted["nout"] = F.sum(F.octet_length("payload"))
+        if "n" in frame.columns:
+            wanted["n"] = F.sum("n")
+    found = frame.agg(*(c.alias(k) for k, c in wanted.items())).first().asDict()
+    values = {**facts, **found, "time": int((time.time() - start) * 1000)}
+    values["memory"] = sum(p.getPeakUsage().getUsed() for p in pools) + resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+    if found.get("n"):
+        values["ratio"] = round(found["nout"] / found["n"], 4)
+    return frame.sparkSession.createDataFrame([tuple(str(values[k]) for k in sorted(values))], ", ".join(f"`{k}` string" for k in sorted(values)))
+
+
+def _pools() -> list:
+    """The memory pools of the driver's JVM."""
+    jvm = SparkSession.getActiveSession()._jvm
+    return list(jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans())

@@ -7,8 +7,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from phrasemill.operators.container import compress, decompress
 from phrasemill.operators.phrases import decode, parse, phrase_rows, statistics
 from phrasemill.operators.topk import topk_mergeable, topk_sequential
+from phrasemill.session import clear, stored
 from phrasemill.sources.files import block_table, byte_files, measured, read_parsed, write_parsed
 from phrasemill.streaming import summaries
 from phrasemill.streaming.summaries import last_of, run_to_end, stream_table, streaming_prefixes, streaming_topk
@@ -81,3 +83,17 @@ def test_falling_positions_are_refused(spark):
     late = summaries.staged(spark.createDataFrame([(1, 5, b"abc", 0), (1, 9, b"abd", 1), (1, 7, b"x", 2)], "k long, p long, b binary, came int"), "came", 3)
     with pytest.raises(Exception, match="came after"):
         summaries.run_to_end(summaries.streaming_lz78(late, "k", "b", "p"), "late", "append")
+
+
+def test_metrics_of_containers(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("b")).withColumn("n", F.octet_length("b"))
+    row = measured(lambda: compress(docs, "lz78"), algo="lz78").first()
+    total = docs.agg(F.sum("n")).first()[0]
+    assert list(row.asDict()) == ["algo", "memory", "n", "nout", "ratio", "rows", "time"] and int(row.n) == total
+    assert float(row.ratio) == round(int(row.nout) / total, 4) < 1 and int(row.memory) > 1 << 20
+    assert decompress(compress(docs, "lz78")).exceptAll(docs.select("doc_id", "n", "b")).count() == 0
+
+
+def test_stored_tables_are_cleared(spark):
+    rows = stored(spark.range(3))
+    assert rows.count() == 3 and clear(spark) >= 1 and clear(spark) == 0
