@@ -573,29 +573,85 @@ def decode_topk_lzend(phrases: list[Phrase], k: int = 1024, window: int = 1 << 1
     return bytes(out)
 
 
-def encode_cursors(data: bytes, k: int = 1024, window: int = 8, threshold: int = 2, max_freq: int = 1024, ascend: bool = True) -> list[Phrase]:
-    """Every place starts a cursor that is followed for ``window`` bytes through a bounded dictionary; a
-    node remembers where its string started last. A phrase copies from there. ascend: if a node has no
-    place yet, its nearest ancestor's serves."""
-    place: dict[int, int] = {}
-    top = PrefixSummary(k, max_freq, on_insert=lambda v: place.pop(v, None), on_delete=lambda v: place.pop(v, None))
-    out, at, fed = [], 0, 0
-    while at < len(data):
-        node, depth = top.longest(data, at, min(len(data), at + window))
-        while ascend and depth and (node not in place):
-            node, depth = top.parent[node], depth - 1
-        src = place.get(node) if depth else None
-        size = depth if src is not None and depth >= threshold and src < at and data[src : src + depth] == data[at : at + depth] else 0
-        out.append(copy(at - src, size) if size else literal(data[at]))
-        at += size or 1
-        while fed < at:
-            state = top.EMPTY
-            for c in data[fed : fed + window]:
-                state = top.extend(state, c)
-                if not state[2]:
-                    break
-                place[state[0]] = fed
-            fed += 1
+class ReversedWindows:
+    """A bounded dictionary of reversed strings. A node's suffix link leads to the string without its first
+    byte, and a Weiner link back: for text read from left to right, one more byte is one Weiner link. A node
+    remembers where its string ended last."""
+
+    def __init__(self, k: int, max_freq: int):
+        self.top = PrefixSummary(k, max_freq, self._insert, self._delete)
+        self.suffix: dict[int, int] = {}
+        self.links: dict[int, dict[int, int]] = {0: {}}
+        self.first: dict[int, int] = {}  # the first byte of a node's string
+        self.ended: dict[int, int] = {}
+
+    def _join(self, shorter: int, longer: int) -> None:
+        self.suffix[longer] = shorter
+        self.links[shorter][self.first[longer]] = longer
+
+    def _insert(self, v: int) -> None:
+        up, c, child = self.top.parent[v], self.top.label[v], self.top.child
+        self.first[v] = self.first[up] if up else c
+        self.links[v] = {}
+        self.ended.pop(v, None)
+        if not up:
+            self._join(0, v)
+        elif up in self.suffix:
+            shorter = child.get(self.suffix[up] << 8 | c)
+            if shorter is not None:
+                self._join(shorter, v)
+        for u in list(self.links[up].values()):
+            longer = child.get(u << 8 | c)
+            if longer is not None and longer not in self.suffix:
+                self._join(v, longer)
+
+    def _delete(self, v: int) -> None:
+        if v in self.suffix:
+            del self.links[self.suffix.pop(v)][self.first[v]]
+        for u in self.links.pop(v).values():
+            del self.suffix[u]
+        self.ended.pop(v, None)
+
+    def feed(self, data: bytes, at: int, window: int, ascend: bool) -> None:
+        """The window of bytes that ends at this place, read backward."""
+        state, seen = self.top.EMPTY, []
+        for i in range(at, max(-1, at - window), -1):
+            state = self.top.extend(state, data[i])
+            if not state[2]:
+                break
+            seen.append(state[0])
+        for v in seen if ascend else seen[-1:]:
+            if v in self.links:  # it may have been recycled on the way
+                self.ended[v] = at
+
+
+def encode_weiner(data: bytes, k: int = 1024, window: int = 8, threshold: int = 2, max_freq: int = 1024, ascend: bool = True) -> list[Phrase]:
+    """A factor goes on as long as there is a Weiner link by the next byte to a string that ended before; it is
+    copied from there. Every place's window enters the dictionary reversed. ascend: all strings on the way
+    take the place, else the longest only."""
+    known = ReversedWindows(k, max_freq)
+    out: list[Phrase] = []
+    begin, node, src = 0, 0, -1
+
+    def emit(end: int) -> None:
+        size = end - begin
+        start = src - size + 1
+        if size >= threshold and 0 <= start < begin and data[start : start + size] == data[begin:end]:
+            out.append(copy(begin - start, size))
+        else:
+            out.extend(literal(c) for c in data[begin:end])
+
+    for at, c in enumerate(data):
+        nxt = known.links.get(node, {}).get(c)
+        if nxt is not None and nxt in known.ended and at - begin < window:
+            node, src = nxt, known.ended[nxt]
+        else:
+            emit(at)
+            begin = at
+            node = known.links[0].get(c, 0)
+            src = known.ended.get(node, -1) if node else -1
+        known.feed(data, at, window, ascend)
+    emit(len(data))
     return out
 
 
@@ -661,7 +717,7 @@ PARSERS: dict[str, Parser] = {
     "lzend_blockwise": Parser(encode_lzend_blockwise, _plain(decode_lzend)),
     "topk_lzend": Parser(encode_topk_lzend, decode_topk_lzend),
     "topk_sel": Parser(encode_selective, decode_selective),
-    "topk_weiner": Parser(encode_cursors, _plain(decode_copies)),
-    "topk_weiner_fast": Parser(lambda data, **o: encode_cursors(data, ascend=False, **o), _plain(decode_copies)),
+    "topk_weiner": Parser(encode_weiner, _plain(decode_copies)),
+    "topk_weiner_fast": Parser(lambda data, **o: encode_weiner(data, ascend=False, **o), _plain(decode_copies)),
     "gzip9": Parser(encode_deflate, _plain(decode_deflate)),
 }

@@ -238,3 +238,17 @@ def test_longer_references_win():
 def test_topk_lzend_has_no_longest_match():
     unit = bytes(random.Random(4).choice(b"abcdefgh") for _ in range(500))
     assert max(p[3] for p in parsers.encode_topk_lzend(unit * 4)) > 400
+
+
+@pytest.mark.parametrize("k", [6, 20, 100, 3000])
+def test_weiner_links(k):
+    """Suffix links lead to the string without its first byte wherever that is a node, Weiner links back."""
+    draw, known = random.Random(1), parsers.ReversedWindows(k, 16)
+    data = bytes(draw.choice(b"abc ") for _ in range(400))
+    for at in range(len(data)):
+        known.feed(data, at, 5, True)
+        spelled = {v: known.top.spell(v) for v in known.top.child.values()}
+        node = {s: v for v, s in spelled.items()} | {b"": 0}
+        assert known.suffix == {v: node[s[1:]] for v, s in spelled.items() if s[1:] in node}
+        assert {(u, c): v for u, own in known.links.items() for c, v in own.items()} == {(u, spelled[v][0]): v for v, u in known.suffix.items()}
+        assert all(data[e - len(spelled[v]) + 1 : e + 1][::-1] == spelled[v] for v, e in known.ended.items())
