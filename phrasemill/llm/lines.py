@@ -46,9 +46,9 @@ from phrasemill.session import stored, table
 THRESHOLD, PER = 2, 5
 BUCKET_BYTES = 4 << 20  # text whose keys make a bucket, about
 TASK_BUCKETS = 4  # buckets of a task, about
-BATCH_BYTES = 8 << 20  # text that a task takes at a time
+BATCH_BYTES = 4 << 20  # text that a task takes at a time
 ROWS = 1024  # documents in an Arrow batch
-HOT = 500  # lines that share a key beyond which they are dealt out by the rest of the line
+HOT = 250  # lines that share a key beyond which they are dealt out by the rest of the line
 _MASK = (1 << 64) - 1
 
 
