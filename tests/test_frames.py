@@ -74,9 +74,11 @@ def test_the_library_stands_without_llm(tmp_path):
         "import shutil, sys; "
         f"shutil.copytree({str(root)!r}, {str(tmp_path / 'copy')!r}, ignore=shutil.ignore_patterns('.git', 'llm', 'corpus_pipeline.py', '__pycache__')); "
         f"sys.path.insert(0, {str(tmp_path / 'copy')!r}); import __spark_entry__ as e; "
-        "assert 'topk_grams_exact' in e.queries() and not any(n.startswith('op') for n in e.queries()); assert e.oracle_sql()"
+        "assert 'topk_grams_exact' in e.queries() and not any(n.startswith('op') for n in e.queries()); assert e.oracle_sql(); "
+        "from phrasemill.session import local_session; assert e.entry(local_session(2)).count() == 20"
     )
     subprocess.run([sys.executable, "-B", "-c", code], check=True, cwd=tmp_path)
+    subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-x", "tests/test_sequences.py"], check=True, cwd=tmp_path / "copy")
 
 
 def test_falling_positions_are_refused(spark):
