@@ -227,6 +227,7 @@ class CountMin:
         self.conservative = conservative
 
     def _places(self, item: int) -> list[int]:
+        """The item's cell in every row."""
         return [mix64(item ^ (0x9E3779B97F4A7C15 * (r + 1))) & (self.columns - 1) for r in range(len(self.cells))]
 
     def increment(self, item: int, by: int = 1) -> int:
@@ -250,6 +251,17 @@ class CountMin:
                 mine[i] += n
 
 
+class LinearCountMin(CountMin):
+    """A Count-Min sketch of whole numbers whose rows hash by (a * x + b) mod a prime, as sketch_cells does."""
+
+    def __init__(self, factors: list[tuple[int, int]], prime: int, columns: int, conservative: bool = False):
+        super().__init__(len(factors), columns, conservative)
+        self.factors, self.prime = factors, prime
+
+    def _places(self, item: int) -> list[int]:
+        return [(item % self.prime * a + b) % self.prime % self.columns for a, b in self.factors]
+
+
 class MinBuckets:
     """A priority queue by frequency in buckets: insert, increase_key, remove, extract_min."""
 

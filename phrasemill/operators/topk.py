@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.operators.summaries import PrefixSummary, summarize
+from phrasemill.operators.summaries import LinearCountMin, PrefixSummary, summarize
 
 GRAM_BYTES = 1 << 20  # bytes whose grams are counted at a time
 
@@ -122,6 +122,23 @@ def sketch_estimates(items: DataFrame, item: Column, cells: DataFrame, depth: in
     return asked.join(F.broadcast(cells), ["row", "cell"]).groupBy(*items.columns).agg(F.min("n").alias("estimate"))
 
 
+def sketch_sequential(rows: DataFrame, group: str, item: str, order: str, depth: int = 2, width: int = 1 << 12, conservative: bool = True) -> DataFrame:
+    """group, item, estimate: a sketch of each group's whole numbers read in order, asked for each of them at
+    the end. Conservative: only an item's least cells grow, which depends on the order, so groups must be bounded."""
+    factors = [sketch_factors(r) for r in range(depth)]
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        sketch = LinearCountMin(factors, SKETCH_PRIME, width, conservative)
+        items = own.sort_values(order, kind="stable")[item].tolist()
+        for x in items:
+            sketch.increment(x)
+        asked = sorted(set(items))
+        return pd.DataFrame({group: [own[group].iloc[0]] * len(asked), item: asked, "estimate": [sketch.estimate(x) for x in asked]})
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, item)}
+    return rows.select(group, item, order).groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{item}` {kinds[item]}, estimate long")
+
+
 def gram_counts(rows: DataFrame, column: str, sizes: tuple[int, ...]) -> DataFrame:
     """size, code, n: how often each string of ``size`` bytes (up to 7, as a big-endian number) stands in the
     binary column. Grams are counted in each Arrow batch, so what is shuffled are partial counts, not bytes."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes
 from phrasemill.operators.phrases import decode
+from phrasemill.plans.summary_queries import ORACLE_SQL as SUMMARY_SQL
 from phrasemill.session import ship, table
 from phrasemill.streaming.summaries import last_of, run_to_end, staged, stream_table, streaming_blocks, streaming_lz78, streaming_lz78_decode, streaming_parse, streaming_topk
 
@@ -27,6 +28,15 @@ def stream_topk(spark: SparkSession, folder: str) -> DataFrame:
     return last_of(found, "event_type").select("event_type", "user_id", "n")
 
 
+def stream_mg_aged(spark: SparkSession, folder: str) -> DataFrame:
+    """One counter for each user, over events that come in three batches, with a cap of four: counts are evicted,
+    saturate and are halved, and the state carries them from batch to batch."""
+    ship(spark)
+    rows = staged(table(spark, folder, "events").select("user_id", "event_type", "event_id"), "event_id", 3)
+    found = run_to_end(streaming_topk(rows, "user_id", "event_type", "event_id", 1, max_freq=5), _name("aged"), "update")
+    return last_of(found, "user_id").select("user_id", "event_type", "n")
+
+
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Events and their values in hourly windows."""
     rows = stream_table(spark, f"{folder}/events.parquet").select("ts", "event_type")
@@ -108,6 +118,7 @@ SELECT stream, block_no, block_no * {step} AS offset, substr(h, 2 * block_no * {
 
 ORACLE_SQL = {
     "stream_topk": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_mg_aged": SUMMARY_SQL["mg_aged"],
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_roundtrip": "SELECT doc_id, text FROM documents",
     "stream_lz78": f"{_LZ78} SELECT stream, seq, ref, len, lit FROM f WHERE seq >= 0",

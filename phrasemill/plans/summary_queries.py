@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions.bytes import as_bytes, slices
-from phrasemill.operators.topk import gram_counts, gram_hex, sketch_cells, sketch_estimates, sketch_factors, SKETCH_PRIME, topk_exact, topk_mergeable, topk_sequential
+from phrasemill.operators.topk import gram_counts, gram_hex, sketch_cells, sketch_estimates, sketch_factors, sketch_sequential, SKETCH_PRIME, topk_exact, topk_mergeable, topk_sequential
 from phrasemill.plans.byte_queries import documents, short_texts
 from phrasemill.session import ship, stored, table
 
 
-CELLS = 256  # of a row of the sketches
+CELLS, FEW_CELLS = 256, 16  # of a row of the sketches
 SLICE = 4096  # events that a sequential summary reads; a table has as many as it takes
 
 
@@ -93,6 +93,11 @@ def cm_cells(spark: SparkSession, folder: str) -> DataFrame:
     return cells.groupBy("row").agg(F.sum(n).alias("total"), F.max(n).alias("largest"), F.sum(n * n).alias("squares"), (CELLS - F.count("*")).alias("zeros"))
 
 
+def cm_conservative(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimates of a small conservative sketch of each stream's users, which collide all the time."""
+    return sketch_sequential(events(spark, folder), "stream", "user_id", "event_id", width=FEW_CELLS)
+
+
 def population(spark: SparkSession, folder: str) -> DataFrame:
     """How many users have each count."""
     counts = events(spark, folder).groupBy("user_id").agg(F.count("*").alias("freq"))
@@ -204,6 +209,18 @@ _PLACES = " UNION ALL ".join(f"SELECT user_id, {r} AS row, ((user_id % {SKETCH_P
 _SKETCH = f"p AS ({_PLACES}), c AS (SELECT row, cell, count(*) n FROM p GROUP BY 1, 2)"
 
 
+def _cell(row: int, width: int) -> str:
+    a, b = sketch_factors(row)
+    return f"((user_id % {SKETCH_PRIME}) * {a} + {b}) % {SKETCH_PRIME} % {width}"
+
+
+_CONSERVATIVE = f"""WITH RECURSIVE e AS (SELECT event_id // {SLICE} AS stream, user_id, {_cell(0, FEW_CELLS)} + 1 AS p, {_cell(1, FEW_CELLS)} + {FEW_CELLS + 1} AS q, row_number() OVER (PARTITION BY event_id // {SLICE} ORDER BY event_id) r FROM events),
+s(stream, r, l) AS (SELECT DISTINCT stream, 0::BIGINT, list_resize([]::BIGINT[], {2 * FEW_CELLS}, 0) FROM e UNION ALL
+  SELECT s.stream, e.r, list_transform(l, lambda x, i: CASE WHEN i = p OR i = q THEN greatest(x, least(l[p], l[q]) + 1) ELSE x END) FROM s JOIN e ON e.stream = s.stream AND e.r = s.r + 1),
+z AS (SELECT stream, max_by(l, r) l FROM s GROUP BY 1)
+SELECT DISTINCT stream, user_id, least(l[p], l[q]) AS estimate FROM e JOIN z USING (stream)"""
+
+
 def _one_counter(cap: int) -> str:
     """One counter, read event by event: item, count and threshold as the summary keeps them."""
     return f"""WITH RECURSIVE e AS (SELECT user_id, event_type x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) r FROM events),
@@ -228,6 +245,7 @@ ORACLE_SQL = {
     "cm_upper": f"""WITH {_SKETCH}, t AS (SELECT user_id, count(*) t FROM events GROUP BY 1), q AS (SELECT DISTINCT * FROM p)
 SELECT user_id, min(n) AS estimate, min(n) - any_value(t.t) AS above FROM q JOIN c USING (row, cell) JOIN t USING (user_id) GROUP BY 1""",
     "cm_cells": f"WITH {_SKETCH} SELECT row::INTEGER AS row, sum(n)::BIGINT AS total, max(n) AS largest, sum(n * n)::BIGINT AS squares, {CELLS} - count(*) AS zeros FROM c GROUP BY 1",
+    "cm_conservative": _CONSERVATIVE,
     "population": "SELECT freq, count(*) AS items FROM (SELECT count(*) freq FROM events GROUP BY user_id) GROUP BY 1",
     "extract_min": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n, user_id LIMIT 1",
     "dictionary_probe": f"WITH {_GRAMS}, {_SHORT} SELECT item_id, pos, dict.s AS s, freq FROM p JOIN dict ON depth = 4 AND dict.s = substr(h, 2 * pos + 1, 8)",
