@@ -341,6 +341,12 @@ _LZEND = f"""WITH RECURSIVE {_CHARS}, f(id, s, i, e, len) AS (SELECT id, s, 1::B
     lambda l: len(list_filter(e, lambda p: p >= l AND substr(s, p - l + 1, l) = substr(s, i, l))) > 0)), 0) l FROM f WHERE i <= length(s)))"""
 
 
+#: the same of windows of 64 bytes, as items of their own
+_WINDOWS = f"""{_BYTES}, a AS (SELECT item_id, string_agg(chr(256 + byte), '' ORDER BY pos) s FROM z GROUP BY item_id),
+t AS (SELECT item_id * 1000 + w AS id, substr(s, 64 * w + 1, 64) s FROM (SELECT item_id, s, unnest(range(0, (length(s) + 63) // 64)) w FROM a))"""
+_BY_ITEM = "SELECT id // 1000 AS item_id, count(*) AS z, sum(len)::BIGINT AS n FROM f WHERE len > 0 GROUP BY 1"
+
+
 def _halves_sql() -> str:
     """Runs of both overlapping parts of the items."""
     part = """{0} AS (SELECT item_id, {1} AS shift, substr(h, 2 * ({1}) + 1, 2 * (length(h) // 2 - length(h) // 6)) h FROM h)"""
@@ -356,7 +362,7 @@ SELECT DISTINCT item_id, start + shift AS start, period, length FROM u"""
 QUERIES = {name: _round_trip(*spec) for name, spec in ROUND_TRIPS.items()}
 QUERIES |= {name: _cover(*spec) for name, spec in COVERS.items()}
 QUERIES |= {f"{c}_roundtrip": _coded(c) for c in ("huffman", "binary", "rans", "vitter")}
-QUERIES |= {"lz77_counts": _counts("lz77", threshold=2), "lz78_counts": _counts("lz78"), "topk_lz78_counts": _counts("topk_lz78", k=1 << 14, max_freq=1 << 20), "lzend_counts": _counts("lzend"), "lzend_kk_counts": _counts("lzend_kk"), "lzend_kkl_counts": _counts("lzend_kkl")}
+QUERIES |= {"lz77_counts": _counts("lz77", threshold=2), "lz78_counts": _counts("lz78"), "topk_lz78_counts": _counts("topk_lz78", k=1 << 14, max_freq=1 << 20), "lzend_counts": _counts("lzend"), "lzend_kk_counts": _counts("lzend_kk"), "lzend_kkl_counts": _counts("lzend_kkl"), "blockwise_lz77_counts": _counts("blockwise_lz77", window=64), "lzend_blockwise_counts": _counts("lzend_blockwise", window=64)}
 QUERIES |= {
     f.__name__: f
     for f in (
@@ -380,6 +386,8 @@ SELECT item_id, z, z * length(bin(z)) AS parent_bits, z * 8 AS literal_bits, z *
     "lz78_counts": f"{_LZ78} SELECT item_id, count(*) AS z, sum(len)::BIGINT AS n FROM g GROUP BY 1",
     "topk_lz78_counts": f"{_LZ78} SELECT item_id, count(*) AS z, sum(len)::BIGINT AS n FROM g GROUP BY 1",
     "lzend_counts": f"{_LZEND} SELECT id AS item_id, count(*) AS z, sum(len)::BIGINT AS n FROM f WHERE len > 0 GROUP BY id",
+    "blockwise_lz77_counts": f"{_LZ77.replace(_CHARS, _WINDOWS)} {_BY_ITEM}",
+    "lzend_blockwise_counts": f"{_LZEND.replace(_CHARS, _WINDOWS)} {_BY_ITEM}",
     "phrase_statistics": f"""{_LZ77} SELECT id AS item_id, count(*) AS n_phrases, count(*) FILTER (ref) AS n_refs, count(*) FILTER (NOT ref) AS n_literals, max(len) AS longest, sum(len)::BIGINT AS total_len
 FROM f WHERE len > 0 GROUP BY id""",
     "phrase_at_position": """WITH h AS (SELECT doc_id, hex(encode(text)) h FROM documents), p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS place FROM h)
