@@ -41,9 +41,9 @@ from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, mul
 from phrasemill.session import stored, table
 
 LENGTH, TOKEN = 50, 20
-BATCH_BYTES = 8 << 20  # text that a task takes into memory at a time
+BATCH_BYTES = 4 << 20  # text that a task takes into memory at a time
 ROWS = 1024  # documents in an Arrow batch
-PIECE = 1 << 20  # bytes hashed at a time
+PIECE = 1 << 19  # bytes hashed at a time
 BUCKET_BYTES = 4 << 20  # text whose records make a bucket, about
 TASK_BUCKETS = 4  # buckets of a task, about
 SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 32  # the splitters' sample: about so many documents, so many leading tokens of each at most
@@ -150,8 +150,8 @@ def _deal_by_token(sample: np.ndarray, buckets: int):
         start, end, lead = spans(np.frombuffer(buffer, np.uint8), ends)
         view = memoryview(buffer)
         whole = np.empty(len(start), np.uint64)
-        for i in range(0, len(start), 1 << 16):
-            part = slice(i, i + (1 << 16))
+        for i in range(0, len(start), 1 << 14):
+            part = slice(i, i + (1 << 14))
             whole[part] = np.fromiter(map(xxhash.xxh3_64_intdigest, map(view.__getitem__, map(slice, start[part].tolist(), end[part].tolist()))), np.uint64)
         at = np.searchsorted(ends, start, side="right")
         doc = np.array(ids, np.int64)[at] if len(ids) else np.zeros(0, np.int64)
