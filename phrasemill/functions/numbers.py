@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 M61 = (1 << 61) - 1
 _WORD = (1 << 64) - 1
 
@@ -72,6 +74,32 @@ class PrefixPrints:
         return (self.prints[end] - self.prints[start] * self.powers[end - start]) % M61
 
 
+def _times61(x: np.ndarray, factor: int) -> np.ndarray:
+    """x * factor modulo M61 of many numbers below M61, not reduced to below M61: under 2**62."""
+    high, low, a, b = x >> np.uint64(31), x & np.uint64((1 << 31) - 1), np.uint64(factor >> 31), np.uint64(factor & (1 << 31) - 1)
+    middle = high * b + low * a
+    out = high * a * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + low * b
+    return (out & np.uint64(M61)) + (out >> np.uint64(61))
+
+
+def window_prints(data: bytes, base: int, exponent: int) -> list[np.ndarray]:
+    """For each exponent from 0 on, the fingerprints PrefixPrints.of of all windows of 2**exponent bytes, by doubling."""
+    found = [np.frombuffer(data, np.uint8).astype(np.uint64)]
+    for e in range(exponent):
+        size, last = 1 << e, found[-1]
+        out = _times61(last[:-size], pow(base, size, M61)) + last[size:]
+        out = (out & np.uint64(M61)) + (out >> np.uint64(61))
+        found.append(np.where(out >= np.uint64(M61), out - np.uint64(M61), out))
+    return found
+
+
+def mix64s(x: np.ndarray) -> np.ndarray:
+    """mix64 of many numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def roll(fp: int, base: int, out_power: int, old: int, new: int) -> int:
     """The fingerprint of a window one place on; out_power: base to the window's length."""
     return (fp * base - out_power * old + new) % M61

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from phrasemill.functions.numbers import mix64
+import numpy as np
+
+from phrasemill.functions.numbers import mix64, mix64s
 
 
 class Counters:
@@ -296,7 +298,9 @@ class SketchStrings:
     """Top-k items by a filter of k items over a Count-Min sketch: an item enters when its estimate
     exceeds the filter's least count; what an evicted item gained in the filter goes back to the sketch."""
 
-    def __init__(self, k: int, rows: int = 2, columns: int = 1 << 16):
+    ROWS, COLUMNS = 2, 1 << 16
+
+    def __init__(self, k: int, rows: int = ROWS, columns: int = COLUMNS):
         self.k, self.sketch, self.queue = k, CountMin(rows, columns), MinBuckets()
         self.entered: dict = {}
 
@@ -405,6 +409,117 @@ class Attractor:
             self.freq[i] -= 1
 
 
+def membership(items: np.ndarray, k: int, kind: str = "mg") -> tuple[np.ndarray, np.ndarray]:
+    """Of a stream of whole numbers below 2**61 - 1 read by a StringSummary (mg) or SketchStrings (cm) of k items:
+    whether each is in the summary when it comes, and whether it is after it was inserted. What does not pass k
+    different items is never evicted, so it needs no counters."""
+    distinct, first, number = np.unique(items, return_index=True, return_inverse=True)
+    before, after = np.ones(len(items), bool), np.ones(len(items), bool)
+    before[first] = False
+    if len(distinct) > k:
+        here, there = (_mg_membership if kind == "mg" else _cm_membership)(number.tolist(), distinct, k)
+        before, after = np.frombuffer(here, bool), np.frombuffer(there, bool)
+    return before, after
+
+
+def _mg_membership(items: list[int], distinct: np.ndarray, k: int) -> tuple[bytearray, bytearray]:
+    """As StringSummary.insert does without a cap, an item standing for its slot."""
+    before, after = bytearray(len(items)), bytearray(b"\1") * len(items)
+    level: list = [0] * len(distinct)  # 0: not in the summary
+    buckets: dict[int, dict[int, None]] = {}
+    threshold, room = 0, k
+    for i, x in enumerate(items):
+        f = level[x]
+        if f:
+            before[i] = 1
+            bucket = buckets[f]
+            del bucket[x]
+            if not bucket:
+                del buckets[f]
+            f += 1
+        else:
+            if room:
+                room -= 1
+            else:
+                bucket = buckets.get(threshold)
+                if bucket is None:
+                    threshold += 1
+                    after[i] = 0
+                    continue
+                level[bucket.popitem()[0]] = 0
+                if not bucket:
+                    del buckets[threshold]
+            f = threshold + 1
+        level[x] = f
+        if f in buckets:
+            buckets[f][x] = None
+        else:
+            buckets[f] = {x: None}
+    return before, after
+
+
+def _cm_membership(items: list[int], distinct: np.ndarray, k: int) -> tuple[bytearray, bytearray]:
+    """As SketchStrings.insert does, with the cells of the sketch that are not zero."""
+    before, after = bytearray(len(items)), bytearray(b"\1") * len(items)
+    keys = mix64s(distinct.astype(np.uint64))
+    rows, columns = SketchStrings.ROWS, SketchStrings.COLUMNS
+    cells = [(mix64s(keys ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1)) & np.uint64(columns - 1)).astype(np.int64) + r * columns for r in range(rows)]
+    used, cell = np.unique(np.concatenate(cells), return_inverse=True)
+    one, two = cell.reshape(rows, -1).tolist()
+    count = [0] * len(used)
+    freq: list = [0] * len(distinct)  # 0: not in the filter
+    entered: dict[int, int] = {}
+    buckets: dict[int, dict[int, None]] = {}
+    low, room = 1, k
+    for i, x in enumerate(items):
+        f = freq[x]
+        if f:
+            before[i] = 1
+            bucket = buckets[f]
+            del bucket[x]
+            f += 1
+            freq[x] = f
+            if f in buckets:
+                buckets[f][x] = None
+            else:
+                buckets[f] = {x: None}
+            if not bucket:
+                del buckets[f - 1]
+                if low == f - 1:
+                    low = f
+            continue
+        if room:
+            room -= 1
+            low = f = 1
+        else:
+            a, b = one[x], two[x]
+            count[a] += 1
+            count[b] += 1
+            f = count[a] if count[a] < count[b] else count[b]
+            if f <= low:
+                after[i] = 0
+                continue
+            bucket = buckets[low]
+            out = next(iter(bucket))
+            del bucket[out]
+            gained = freq[out] - entered.pop(out)
+            freq[out] = 0
+            if gained > 0:
+                count[one[out]] += gained
+                count[two[out]] += gained
+            entered[x] = f
+        freq[x] = f
+        entered.setdefault(x, 0)
+        if f in buckets:
+            buckets[f][x] = None
+        else:
+            buckets[f] = {x: None}
+        if not buckets[low]:
+            del buckets[low]
+            low = min(buckets)
+    return before, after
+
+
 def summarize(items: Iterable, k: int, max_freq: int = 1 << 30, kind: str = "mg") -> list[tuple]:
     """(item, count) of a stream in order; kind mg or cm."""
     summary = StringSummary(k, max_freq) if kind == "mg" else SketchStrings(k)

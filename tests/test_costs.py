@@ -2,16 +2,19 @@
 
 import random
 import time
+from collections import deque
 
 import pyarrow.parquet as pq
 import pytest
 
+from phrasemill.functions.numbers import PrefixPrints
 from phrasemill.operators import parsers
 from phrasemill.operators.parsers import PARSERS
+from phrasemill.operators.summaries import SketchStrings, StringSummary
 from phrasemill.plans.phrase_queries import ROUND_TRIPS
 
 #: of the queries that failed by time: most milliseconds that a KB may take where sum(range(50_000)) takes one
-LIMITS = {"lzend_kkl_roundtrip": 4.5}
+LIMITS = {"lzend_kkl_roundtrip": 4.5, "sample_cm_roundtrip": 2}
 
 
 def seconds(run):
@@ -72,3 +75,39 @@ def test_online_lzend_against_a_plain_program(window):
             phrases = parsers.encode_lzend_kk(data[:250], window, local)
             assert [p[3] for p in phrases] == plain_online_lzend(data[:250], window)
             assert parsers.decode_lzend(phrases) == data[:250]
+
+
+def plain_sample(data, sizes, k, sample_exp, minimizers, summary):
+    """Place by place, with a summary and the last sampled place of each class."""
+    n, prints, out, at = len(data), PrefixPrints(data, 65497), [], 0
+    tops = {s: SketchStrings(k) if summary == "cm" else StringSummary(k) for s in sizes}
+    recent, fed, last = {s: deque(maxlen=1 << sample_exp) for s in sizes}, dict.fromkeys(sizes, 0), {}
+    while at < n:
+        fits = [s for s in sizes if at + s <= n and (s, prints.of(at, at + s)) in last]
+        size = max(fits, default=1)
+        out.append(("lz", -1, at - last[size, prints.of(at, at + size)], size, -1) if fits else ("lit", -1, -1, 1, data[at]))
+        at += size
+        for s in sizes:
+            while fed[s] + s <= at:
+                fp = prints.of(fed[s], fed[s] + s)
+                recent[s].append(fp)
+                if fp == min(recent[s]) if minimizers else fp % (1 << sample_exp) == 0:
+                    taken = tops[s].insert(fp)
+                    if taken is not None and taken is not False:  # the first item's slot is 0
+                        last[s, fp] = fed[s]
+                fed[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("summary", ["mg", "cm"])
+@pytest.mark.parametrize("minimizers", [False, True])
+def test_samples_against_a_plain_program(summary, minimizers):
+    for data in drawn(60):
+        for k, sample_exp in ((3, 0), (20, 1), (1024, 3)):
+            wanted = plain_sample(data, (4, 8, 16, 32, 64), k, sample_exp, minimizers, summary)
+            assert parsers.encode_sample(data, k=k, sample_exp=sample_exp, minimizers=minimizers, summary=summary) == wanted
+
+
+def test_the_first_sampled_string_is_referred_to():
+    data = b"\xb0\0" * 5
+    assert ("lz", -1, 4, 4, -1) == parsers.encode_sample(data)[4]
