@@ -14,7 +14,7 @@ from phrasemill.operators.summaries import SketchStrings, StringSummary
 from phrasemill.plans.phrase_queries import ROUND_TRIPS
 
 #: of the queries that failed by time: most milliseconds that a KB may take where sum(range(50_000)) takes one
-LIMITS = {"lzend_kkl_roundtrip": 4.5, "sample_cm_roundtrip": 2}
+LIMITS = {"lzend_kkl_roundtrip": 4.5, "sample_cm_roundtrip": 2, "psample_cm_roundtrip": 2}
 
 
 def seconds(run):
@@ -111,3 +111,36 @@ def test_samples_against_a_plain_program(summary, minimizers):
 def test_the_first_sampled_string_is_referred_to():
     data = b"\xb0\0" * 5
     assert ("lz", -1, 4, 4, -1) == parsers.encode_sample(data)[4]
+
+
+def plain_psample(data, exponents, k, summary):
+    """Class by class and place by place; a summary's half for each shorter class, a sample of half the class's size."""
+    n, prints, taken, chosen = len(data), PrefixPrints(data, 65497), [False] * len(data), {}
+    for i, e in enumerate(sorted(exponents, reverse=True)):
+        size, free, last = 1 << e, 0, {}
+        top = (SketchStrings if summary == "cm" else StringSummary)(max(2, k >> (i + 1)))
+        for at in range(n - size + 1):
+            fp = prints.of(at, at + size)
+            known = top.find(fp)
+            if at >= free and known is not None and known is not False:
+                clash = [j for j in range(at, at + size) if taken[j]]
+                free = clash[-1] + 1 if clash else at + size
+                if not clash:
+                    chosen[at] = ("lz", -1, at - last[fp], size, -1)
+                    taken[at:free] = [True] * size
+            if fp % (size // 2) == 0:
+                found = top.insert(fp)
+                if found is not None and found is not False:
+                    last[fp] = at
+    out, at = [], 0
+    while at < n:
+        out.append(chosen.get(at, ("lit", -1, -1, 1, data[at])))
+        at += out[-1][3]
+    return out
+
+
+@pytest.mark.parametrize("summary", ["mg", "cm"])
+def test_parallel_samples_against_a_plain_program(summary):
+    for data in drawn(60):
+        for k in (8, 64, 1024):
+            assert parsers.encode_psample(data, k=k, summary=summary) == plain_psample(data, range(2, 7), k, summary)
