@@ -6,7 +6,7 @@ mergeable forms, which scale over partitions, are in ``topk.py``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -169,13 +169,123 @@ class PrefixSummary:
         self._insert(node, c)
         return node, length + 1, False
 
+    def feed(self, data: bytes, start: int, end: int, step: int = 1) -> list[int]:
+        """Extend from the empty state by the bytes from start on, before end, until the state stops being frequent;
+        the nodes on the way. As extend does, but without a call for each byte."""
+        child, counters = self.child, self.counters
+        freq, where, linked, cap, threshold = counters.freq, counters.where, counters.linked, counters.cap, counters.threshold
+        node, way = 0, []
+        for i in range(start, end, step):
+            nxt = child.get(node << 8 | data[i])
+            if nxt is None:
+                self._insert(node, data[i])
+                break
+            f = freq[nxt]
+            if f < threshold:
+                f = threshold
+            if f < cap:
+                freq[nxt] = f + 1
+                level = where[nxt]
+                if level is not None:
+                    bucket = linked[level]
+                    del bucket[nxt]
+                    if not bucket:
+                        del linked[level]
+                    bucket = linked.get(f + 1)
+                    if bucket is None:
+                        linked[f + 1] = {nxt: None}
+                    else:
+                        bucket[nxt] = None
+                    where[nxt] = f + 1
+            node = nxt
+            way.append(node)
+        return way
+
+    def windows(self, data: bytes, starts: Iterable[int], window: int, ended: list[int] | None = None) -> Iterator[list[int]]:
+        """feed with the window at each start, one when asked for the next: in one frame for all of them, without hooks.
+        Only the last node on a way can be a leaf, so it alone changes buckets. ended: set to -1 for a recycled node."""
+        counters, child, get = self.counters, self.child, self.child.get
+        parent, label, degree, where, cap = self.parent, self.label, self.degree, counters.where, counters.cap
+        freq, linked, threshold = counters.freq, counters.linked, counters.threshold
+        for at in starts:
+            node, way, missing = 0, [], -1
+            for c in data[at : at + window]:
+                nxt = get(node << 8 | c)
+                if nxt is None:
+                    missing = c
+                    break
+                f = freq[nxt]
+                if f < threshold:
+                    f = threshold
+                if f < cap:
+                    freq[nxt] = f + 1
+                node = nxt
+                way.append(node)
+            level, f = where[node], freq[node]
+            if level is not None and level != f:
+                bucket = linked[level]
+                del bucket[node]
+                if not bucket:
+                    del linked[level]
+                where[node] = f
+                if f in linked:
+                    linked[f][node] = None
+                else:
+                    linked[f] = {node: None}
+            if missing < 0:
+                yield way
+                continue
+            garbage = linked.get(threshold)
+            v = next(reversed(garbage)) if garbage else node
+            if v == node:
+                counters.decrement_all()
+                freq, linked, threshold = counters.freq, counters.linked, counters.threshold
+                yield way
+                continue
+            del garbage[v]
+            if not garbage:
+                del linked[threshold]
+            old = parent[v]
+            if old >= 0:
+                del child[old << 8 | label[v]]
+                degree[old] -= 1
+                if not degree[old] and old:
+                    counters.link(old)
+            if not degree[node] and node:
+                f = where[node]
+                bucket = linked[f]
+                del bucket[node]
+                if not bucket:
+                    del linked[f]
+                where[node] = None
+            parent[v], label[v] = node, missing
+            child[node << 8 | missing] = v
+            degree[node] += 1
+            f = threshold + 1
+            freq[v] = where[v] = f
+            if f in linked:
+                linked[f][v] = None
+            else:
+                linked[f] = {v: None}
+            if ended:
+                ended[v] = -1
+            yield way
+
     def _insert(self, node: int, c: int) -> None:
-        v = self.counters.garbage()
-        if v is None or v == node:
-            self.counters.decrement_all()
-            return
         counters = self.counters
-        counters.unlink(v)
+        linked, threshold = counters.linked, counters.threshold
+        garbage = linked.get(threshold)
+        if garbage is None:
+            counters.decrement_all()
+            return
+        v = next(reversed(garbage))
+        if v == node:
+            counters.decrement_all()
+            return
+        where = counters.where
+        del garbage[v]
+        if not garbage:
+            del linked[threshold]
         old = self.parent[v]
         if old >= 0:
             if self.on_delete:
@@ -189,8 +299,12 @@ class PrefixSummary:
         self.parent[v], self.label[v] = node, c
         self.child[node << 8 | c] = v
         self.degree[node] += 1
-        counters.reset(v)
-        counters.link(v)
+        counters.freq[v] = where[v] = threshold + 1  # as recycled items begin
+        bucket = linked.get(threshold + 1)
+        if bucket is None:
+            linked[threshold + 1] = {v: None}
+        else:
+            bucket[v] = None
         if self.on_insert:
             self.on_insert(v)
 

@@ -10,11 +10,11 @@ import pytest
 from phrasemill.functions.numbers import PrefixPrints
 from phrasemill.operators import parsers
 from phrasemill.operators.parsers import PARSERS
-from phrasemill.operators.summaries import SketchStrings, StringSummary
+from phrasemill.operators.summaries import PrefixSummary, SketchStrings, StringSummary
 from phrasemill.plans.phrase_queries import ROUND_TRIPS
 
 #: of the queries that failed by time: most milliseconds that a KB may take where sum(range(50_000)) takes one
-LIMITS = {"lzend_kkl_roundtrip": 4.5, "sample_cm_roundtrip": 2, "psample_cm_roundtrip": 2, "lzend_kk_roundtrip": 4.5, "sample_minimizers_roundtrip": 2, "sample_roundtrip": 2}
+LIMITS = {"lzend_kkl_roundtrip": 4.5, "sample_cm_roundtrip": 2, "psample_cm_roundtrip": 2, "lzend_kk_roundtrip": 4.5, "sample_minimizers_roundtrip": 2, "sample_roundtrip": 2, "topk_weiner_fast_roundtrip": 3.5}
 
 
 def seconds(run):
@@ -144,3 +144,49 @@ def test_parallel_samples_against_a_plain_program(summary):
     for data in drawn(60):
         for k in (8, 64, 1024):
             assert parsers.encode_psample(data, k=k, summary=summary) == plain_psample(data, range(2, 7), k, summary)
+
+
+def linked_weiner(data, k, window, threshold, max_freq, ascend):
+    """By the links themselves."""
+    known, out, begin, node, src = parsers.ReversedWindows(k, max_freq), [], 0, 0, -1
+
+    def emit(end):
+        size, start = end - begin, src - (end - begin) + 1
+        if size >= threshold and 0 <= start < begin and data[start : start + size] == data[begin:end]:
+            out.append(parsers.copy(begin - start, size))
+        else:
+            out.extend(parsers.literal(c) for c in data[begin:end])
+
+    for at, c in enumerate(data):
+        nxt = known.links[node].get(c)
+        if nxt in known.ended and at - begin < window:
+            node, src = nxt, known.ended[nxt]
+        else:
+            emit(at)
+            begin, node = at, known.links[0].get(c, 0)
+            src = known.ended.get(node, -1)
+        known.feed(data, at, window, ascend)
+    emit(len(data))
+    return out
+
+
+@pytest.mark.parametrize("ascend", [False, True])
+def test_ways_are_the_weiner_links(ascend):
+    for data in drawn(60):
+        for k, window, threshold, max_freq in ((2, 3, 2, 8), (9, 8, 1, 8), (60, 5, 3, 16), (512, 8, 2, 1024)):
+            found = parsers.encode_weiner(data, k, window, threshold, max_freq, ascend)
+            assert found == linked_weiner(data, k, window, threshold, max_freq, ascend)
+
+
+def test_windows_are_fed_as_their_bytes_are():
+    for data in drawn(60):
+        for k, window, max_freq in ((3, 4, 8), (20, 8, 16), (200, 8, 1024)):
+            one, other = PrefixSummary(k, max_freq), PrefixSummary(k, max_freq)
+            ways = one.windows(data, range(len(data)), window)
+            for at in range(len(data)):
+                state, way = other.EMPTY, []
+                for c in data[at : at + window]:
+                    state = other.extend(state, c)
+                    way += [state[0]] * state[2]
+                assert next(ways) == way
+            assert one.edges() == other.edges() and one.counters.linked == other.counters.linked
