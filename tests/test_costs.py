@@ -4,11 +4,12 @@ import random
 import time
 from collections import deque
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 from phrasemill.functions.numbers import PrefixPrints
-from phrasemill.operators import parsers
+from phrasemill.operators import codec, container, parsers
 from phrasemill.operators.parsers import PARSERS
 from phrasemill.operators.summaries import PrefixSummary, SketchStrings, StringSummary
 from phrasemill.plans.phrase_queries import ROUND_TRIPS
@@ -190,3 +191,34 @@ def test_windows_are_fed_as_their_bytes_are():
                     way += [state[0]] * state[2]
                 assert next(ways) == way
             assert one.edges() == other.edges() and one.counters.linked == other.counters.linked
+
+
+def test_values_are_coded_as_in_a_block():
+    for i in range(400):
+        draw = random.Random(i)
+        top = draw.choice([1, 2, 30, 256, 5000, 1 << 40])
+        values = [min(draw.randrange(top), draw.randrange(top)) for _ in range(draw.choice([1, 2, 7, 60, 500]))]
+        ways = {c: codec.encode_block([(0, v) for v in values], {0: c})[0] for c in ("binary", "huffman")}
+        coder = min(ways, key=lambda c: len(ways[c]))
+        assert codec.encode_values(np.array(values)) == (coder, ways[coder])
+
+
+def test_huffman_lengths_are_those_of_merged_sets():
+    for i in range(200):
+        draw = random.Random(i)
+        counts = {draw.randrange(1000): draw.choice([1, 1, 2, draw.randrange(1, 500)]) for _ in range(draw.choice([1, 2, 3, 10, 200]))}
+        sets, depth = [(n, s, (s,)) for s, n in counts.items()], dict.fromkeys(counts, len(counts) == 1)
+        while len(sets) > 1:
+            a, b, *sets = sorted(sets)
+            for s in a[2] + b[2]:
+                depth[s] += 1
+            sets.append((a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+        assert codec.code_lengths(counts) == depth
+
+
+def test_containers_are_not_slow(some_texts):
+    """Those of container_ratios."""
+    options = (("lz78", {}), ("lz77", {"threshold": 4}), ("topk_lz77", {"k": 512, "window": 4096, "max_freq": 1024}))
+    speed = min(seconds(lambda: sum(range(50_000))) for _ in range(20))
+    took = seconds(lambda: [container.pack(x, algo, **o) for algo, o in options for x in some_texts])
+    assert took / speed / (sum(map(len, some_texts)) / 1000) < 6.5
