@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasemill.operators.parsers import PARSERS, Phrase, StaticTrie, decode_static, parse_static
+from phrasemill.operators.parsers import KINDS, PARSERS, Columns, Phrase, StaticTrie, decode_static, parse_static
 
 PHRASES = "array<struct<kind:string,ref:bigint,src:bigint,len:bigint,lit:int>>"
 _KIND = pa.struct([("kind", pa.string()), ("ref", pa.int64()), ("src", pa.int64()), ("len", pa.int64()), ("lit", pa.int32())])
@@ -30,6 +30,24 @@ def phrase_array(parsed: list[list[Phrase]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def column_array(parsed: list[Columns]) -> pa.Array:
+    """phrase_array of parsings by columns."""
+    kind, *rest = (np.concatenate([getattr(p, f.name) for p in parsed]) if parsed else np.zeros(0, np.int8) for f in _KIND)
+    names = pa.DictionaryArray.from_arrays(pa.array(kind.astype(np.int8)), pa.array(KINDS)).cast(pa.string())
+    values = pa.StructArray.from_arrays([names, *(pa.array(c.astype(f.type.to_pandas_dtype(), copy=False)) for c, f in zip(rest, list(_KIND)[1:], strict=True))], fields=list(_KIND))
+    offsets = np.concatenate([[0], np.cumsum([len(p.kind) for p in parsed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _columns(column: pa.Array) -> list[Columns]:
+    values = column.flatten()
+    kinds = pc.index_in(values.field(0), pa.array(KINDS)).to_numpy(zero_copy_only=False)
+    fields = [kinds, *(values.field(i).to_numpy(zero_copy_only=False) for i in range(1, 5))]
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    return [Columns(*(f[a:b] for f in fields)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def _phrases(column: pa.Array) -> list[list[Phrase]]:
     values = column.flatten()
     kinds = values.field(0).dictionary_encode()
@@ -41,32 +59,50 @@ def _phrases(column: pa.Array) -> list[list[Phrase]]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def map_column(rows: DataFrame, column: str, out: str, kind: str, run: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """rows with ``column`` replaced by ``out``, a function of whole Arrow batches; other columns pass."""
+def map_column(rows: DataFrame, column: str, out: str, kind: str, run: Callable[[pa.Array], pa.Array], size: int = 256) -> DataFrame:
+    """rows with ``column`` replaced by ``out``, a function of up to ``size`` rows of Arrow batches; other columns pass."""
     kept = [c for c in rows.columns if c != column]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what Python objects take at a time
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, size):  # bounds what Python objects take at a time
+                part = batch.slice(at, size)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), run(part.column(len(kept)))], [*kept, out])
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     return rows.select(*kept, column).mapInArrow(mapped, f"{types}, `{out}` {kind}")
 
 
+def _parser(algo: str, options: dict) -> Callable[[pa.Array], pa.Array]:
+    parser = PARSERS[algo]
+    if parser.columns:
+        return lambda c: column_array([parser.columns(x or b"", **options) for x in c.to_pylist()])
+    return lambda c: phrase_array([parser.encode(x or b"", **options) for x in c.to_pylist()])
+
+
+def _decoder(algo: str, options: dict) -> Callable[[pa.Array], pa.Array]:
+    parser = PARSERS[algo]
+    if parser.decode is None:
+        raise ValueError(f"{algo} is a statistics-only parsing")
+    if parser.back:
+        return lambda c: pa.array([parser.back(p, **options) for p in _columns(c)], pa.binary())
+    return lambda c: pa.array([parser.decode(p, **options) for p in _phrases(c)], pa.binary())
+
+
 def parse(rows: DataFrame, algo: str, column: str = "b", **options: Any) -> DataFrame:
     """rows with the binary column replaced by ``phrases``. A null parses as empty."""
-    encode = PARSERS[algo].encode
-    return map_column(rows, column, "phrases", PHRASES, lambda c: phrase_array([encode(x or b"", **options) for x in c.to_pylist()]))
+    return map_column(rows, column, "phrases", PHRASES, _parser(algo, options))
 
 
 def decode(parsed: DataFrame, algo: str, **options: Any) -> DataFrame:
     """The inverse of parse: ``phrases`` replaced by the binary column ``b``."""
-    back = PARSERS[algo].decode
-    if back is None:
-        raise ValueError(f"{algo} is a statistics-only parsing")
-    return map_column(parsed, "phrases", "b", "binary", lambda c: pa.array([back(p, **options) for p in _phrases(c)], pa.binary()))
+    return map_column(parsed, "phrases", "b", "binary", _decoder(algo, options))
+
+
+def round_trip(rows: DataFrame, algo: str, column: str = "b", **options: Any) -> DataFrame:
+    """decode(parse(rows)): the same phrases as an array column, which does not leave the task's Python between."""
+    there, back = _parser(algo, options), _decoder(algo, options)
+    return map_column(rows, column, "b", "binary", lambda c: back(there(c)), 32)
 
 
 def parse_with(rows: DataFrame, strings: list[bytes], column: str = "b") -> DataFrame:

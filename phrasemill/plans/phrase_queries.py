@@ -14,7 +14,7 @@ from phrasemill.functions.sql import register
 from phrasemill.operators import codec
 from phrasemill.operators.container import compress, decompress
 from phrasemill.operators.parsers import PARSERS, read_escaped, write_escaped
-from phrasemill.operators.phrases import decode, decode_with, join_blocks, map_column, parse, parse_with, phrase_rows, statistics
+from phrasemill.operators.phrases import decode, decode_with, join_blocks, map_column, parse, parse_with, phrase_rows, round_trip, statistics
 from phrasemill.operators.suffix_index import count_occurrences, runs, smaller_neighbours, suffix_array
 from phrasemill.operators.summaries import PrefixSummary
 from phrasemill.operators.topk import frequent_prefixes
@@ -61,7 +61,7 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _round_trip(algo: str, options: dict) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: _texts(decode(parse(_docs(spark, folder), algo, **options), algo, **options))
+    return lambda spark, folder: _texts(round_trip(_docs(spark, folder), algo, **options))
 
 
 def blockwise_roundtrip(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from phrasemill.functions.numbers import PrefixPrints
 from phrasemill.operators import codec, container, parsers
 from phrasemill.operators.parsers import PARSERS
+from phrasemill.operators.phrases import _columns, column_array, phrase_array
 from phrasemill.operators.summaries import PrefixSummary, SketchStrings, StringSummary
 from phrasemill.plans.phrase_queries import ROUND_TRIPS
 
@@ -222,3 +223,12 @@ def test_containers_are_not_slow(some_texts):
     speed = min(seconds(lambda: sum(range(50_000))) for _ in range(20))
     took = seconds(lambda: [container.pack(x, algo, **o) for algo, o in options for x in some_texts])
     assert took / speed / (sum(map(len, some_texts)) / 1000) < 6.5
+
+
+@pytest.mark.parametrize("algo", sorted(a for a, p in PARSERS.items() if p.columns))
+def test_columns_are_the_phrases(algo):
+    parser, data = PARSERS[algo], [b"", *drawn(40)]
+    phrases, columns = [parser.encode(x) for x in data], [parser.columns(x) for x in data]
+    assert [c.phrases() for c in columns] == phrases and [parser.back(c) for c in columns] == data == [parser.decode(p) for p in phrases]
+    made = column_array(columns)
+    assert made == phrase_array(phrases) and [c.phrases() for c in _columns(made)] == phrases
