@@ -523,17 +523,23 @@ class Attractor:
             self.freq[i] -= 1
 
 
-def membership(items: np.ndarray, k: int, kind: str = "mg") -> tuple[np.ndarray, np.ndarray]:
+def membership(items: np.ndarray, k: int, kind: str = "mg") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a stream of whole numbers below 2**61 - 1 read by a StringSummary (mg) or SketchStrings (cm) of k items:
-    whether each is in the summary when it comes, and whether it is after it was inserted. What does not pass k
-    different items is never evicted, so it needs no counters."""
-    distinct, first, number = np.unique(items, return_index=True, return_inverse=True)
+    whether each is in the summary when it comes, whether it is after it was inserted, their order by number and place,
+    and where in that order another number begins. What does not pass k different items is never evicted, so it needs
+    no counters."""
+    order = np.argsort(items, kind="stable")
+    ordered = items[order]
+    new = np.ones(len(items), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     before, after = np.ones(len(items), bool), np.ones(len(items), bool)
-    before[first] = False
-    if len(distinct) > k:
-        here, there = (_mg_membership if kind == "mg" else _cm_membership)(number.tolist(), distinct, k)
+    before[order[new]] = False
+    if len(items) > k and np.count_nonzero(new) > k:
+        number = np.empty(len(items), np.int64)
+        number[order] = np.cumsum(new) - 1
+        here, there = (_mg_membership if kind == "mg" else _cm_membership)(number.tolist(), ordered[new], k)
         before, after = np.frombuffer(here, bool), np.frombuffer(there, bool)
-    return before, after
+    return before, after, order, new
 
 
 def _mg_membership(items: list[int], distinct: np.ndarray, k: int) -> tuple[bytearray, bytearray]:
@@ -582,7 +588,7 @@ def _cm_membership(items: list[int], distinct: np.ndarray, k: int) -> tuple[byte
     one, two = cell.reshape(rows, -1).tolist()
     count = [0] * len(used)
     freq: list = [0] * len(distinct)  # 0: not in the filter
-    entered: dict[int, int] = {}
+    entered = [0] * len(distinct)
     buckets: dict[int, dict[int, None]] = {}
     low, room = 1, k
     for i, x in enumerate(items):
@@ -616,14 +622,13 @@ def _cm_membership(items: list[int], distinct: np.ndarray, k: int) -> tuple[byte
             bucket = buckets[low]
             out = next(iter(bucket))
             del bucket[out]
-            gained = freq[out] - entered.pop(out)
+            gained = freq[out] - entered[out]
             freq[out] = 0
             if gained > 0:
                 count[one[out]] += gained
                 count[two[out]] += gained
             entered[x] = f
         freq[x] = f
-        entered.setdefault(x, 0)
         if f in buckets:
             buckets[f][x] = None
         else:
