@@ -7,6 +7,7 @@ neighbouring buckets first, and are dealt again within each group.
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -34,6 +35,23 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: Spark's Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library may be another one
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and give_back when it has taken all batches."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return all_of
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """name, with underscores before it as long as there is such a column (in any case)."""
     taken = {c.lower() for c in columns}

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, multikey_order, open_text, pack, parts, squeeze, together, unpack_all
+from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, multikey_order, open_text, pack, parts, squeeze, together, trimmed, unpack_all
 from phrasemill.llm.components import connected
 from phrasemill.llm.skew import hot_join
 from phrasemill.session import stored, table
@@ -466,7 +466,7 @@ def drop_repeated_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     doc, gone = free_name("__doc", docs.columns), free_name("__gone", docs.columns)
     found = _by_document(line_classes(docs, hot)).withColumnsRenamed({"doc_id": doc, "gone": gone})
     joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found[doc], "left").drop(doc)
-    cut = joined.mapInArrow(_clean, docs.schema)
+    cut = joined.mapInArrow(trimmed(_clean), docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

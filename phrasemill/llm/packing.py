@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phrasemill.llm.blobs import arrow_rows
+from phrasemill.llm.blobs import arrow_rows, give_back, trimmed
 from phrasemill.session import stored, table
 
 CAPACITY, END = 4096, 1
@@ -334,6 +334,8 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 
 def _place(where: dict[str, np.ndarray], extra: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # all texts are cut: a worker that goes on with other tasks would keep its words
+        give_back()
         starts = {int(x): int(i) for x, i in zip(*np.unique(where["length"], return_index=True), strict=True)}
         ends = {int(x): int(i + n) for x, i, n in zip(*np.unique(where["length"], return_index=True, return_counts=True), strict=True)}
         for batch in batches:
@@ -354,7 +356,7 @@ def _place(where: dict[str, np.ndarray], extra: int):
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids: little-endian 32-bit,) sequence_id and offset of every piece."""
     schema = _PIECES + ", ids binary" * keep_ids
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_cut(tokenizer, capacity, end, keep_ids), schema)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(trimmed(_cut(tokenizer, capacity, end, keep_ids)), schema)
     with arrow_rows(docs.sparkSession, ROWS):
         pieces = stored(cut)
     tasks = stored(pieces.groupBy("part", "length").count())

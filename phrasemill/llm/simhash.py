@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.llm.blobs import trimmed
 from phrasemill.llm.components import connected
 from phrasemill.llm.skew import hot_join
 from phrasemill.session import saved, table
@@ -73,7 +74,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_fingerprints), "doc_id long, fp long")
 
 
 def distances(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:

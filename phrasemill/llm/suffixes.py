@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, multikey_order, open_text, pack, parts, press, squeeze, together, unpack, unpack_all, unpress
+from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, multikey_order, open_text, pack, parts, press, squeeze, together, trimmed, unpack, unpack_all, unpress
 from phrasemill.session import stored, table
 
 LENGTH, TOKEN = 50, 20
@@ -435,7 +435,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc, gone = free_name("__doc", docs.columns), free_name("__spans", docs.columns)
     found = by_document(repeated_spans(docs)).withColumnsRenamed({"doc_id": doc, "spans": gone})
     joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found[doc], "left").drop(doc)
-    cut = joined.mapInArrow(_clean, docs.schema)
+    cut = joined.mapInArrow(trimmed(_clean), docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

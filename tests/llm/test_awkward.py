@@ -149,6 +149,12 @@ def test_pipeline_on_an_empty_table(spark, none, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_workers_keep_no_words_once_pieces_have_places():
+    packing.encoder(packing.TOKENIZER).encode([b"some words of a text"])
+    assert list(packing._place(packing.slots(packing.local_search(packing.alone({5: 1}), 20)), 5)(iter([]))) == []
+    assert packing.encoder.cache_info().currsize == 0
+
+
 def test_very_long_rows(spark):
     page = "<article>" + "<p>some words of a long page</p>" * 20_000 + "</article>"
     assert html.extract(page).count("\n") == 19_999
