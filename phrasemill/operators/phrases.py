@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phrasemill.operators import jvm
 from phrasemill.operators.parsers import KINDS, PARSERS, Columns, Phrase, StaticTrie, decode_static, parse_static
 
 PHRASES = "array<struct<kind:string,ref:bigint,src:bigint,len:bigint,lit:int>>"
@@ -100,7 +101,10 @@ def decode(parsed: DataFrame, algo: str, **options: Any) -> DataFrame:
 
 
 def round_trip(rows: DataFrame, algo: str, column: str = "b", **options: Any) -> DataFrame:
-    """decode(parse(rows)): the same phrases as an array column, which does not leave the task's Python between."""
+    """decode(parse(rows)): the same phrases as an array column, which does not leave the task's Python between; those of
+    the selective parser do not leave the JVM."""
+    if algo == "topk_sel" and jvm.fits(**options):
+        return jvm.selective_decode(jvm.selective_parse(rows, column, **options), **options)
     there, back = _parser(algo, options), _decoder(algo, options)
     return map_column(rows, column, "b", "binary", lambda c: back(there(c)), 32)
 

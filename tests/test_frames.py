@@ -1,5 +1,7 @@
 """DataFrame forms: sources and sinks, streaming in several batches, statistics, the package without llm."""
 
+import random
+import struct
 import subprocess
 import sys
 from pathlib import Path
@@ -7,8 +9,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from phrasemill.operators import jvm, parsers
 from phrasemill.operators.container import compress, decompress
-from phrasemill.operators.phrases import decode, parse, phrase_rows, statistics
+from phrasemill.operators.phrases import decode, parse, phrase_rows, round_trip, statistics
 from phrasemill.operators.topk import topk_mergeable, topk_sequential
 from phrasemill.session import clear, stored
 from phrasemill.sources.files import block_table, byte_files, measured, read_parsed, write_parsed
@@ -99,3 +102,24 @@ def test_metrics_of_containers(spark):
 def test_stored_tables_are_cleared(spark):
     rows = stored(spark.range(3))
     assert rows.count() == 3 and clear(spark) >= 1 and clear(spark) == 0
+
+
+@pytest.mark.parametrize("options", [{"k": 512}, {"k": 5}, {"k": 9, "max_freq": 8}, {"k": 40, "window": 3, "max_freq": 2}, {"k": 2, "window": 1}])
+def test_phrases_of_the_jvm_are_those_of_the_plain_program(spark, options):
+    draw = random.Random(5)
+    texts = [None, b"", b"a", b"\xff\0" * 40, b"abracadabra" * 30] + [bytes(draw.choices(range(97, 97 + n), k=20 * n)) for n in range(1, 60)]
+    texts += [x.b for x in spark.read.parquet(f"{FOLDER}/documents.parquet").select(F.encode("text", "UTF-8").alias("b")).limit(20).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key int, b binary")
+    parsed = jvm.selective_parse(rows, **options)
+    for row in parsed.collect():
+        phrases = parsers.encode_selective(bytes(texts[row.key] or b""), **options)
+        wanted = [p[1] if p[0] == "trie" else -1 - p[4] for p in phrases]
+        assert list(struct.unpack(f">{len(row.packed) // 4}i", row.packed)) == wanted
+    back = {r.key: bytes(r.b) for r in round_trip(rows, "topk_sel", **options).collect()}
+    assert back == {i: bytes(x or b"") for i, x in enumerate(texts)}
+
+
+def test_the_selective_round_trip_runs_no_python(spark):
+    rows = spark.createDataFrame([(1, b"abab")], "key int, b binary")
+    plan = round_trip(rows, "topk_sel", k=512)._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and "selective" in plan.lower()
