@@ -2,7 +2,7 @@
 
 Every round is two joins of the links with a partial-aggregated minimum. A node with a great many neighbours (a
 hub) is in no shuffle's key: the minima of hubs are few, and are broadcast. Rounds are written to the shared
-checkpoint folder. Nothing is collected but a count and a checksum.
+checkpoint folder, in partitions by their number of links. Nothing is collected but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.skew import LEAST, hot_join
-from phrasemill.session import saved
+from phrasemill.session import few, saved
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -39,12 +39,12 @@ def connected(links: DataFrame, rounds: int = 60, hub: int = LEAST) -> DataFrame
         mark = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hubs = state[0] > hub and bool(both.groupBy("u").count().filter(F.col("count") > hub).limit(1).count())
-        large = _star(saved(both) if hubs else both, F.col("v") > F.col("u"), hubs).distinct()
-        large = saved(large) if hubs else large
+        large = _star(saved(few(both, 2 * state[0])) if hubs else both, F.col("v") > F.col("u"), hubs).distinct()
+        large = saved(few(large, 2 * state[0])) if hubs else large
         least = _least(large)
         near = hot_join(large, least, ["u"], "many") if hubs else large.join(least, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = saved(small.distinct())
+        edges = saved(few(small.distinct(), 2 * state[0]))
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

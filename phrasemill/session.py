@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _stored: list[str] = []
+PARTITION_ROWS = 1 << 16  # short rows that fill a partition
+#: For tables in a local folder: no checksum file beside each file. Without Hadoop's native library a process (chmod) is
+#: started for every file that is made, and while it starts, its memory is the executor's. Other stores do not read these.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -68,7 +72,7 @@ def stored(frame: DataFrame) -> DataFrame:
     takes less room than checkpoint(). ``clear`` deletes what was stored."""
     ensure_checkpoints(frame.sparkSession)
     path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.options(**_PLAIN_FILES).parquet(path)
     _stored.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -83,6 +87,12 @@ def clear(spark: SparkSession) -> int:
     return len(paths)
 
 
+def few(frame: DataFrame, rows: int) -> DataFrame:
+    """frame, which has at most so many short rows, in no more partitions than these fill, or one for each core:
+    every partition that is written is a file or more, and a task wherever it is read."""
+    return frame.coalesce(max(frame.sparkSession.sparkContext.defaultParallelism, -(-rows // PARTITION_ROWS)))
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Rows of a small input over all cores. A small file is one task however many cores there are; input
     that already gives every core a full task is left as it is, so nothing large is shuffled."""
