@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from phrasemill.llm.blobs import DEALT, arrow_rows, batch, dealt, free_name, multikey_order, open_text, pack, parts, squeeze, together, trimmed, unpack_all
 from phrasemill.llm.components import connected
 from phrasemill.llm.skew import hot_join
-from phrasemill.session import stored, table
+from phrasemill.session import few, stored, table
 
 THRESHOLD, PER = 2, 5
 BUCKET_BYTES = 4 << 20  # text whose keys make a bucket, about
@@ -373,7 +373,8 @@ def _small_groups(rows: DataFrame, hot: int) -> list[DataFrame]:
         back = F.reverse("rest")
         ends = rows.groupBy("key").agg(F.min("rest").alias("first"), F.max("rest").alias("last"), F.min(back).alias("back"), F.max(back).alias("front"), F.min(F.length("rest")).alias("least"))
         inner = stored(rows.join(ends, "key").select(*rows.columns, "first", "last", "back", "front", "least").mapInArrow(_split, f"{_LEVEL}, own boolean"))
-        crowded = stored(inner.groupBy("key").agg(F.count("*").alias("many"), F.max("own").alias("owned")).filter(F.col("many") > hot))
+        counts = inner.groupBy("key").agg(F.count("*").alias("many"), F.max("own").alias("owned"))
+        crowded = stored(few(counts.filter(F.col("many") > hot), inner.count() // hot))
         if not crowded.count():
             return [*out, inner.drop("rest")]
         out.append(inner.join(crowded, "key", "left_anti").drop("rest"))
@@ -388,18 +389,18 @@ def line_classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with arrow_rows(spark, ROWS):
-        lines = stored(texts.mapInArrow(_list_lines, "doc_id long, line int, high long, low long"))
-    firsts = stored(lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies")))
+        lines = stored(texts.mapInArrow(trimmed(_list_lines), "doc_id long, line int, high long, low long"))
+    firsts = stored(few(lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies")), lines.count()))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
     tasks = -(-buckets // TASK_BUCKETS)
-    keys = dealt(texts.select("text").mapInArrow(_deal_keys(buckets, hot), DEALT), buckets, _deal_keys_again(buckets))
+    keys = dealt(texts.select("text").mapInArrow(trimmed(_deal_keys(buckets, hot)), DEALT), buckets, _deal_keys_again(buckets))
     shared = keys.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shared_keys(hot), "key long, short long, many long, own boolean")
     wanted = shared.join(firsts.withColumn("short", F.shiftrightunsigned("high", 16)), "short").select("first.doc_id", F.struct(F.col("first.line").alias("line"), "key", "many", "own").alias("w"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     packed = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(squeeze, "doc_id long, packed binary")
     with arrow_rows(spark, ROWS):
-        fetched = stored(packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_fetch, f"{_LINE}, keys array<struct<key:bigint,many:bigint,own:boolean>>"))
+        fetched = stored(packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "wanted").mapInArrow(trimmed(_fetch), f"{_LINE}, keys array<struct<key:bigint,many:bigint,own:boolean>>"))
     by_key = fetched.select("doc_id", "line", "text", F.explode("keys").alias("k")).select("k.key", "doc_id", "line", "text", "k.own", "k.many")
     groups = [by_key.filter(F.col("many") <= hot).drop("many")]
     crowded = by_key.filter(F.col("many") > hot)
